@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvina.llm.common import load
 
@@ -16,9 +17,28 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corvina.llm import token_counts
+
+    return token_counts.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm import toxicity
+
+    docs = load(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_token_counts": op4_token_counts,
         "op6_quality_rules": op6_quality_rules,
+        "op8_toxicity": op8_toxicity,
     }
 
 
