@@ -41,6 +41,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm import cap_filters
+
+    return cap_filters.dedup(load(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvina.llm import toxicity
 
@@ -70,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_binary": op3_token_binary,
         "op4_token_counts": op4_token_counts,
         "op6_quality_rules": op6_quality_rules,
+        "op7_cap_filters": op7_cap_filters,
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
         "op10_ngram_join": op10_ngram_join,
