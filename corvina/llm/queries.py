@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from corvina.llm.common import load
 
 
+def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm import html_wrappers
+
+    return html_wrappers.main_text(load(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvina.llm import quality
 
@@ -17,6 +23,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm import pii
+
+    return pii.replace(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,16 +82,25 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(load(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_bpe": op2_bpe,
         "op3_token_binary": op3_token_binary,
         "op4_token_counts": op4_token_counts,
+        "op5_html_wrappers": op5_html_wrappers,
         "op6_quality_rules": op6_quality_rules,
         "op7_cap_filters": op7_cap_filters,
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
         "op10_ngram_join": op10_ngram_join,
+        "pipeline": pipeline,
     }
 
 
