@@ -127,9 +127,9 @@ class Band:
         one, slack = self._segments(lo, bound + 1, 0)
         two, extra = self._segments(lo, (bound + 2) // 2, 1)
         weak = lambda m, most: m * sum(math.exp(-lo / m) * (lo / m) ** k / math.factorial(k) for k in range(most + 1))
-        # A row costs 1; a key with fewer elements than wanted meets others by chance and costs far more.
-        cost_one = one + 200 * weak(one, 2)
-        cost_two = two + hi + 200 * weak(two, 3)
+        # A row costs 1; a part that is all but empty meets unrelated sets and costs the rows of a small set.
+        cost_one = one + 20 * weak(one, 0)
+        cost_two = two + hi + 20 * weak(two, 1)
         self.pairs = cost_two < cost_one
         self.m = two if self.pairs else one
         # Weight a set may leave out: all slack where equal parts are empty in both, half where they may differ.
