@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model |
     scale = math.exp(np.mean([s - math.log(n) for s, n in best]) - 0.5772) if len(best) >= 30 else 0.1
     seen = [_bits(r.n, r.s, decay, scale, math.nan) for r in held]
     finite = [x for x in seen if not math.isnan(x)]
-    empty = min(finite, default=0.0) - 1.0
+    empty = min([0.0, *finite]) - 1.0
     slope, offset = _logistic(np.clip([empty if math.isnan(x) else x for x in seen], -60, 60), ys)
     return Model(weights, background, decay, scale, slope, offset, empty)
 
