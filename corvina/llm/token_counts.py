@@ -37,7 +37,7 @@ CHUNK = 1 << 16
 #: Interned states, and words remembered, per worker; beyond these the tables start anew.
 MAX_STATES, MAX_WORDS = 300_000, 500_000
 #: White space of the tokenizer's patterns (Unicode White_Space).
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters that Python's split() takes for white space and the tokenizer doesn't.
 NOT_SPACES = "\x1c\x1d\x1e\x1f"
 
