@@ -104,9 +104,14 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, measurements and ``fail_bits``."""
+    """doc_id, measurements and ``fail_bits``.
+
+    The generator at the end is a barrier: a filter on a verdict pushed below it would be evaluated with
+    the splitting of the text inlined into every lambda.
+    """
     bits = " | ".join(f"if({r.fails}, {1 << r.bit}L, 0L)" for r in RULES)
-    return measure(docs, id_col, text_col).selectExpr("doc_id", *MEASURES, f"{bits} as fail_bits")
+    rows = measure(docs, id_col, text_col).selectExpr("doc_id", *MEASURES, f"{bits} as fail_bits")
+    return rows.select("doc_id", F.explode(F.array(F.struct(*MEASURES, "fail_bits"))).alias("m")).select("doc_id", "m.*")
 
 
 def rejects(policy: str = CURRENT) -> Column:
