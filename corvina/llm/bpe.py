@@ -56,6 +56,9 @@ group by piece
 """
 
 
+Table = tuple[dict[str, bytes], dict[str, bytes]]
+
+
 class Codec:
     """One worker's encoder and decoder over an in-memory DuckDB."""
 
@@ -64,6 +67,7 @@ class Codec:
 
         self.ranks = dict(ranks)
         self.bytes_of = {r: t for t, r in ranks}
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.pattern = regex.compile(pattern)
         self.db = duckdb.connect()
         self.db.execute("set threads = 1; set memory_limit = '400MB'; set temp_directory = ''; set preserve_insertion_order = false")
@@ -76,9 +80,10 @@ class Codec:
         self.db.execute("create table merges as select * from m; create table vocabulary as select * from v")
         self.db.unregister("m")
         self.db.unregister("v")
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
-        self.first: dict[str, tuple[bytes, bytes]] = {}
-        self.later: dict[str, tuple[bytes, bytes]] = {}
+        # Each table is (ids, decoded bytes) by piece or unit; plain bytes keep the collector out of them.
+        self.pieces: Table = ({}, {})
+        self.first: Table = ({}, {})
+        self.later: Table = ({}, {})
 
     def _heap(self, piece: bytes) -> list[int]:
         """The same contraction for one long piece: (rank, position) heap over a linked list."""
@@ -101,49 +106,53 @@ class Codec:
                     heapq.heappush(heap, (x, k))
         return [t for t, ok in zip(tok, alive) if ok]
 
-    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of distinct pieces."""
-        out: list[list[int] | None] = []
+    def _encode(self, pieces: list[bytes]) -> Iterator[pa.Table]:
+        """(piece number, ids) tables of distinct pieces."""
+        done: list[tuple[int, list[int]]] = []
         rows: list[int] = []
         for k, p in enumerate(pieces):
             whole = self.ranks.get(p)
-            out.append([whole] if whole is not None else self._heap(p) if len(p) > LONG else None)
-            if out[-1] is None:
+            if whole is not None:
+                done.append((k, [whole]))
+            elif len(p) > LONG:
+                done.append((k, self._heap(p)))
+            else:
                 rows.append(k)
-        one = [self.ranks[bytes([b])] for b in range(256)]
+        yield pa.table({"piece": pa.array([k for k, _ in done], pa.int32()), "ids": pa.array([x for _, x in done], pa.list_(pa.int32()))})
         for c in range(0, len(rows), PIECES):
             part = rows[c : c + PIECES]
             offsets = np.concatenate([[0], np.cumsum([len(pieces[k]) for k in part])])
-            data = np.frombuffer(b"".join(pieces[k] for k in part), np.uint8)
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(one)[data], pa.int32()))
-            start = pa.table({"piece": pa.array(part, pa.int32()), "ids": ids})
-            self.db.register("start", start)
-            got = self.db.sql(ENCODE).to_arrow_table()
+            data = np.frombuffer(b"".join([pieces[k] for k in part]), np.uint8)
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(self.byte_ids[data], pa.int32()))
+            self.db.register("start", pa.table({"piece": pa.array(part, pa.int32()), "ids": ids}))
+            yield self.db.sql(ENCODE).to_arrow_table().combine_chunks()
             self.db.unregister("start")
-            flat = got["ids"].combine_chunks()
-            for k, ids in zip(got["piece"].to_pylist(), flat.to_pylist()):
-                out[k] = ids
-        return out
-
-    def _decode(self, ids: list[list[int]]) -> list[bytes]:
-        """Bytes of id sequences."""
-        out = [b""] * len(ids)
-        for c in range(0, len(ids), 4 * PIECES):
-            part = ids[c : c + 4 * PIECES]
-            self.db.register("coded", pa.table({"piece": pa.array(range(c, c + len(part)), pa.int32()), "ids": pa.array(part, pa.list_(pa.int32()))}))
-            got = self.db.sql(DECODE).to_arrow_table()
-            self.db.unregister("coded")
-            for k, x in zip(got["piece"].to_pylist(), got["bytes"].to_pylist()):
-                out[k] = x
-        return out
+
+    def _decode(self, coded: pa.Table) -> Iterator[tuple[int, bytes]]:
+        """(piece number, bytes) of (piece number, ids) rows."""
+        self.db.register("coded", coded)
+        got = self.db.sql(DECODE).to_arrow_table()
+        self.db.unregister("coded")
+        return zip(got["piece"].to_pylist(), got["bytes"].to_pylist())
 
     def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.pieces]
+        ids, raw = self.pieces
+        new = [p for p in pieces if p not in ids]
         if not new:
             return
-        coded = self._encode([p.encode("utf-8", "surrogatepass") for p in new])
-        for p, ids, raw in zip(new, coded, self._decode(coded)):
-            self.pieces[p] = np.array(ids, "<u4").tobytes(), raw
+        for coded in self._encode([p.encode("utf-8", "surrogatepass") for p in new]):
+            if not coded.num_rows:
+                continue
+            for k, x in self._decode(coded):
+                raw[new[k]] = x
+            lists = coded["ids"].combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            flat = lists.flatten().to_numpy().astype("<u4").tobytes()
+            ends = np.cumsum(lists.value_lengths().to_numpy()) * 4
+            at = 0
+            for k, end in zip(coded["piece"].to_pylist(), ends.tolist()):
+                ids[new[k]] = flat[at:end]
+                at = end
 
     def _cut(self, unit: str, lead: str) -> list[str]:
         m = PLAIN.fullmatch(unit)
@@ -151,19 +160,23 @@ class Codec:
             return self.pattern.findall(lead + unit)
         return [lead + m[1], m[2]] if m[2] else [lead + m[1]]
 
-    def _units(self, table: dict[str, tuple[bytes, bytes]], units: set[str], lead: str) -> None:
+    def _units(self, table: Table, units: set[str], lead: str) -> None:
+        ids, raw = table
         regular = [u for u in units if u and not u[0].isspace() and not u[-1].isspace()]
-        new = [u for u in regular if u not in table]
-        if len(table) + len(new) > MAX_UNITS:
-            table.clear()
-            new = regular
-        if len(self.pieces) > MAX_UNITS:
-            self.pieces.clear()
+        new = [u for u in regular if u not in ids]
+        if len(ids) + len(new) > MAX_UNITS:  # what this batch uses stays: mostly the frequent units
+            _keep(table, regular)
         cuts = [self._cut(u, lead) for u in new]
-        self._learn({p for c in cuts for p in c})
+        needed = {p for c in cuts for p in c}
+        if len(self.pieces[0]) > MAX_UNITS:
+            _keep(self.pieces, needed)
+        self._learn(needed)
+        piece_ids, piece_raw = self.pieces
         for u, c in zip(new, cuts):
-            got = [self.pieces[p] for p in c]
-            table[u] = got[0] if len(got) == 1 else (b"".join([x for x, _ in got]), b"".join([x for _, x in got]))
+            if len(c) == 1:
+                ids[u], raw[u] = piece_ids[c[0]], piece_raw[c[0]]
+            else:
+                ids[u], raw[u] = b"".join([piece_ids[p] for p in c]), b"".join([piece_raw[p] for p in c])
 
     def run(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded bytes) of every text."""
@@ -177,13 +190,21 @@ class Codec:
             if not s:
                 yield b"", b""
                 continue
+            head, rest = s[0], s[1:]
             try:
-                got = [self.first[s[0]], *map(self.later.__getitem__, s[1:])]
+                yield tuple(self.first[k][head] + b"".join(map(self.later[k].__getitem__, rest)) for k in (0, 1))
             except KeyError:  # white space at some unit's edge
                 cut = self.pattern.findall(text)
                 self._learn(set(cut))
-                got = [self.pieces[p] for p in cut]
-            yield b"".join([x for x, _ in got]), b"".join([x for _, x in got])
+                yield tuple(b"".join(map(self.pieces[k].__getitem__, cut)) for k in (0, 1))
+
+
+def _keep(table: Table, keys) -> None:
+    """Forget all but these keys."""
+    for k in (0, 1):
+        kept = {u: table[k][u] for u in keys if u in table[k]}
+        table[k].clear()
+        table[k].update(kept)
 
 
 _WORKER: dict[int, Codec] = {}
