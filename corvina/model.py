@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.operators.chunking import chunk_documents
+from corvina.session import share_code
 
 
 class Tables:
     """Lazy table access under one folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        share_code(spark)
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -23,3 +23,15 @@ def get_session(app: str = "corvina", master: str | None = None, **conf: str) ->
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package wherever the driver runs from.
+
+    On a cluster the package is shipped with the job; the extra path is then ignored.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
