@@ -7,6 +7,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from corvina.session import share_code
+
 #: Rows of an Arrow batch sent to Python; texts can be long, so batches stay small.
 BATCH_ROWS = 512
 
@@ -17,6 +19,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for executors whose rows hold whole documents."""
+    share_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
