@@ -10,9 +10,12 @@ enough also visit a band's index.
 
 Nodes are distinct sets (copies collapse to their 64-bit fingerprint before any shuffle). Every key's
 bucket first compares its members with its least native member only; verified links give components.
-Then pairs of a bucket that are still in different components are compared, unless their distances to
-the bucket's leader rule the link out (Jaccard distance is a metric). So every link between different
-components would be found, and groups of near copies cost no pairs within the group.
+Then, round by round, each member of a bucket that still spans several components proposes its nearest
+members of other components, and the proposals are verified. Proposals read parity sketches: the bins in
+which two sketches differ are never more than the elements in which the sets differ, so a pair that the
+sketches rule out cannot link. Rounds go on until no bucket has an untested pair that could join two
+components. So no link between components is lost, while a group of near copies costs a few pairs per
+member, not its square. Large buckets are dealt into blocks, and a task sees two blocks.
 
 Edge cases: null, empty and white-space texts have empty sets and link with nothing; with fewer words
 than n the whole sequence is the one element; repeated rows are copies; null ids stay alone unless
@@ -40,6 +43,8 @@ WORDS, PERCENT = 4, 85
 RATIO = 1.25
 #: Bytes hashed at once.
 SLICE = 1 << 20
+#: Members of a block of a bucket, and partners a member proposes per bucket and round.
+BLOCK, PROPOSALS = 2048, 2
 #: Bits of the key filter: fixed, so its broadcast is 8 MiB whatever the corpus.
 FILTER_BITS = 26
 
@@ -235,62 +240,64 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, fp long")
 
 
-def _index(docs: DataFrame, n: int, percent: int, bits=None) -> DataFrame:
-    """(key, node) rows; with ``bits`` only keys that the filter knows."""
+def _index(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, node) rows of all sets that can link with another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bands = Hasher(n), Bands(percent)
         for b in batches:
             seen: set[int] = set()
             keys, nodes, size = [], [], 0
-            for t in texts_of(b.column(1)):
-                h = hasher.shingles(t)
-                if len(h) < bands.least:
-                    continue
-                fp = fingerprint(h)
-                if fp in seen:
+            for t in [*texts_of(b.column(0)), None]:
+                if t is None or size > 200_000:
+                    if size:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                    keys, nodes, size = [], [], 0
+                h = hasher.shingles(t or "")
+                if len(h) < bands.least or (fp := fingerprint(h)) in seen:
                     continue
                 seen.add(fp)
                 k, v = bands.keys(h, fp)
-                if bits is not None:
-                    ok = _has(bits.value, k)
-                    k, v = k[ok], v[ok]
                 keys.append(k.view(np.int64))
                 nodes.append(v)
                 size += len(k)
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
-                    keys, nodes, size = [], [], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
 
-    return docs.mapInArrow(run, "key long, node long")
+    return docs.select("text").mapInArrow(run, "key long, node long")
 
 
-def _members(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
-    """(fp, h): the sets of the nodes that a filter may know, once each."""
-    bits = docs.sparkSession.sparkContext.broadcast(wanted)
+def _members(docs: DataFrame, n: int, percent: int, bits) -> DataFrame:
+    """(key, node, null) rows of the keys that a filter knows, and one (null, fingerprint, set) row of each set with such a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(n)
+        hasher, bands = Hasher(n), Bands(percent)
         for b in batches:
-            seen: dict[int, bytes] = {}
-            for t in texts_of(b.column(1)):
+            seen: set[int] = set()
+            keys, nodes, fps, sets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
+            for t in texts_of(b.column(0)):
                 h = hasher.shingles(t)
-                if len(h):
-                    fp = fingerprint(h)
-                    if fp not in seen and _has(bits.value, np.array([fp], np.int64))[0]:
-                        seen[fp] = h.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.binary())], ["fp", "h"])
+                if len(h) < bands.least or (fp := fingerprint(h)) in seen:
+                    continue
+                seen.add(fp)
+                k, v = bands.keys(h, fp)
+                ok = _has(bits.value, k)
+                if ok.any():
+                    keys.append(k[ok].view(np.int64))
+                    nodes.append(v[ok])
+                    fps.append(fp)
+                    sets.append(h.tobytes())
+            flat = np.concatenate(keys)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(flat), pa.nulls(len(fps), pa.int64())]), pa.array(np.concatenate([*nodes, np.array(fps, np.int64)])), pa.array([None] * len(flat) + sets, pa.binary())],
+                ["key", "node", "h"],
+            )
 
-    rows = docs.mapInArrow(run, "fp long, h binary")
-    return rows.groupBy("fp").agg(F.first("h").alias("h"))
+    return docs.select("text").mapInArrow(run, "key long, node long, h binary")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, n: int, name: str) -> DataFrame:
-    """pairs (a, b) with their exact intersection and union sizes, written."""
-    wanted = _filter(pairs.select(F.explode(F.array("a", "b")).alias("fp")), "fp")
-    sets = _members(docs, n, wanted)
+def _verify(sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """pairs (a, b) with their exact intersection and union sizes, written; sets (fp, h) may hold a set more than once."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = sets.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("h").alias("h"))
     joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,50 +314,124 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, name: str) -> DataFrame:
     return written(joined.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long, both long, either long"), name)
 
 
-def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def sketch(h: np.ndarray, percent: int) -> bytes:
+    """Parities of the set's elements in 2^k bins, at least 16 bins per element that a linked set may differ in."""
+    bound = max(16, (100 - percent) * len(h) // percent)
+    bins = 1 << (16 * bound - 1).bit_length()
+    odd = np.bincount((h & _U(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _fold(raw: bytes, size: int) -> np.ndarray:
+    """A sketch with fewer bins: bins that coincide modulo the new number add up."""
+    x = np.frombuffer(raw, np.uint64)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _sketches(sets: DataFrame, percent: int) -> DataFrame:
+    """(fp, size, sketch) of sets (fp, h)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hs = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in hs], pa.int64()), pa.array([sketch(h, percent) for h in hs], pa.binary())], ["fp", "size", "sketch"])
+
+    return sets.select("fp", "h").mapInArrow(run, "fp long, size long, sketch binary")
+
+
+def _propose(percent: int, most: int):
+    """One pair of blocks of one bucket to (a, b) proposals."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        order = np.argsort(table["block"].to_numpy(), kind="stable")
+        fp, native, comp, size, side = (table[c].to_numpy()[order] for c in ("fp", "native", "c", "size", "block"))
+        raws, failed = table["sketch"].to_pylist(), table["failed"].to_pylist()
+        raws, failed = [raws[k] for k in order], [failed[k] for k in order]
+        words = min(map(len, raws)) // 8
+        bits = np.stack([_fold(r, words) for r in raws])
+        cut = len(fp) if i == j else int((side == i).sum())
+        right = np.arange(0 if i == j else cut, len(fp))
+        step, far = max(1, 2_000_000 // max(1, len(right) * words)), np.iinfo(np.int64).max
+        out_a, out_b = [], []
+        for s in range(0, cut if len(right) else 0, step):
+            rows = np.arange(s, min(s + step, cut))
+            ham = np.bitwise_count(bits[rows][:, None, :] ^ bits[right][None, :, :]).sum(-1, dtype=np.int64)
+            ok = ham * (100 + percent) <= (100 - percent) * (size[rows][:, None] + size[right][None, :])
+            ok &= (comp[rows][:, None] != comp[right][None, :]) & (native[rows][:, None] | native[right][None, :])
+            for k, r in enumerate(rows.tolist()):
+                if failed[r] and ok[k].any():
+                    ok[k] &= ~np.isin(fp[right], failed[r])
+            ham = np.where(ok, ham, far)
+            best = np.argsort(ham, axis=1, kind="stable")[:, :most]
+            near = np.take_along_axis(ham, best, 1) < far
+            a, b = np.repeat(fp[rows], near.sum(1)), fp[right][best[near]]
+            out_a.append(np.minimum(a, b))
+            out_b.append(np.maximum(a, b))
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+
+    return run
+
+
+def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(_sets(docs, n), "sets")
+    docs_sets = written(_sets(docs, n), "sets")
     # Buckets of two nodes or more, with their least native (natives are negative).
     least = _index(docs, n, percent).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     leaders = written(least.filter((F.col("lo") < 0) & (_node("lo") != _node("hi"))).select("key", _node("lo").alias("leader")), "leaders")
     bits = spark.sparkContext.broadcast(_filter(leaders, "key"))
-    buckets = written(_index(docs, n, percent, bits).join(leaders, "key").distinct(), "buckets")
+    found = written(_members(docs, n, percent, bits), "found")
+    sets = found.filter("h is not null").select(F.col("node").alias("fp"), "h")
+    buckets = written(found.filter("h is null").select("key", "node").join(leaders, "key").distinct(), "buckets")
     drop_written(leaders)
     # First the leaders' pairs.
-    first = buckets.filter(_node("node") != F.col("leader")).select(F.col("leader").alias("a"), _node("node").alias("b")).distinct()
-    tested = _verify(docs, first, n, "tested")
+    first = buckets.filter(_node("node") != F.col("leader")).select(F.least("leader", _node("node")).alias("a"), F.greatest("leader", _node("node")).alias("b"))
+    tested = _verify(sets, first.distinct(), "tested")
     link = F.col("both") * 100 >= F.col("either") * percent
-    edges = tested.filter(link).select("a", "b")
-    stars = components(edges)
-    # Then pairs of a bucket that are still apart, unless the triangle inequality excludes them.
-    apart = (1 - F.col("both") / F.col("either")).alias("d")
-    rows = (
-        buckets.select("key", "leader", _node("node").alias("fp"), (F.col("node") < 0).alias("native"))
-        .join(stars.select(F.col("node").alias("fp"), "component"), "fp", "left")
-        .withColumn("c", F.coalesce("component", "fp"))
-        .join(tested.select(F.col("a").alias("leader"), F.col("b").alias("fp"), apart), ["leader", "fp"], "left")
-        .select("key", "fp", "native", "c", F.coalesce("d", F.lit(0.0)).alias("d"), (F.col("fp") == F.col("leader")).alias("led"))
-    )
-    mixed = rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("key")
-    rows = written(rows.filter("not led").join(mixed, "key"), "apart")
-    x, y = rows.alias("x"), rows.alias("y")
-    far = (100 - percent) / 100 + 1e-9
-    second = (
-        x.join(y, F.expr(f"x.key = y.key and x.c <> y.c and x.native and (x.fp < y.fp or not y.native) and abs(x.d - y.d) <= {far}"))
-        .select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
-        .distinct()
-    )
-    rest = _verify(docs, second, n, "tested").filter(link).select("a", "b")
+    stars = components(tested.filter(link).select("a", "b"))
+    # Leaders have met every member of their bucket; the others are still to be compared.
+    members = buckets.filter(_node("node") != F.col("leader")).select("key", _node("node").alias("fp"), (F.col("node") < 0).alias("native"))
+    sketches = None
+    while True:
+        rows = members.join(stars.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("c", F.coalesce("component", "fp")).drop("component")
+        held = F.bit_xor(F.xxhash64("fp", "native")).alias("held")
+        mixed = rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("size"), held).filter("c1 <> c2")
+        # Near copies share many keys: of buckets with the same members one is enough.
+        mixed = mixed.groupBy("held", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+        members = written(rows.join(mixed, "key").select("key", "fp", "native", "c", "blocks"), "members")
+        if not members.head(1):
+            break
+        if sketches is None:
+            needed = sets.join(members.select("fp").distinct(), "fp", "left_semi")
+            sketches = written(_sketches(needed, percent).groupBy("fp").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sketches")
+        gone = tested.filter(~link)
+        failed = gone.select("a", "b").unionByName(gone.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("fp")).agg(F.collect_list("b").alias("failed"))
+        known = sketches.join(failed, "fp", "left")
+        placed = (
+            members.join(known, "fp")
+            .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            .select("key", "fp", "native", "c", "size", "sketch", "failed", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        )
+        pairs = written(placed.groupBy("key", "i", "j").applyInArrow(_propose(percent, PROPOSALS), "a long, b long").distinct(), "proposals")
+        if not pairs.head(1):
+            break
+        new = _verify(sets, pairs, "tested")
+        tested = tested.unionByName(new)
+        stars = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new.filter(link).select("a", "b")))
+        members = members.drop("c", "blocks")
     # Components over the least doc_id of each class of copies.
-    classes = written(sets.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    linked = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
-    named = linked.join(classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    found = components(named, "ra", "rb")
-    final = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return sets.join(final, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    classes = written(docs_sets.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    named = stars.join(classes.select(F.col("fp").alias("node"), "rep"), "node").join(classes.select(F.col("fp").alias("component"), F.col("rep").alias("head")), "component")
+    joined = components(named, "rep", "head")
+    final = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return docs_sets.join(final, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
