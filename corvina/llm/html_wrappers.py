@@ -35,7 +35,7 @@ from corvina.llm.common import bounded_batches, texts_of, written
 MAX_BROADCAST = 100_000
 #: Pages that must agree on a text before it is a constant.
 AGREE = 3
-#: Depth, siblings and constants kept of one wrapper node: wrappers stay small whatever the pages.
+#: Depth, siblings and constants kept of one wrapper (not of a page): wrappers stay small whatever the pages.
 DEPTH, SIBLINGS, CONSTANTS = 64, 200, 50
 #: HTML element names by role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,6 +75,7 @@ def parse(page: str) -> Node:
     """The page's block structure; inline tags vanish, line breaks are blanks."""
     root = Node("body", "body", False)
     stack, at, size = [root], 0, len(page)
+    places: dict[str, list[int]] = {}  # where each tag is open in the stack, so deep pages take no scans
     raw_end: dict[str, re.Pattern] = {}
 
     def text(s: str) -> None:
@@ -85,6 +86,13 @@ def parse(page: str) -> Node:
             else:
                 items.append(s)
 
+    def close(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     pieces: list[str] = []
     while at < size:
         m = TOKEN.search(page, at)
@@ -106,25 +114,22 @@ def parse(page: str) -> Node:
         if name in ("html", "body"):
             continue
         if closing:
-            if name in [n.tag for n in stack[1:]]:
-                while stack.pop().tag != name:
-                    pass
+            if places.get(name):
+                close(places[name][-1])
             continue
         if name in RAW:
             end = raw_end.setdefault(name, re.compile(rf"</{re.escape(name)}\s*[^>]*(?:>|\Z)", re.I)).search(page, at)
             at = end.end() if end else size
             continue
         if name in CLOSES_P and stack[-1].tag == "p":
-            stack.pop()
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in SIBLING_CLOSES.get(name, ()):
-                del stack[k:]
-                break
-            if stack[k].tag in SCOPES:
-                break
+            close(len(stack) - 1)
+        sibling = last(SIBLING_CLOSES.get(name, ()))
+        if sibling > 0 and sibling > last(SCOPES):
+            close(sibling)
         node = _node(name, m[3] or m[6] or "")
         stack[-1].items.append(node)
-        if name not in VOID and len(stack) < DEPTH and not (m[3] or m[6] or "").endswith("/"):
+        if name not in VOID and not (m[3] or m[6] or "").endswith("/"):
+            places.setdefault(name, []).append(len(stack))
             stack.append(node)
     text("".join(pieces))
     return root
@@ -139,11 +144,34 @@ def clean(s: str) -> str:
 # have it; a slot is a text that no two pages share, so it never reaches AGREE. slot is its mean length.
 
 
-def infer(node: Node) -> dict:
-    """The wrapper of one page: equal neighbours folded into repeated groups."""
+def flat(node: Node) -> Iterator[Node | str]:
+    """Texts and outermost article and main elements below a node, in page order, chrome left out."""
+    todo = node.items[::-1]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or x.tag in ("article", "main") and not x.chrome:
+            yield x
+        elif not x.chrome:
+            todo += x.items[::-1]
+
+
+def infer(node: Node, depth: int = 1) -> dict:
+    """The wrapper of one page: equal neighbours folded into repeated groups.
+
+    Below DEPTH all text counts for the deepest node kept; extraction reads pages at any depth.
+    """
     items: list[dict] = []
     texts: dict[str, int] = {}
     size = 0
+    if depth >= DEPTH:
+        todo = [*flat(node)]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                size += len(clean(x))
+            else:
+                todo += flat(x)
+        return {"s": node.sig, "c": int(node.chrome), "n": 1, "r": 0, "o": 0, "k": [], "t": {}, "z": size}
     for x in node.items:
         if isinstance(x, str):
             t = clean(x)
@@ -152,7 +180,7 @@ def infer(node: Node) -> dict:
                 if len(t) <= 400 and len(texts) < CONSTANTS:
                     texts[t] = 1
             continue
-        child = infer(x)
+        child = infer(x, depth + 1)
         if items and items[-1]["s"] == child["s"]:
             items[-1] = merge(items[-1], child, same_page=True)
             items[-1]["r"] = 1
@@ -227,28 +255,38 @@ def extract(page: Node, w: dict | None) -> str:
     if path and not roots:
         own = infer(page)
         return extract(page, own) if own is not w and content_root(own) != path else extract_from([page], None, False)
-    return extract_from(roots, pattern, any(s.split(".")[0] in ("article", "main") for s in path))
+    inside = any(s.split(".")[0] in ("article", "main") for s in path)
+    if not inside:  # an article too deep for any wrapper
+        for tag in ("article", "main"):
+            deep = [x for r in roots for x in flat(r) if isinstance(x, Node) and x.tag == tag]
+            if deep:
+                return extract_from(deep, None, True)
+    return extract_from(roots, pattern, inside)
 
 
 def extract_from(roots: list[Node], pattern: dict | None, inside: bool) -> str:
     blocks: list[str] = []
 
-    def walk(node: Node, p: dict | None, inside: bool, only: bool) -> None:
+    def level(node: Node, p: dict | None, inside: bool, only: bool) -> tuple:
         fixed = {t for t, n in p["t"].items() if n >= AGREE and n > 0.5 * p["n"]} if p and not inside else ()
-        kids = {k["s"]: k for k in p["k"]} if p else {}
-        for x in node.items:
-            if isinstance(x, str):
+        return iter(node.items), fixed, {k["s"]: k for k in p["k"]} if p else {}, inside, only, node.tag
+
+    for r in roots:
+        levels = [level(r, pattern, inside, False)]  # no recursion: pages nest to any depth
+        while levels:
+            items, fixed, kids, within, only, tag = levels[-1]
+            x = next(items, None)
+            if x is None:
+                levels.pop()
+            elif isinstance(x, str):
                 t = clean(x)
-                if t and t not in fixed and (not only or node.tag in HEADINGS):
+                if t and t not in fixed and (not only or tag in HEADINGS):
                     blocks.append(t)
             elif not x.chrome:
                 header = x.tag == "header"
-                if header and not inside:
+                if header and not within:
                     continue
-                walk(x, kids.get(x.sig), inside or x.tag in ("article", "main"), only or header)
-
-    for r in roots:
-        walk(r, pattern, inside, False)
+                levels.append(level(x, kids.get(x.sig), within or x.tag in ("article", "main"), only or header))
     return "\n\n".join(blocks)
 
 

@@ -160,3 +160,12 @@ def test_wrapper_has_slots_optionals_and_repeats():
     w = merge(a, b)
     div, ul = w["k"]
     assert div["k"][0]["r"] == 1 and ul["o"] == 1 and div["o"] == 0
+
+
+def test_deep_pages_keep_their_text():
+    from corvina.llm.html_wrappers import extract, infer, parse
+
+    page = "<body><div><article><h1>T</h1><p>first</p>" + "<div>" * 70 + "deep<nav>menu</nav>" + "</div>" * 70 + "<p>after one</p></article></div><footer>f</footer>"
+    assert extract(parse(page), infer(parse(page))).split("\n\n") == ["T", "first", "deep", "after one"]
+    unclosed = "<div>" * 5000 + "<p>low</p><article><p>story</p></article><p>end</p>"
+    assert extract(parse(unclosed), None) == "story"
