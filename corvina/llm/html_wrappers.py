@@ -3,7 +3,8 @@
 A page's token stream is read into nested block elements; a host's pages are aligned one after the
 other into one wrapper, a union-free expression over element signatures: equal elements align, runs of
 equal siblings become repeated groups, elements that some page lacks become optional groups, and texts
-that differ between pages become slots, while texts that never differ stay constants. Each partition
+that differ between pages become slots, while texts that never differ stay constants. Where a node has
+too many kinds of children, its rare ones share a general signature per tag. Each partition
 folds its pages of a host into one partial wrapper before anything is shuffled, so a host with a third
 of all pages costs one small row per partition. All pages take part.
 
@@ -45,6 +46,7 @@ CHROME = set("nav footer aside form button select option input dialog menu svg c
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt".split())
 SIBLING_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+KNOWN = CHROME | HEADINGS | CLOSES_P | set("center td th tr thead tbody tfoot caption figure figcaption details summary search hgroup".split())
 SCOPES = set("ul ol dl table article section div main body aside nav header footer form blockquote".split())
 #: Words of class, id and role attributes that mark chrome.
 MARKS = set("ad ads advert advertisement advertising adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended sidebar widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead toolbar comment comments discussion disqus replies respond reader-comments tags".split())
@@ -184,9 +186,48 @@ def infer(node: Node, depth: int = 1) -> dict:
         if items and items[-1]["s"] == child["s"]:
             items[-1] = merge(items[-1], child, same_page=True)
             items[-1]["r"] = 1
-        elif len(items) < SIBLINGS:
+        else:
             items.append(child)
-    return {"s": node.sig, "c": int(node.chrome), "n": 1, "r": 0, "o": 0, "k": items, "t": texts, "z": size}
+    return {"s": node.sig, "c": int(node.chrome), "n": 1, "r": 0, "o": 0, "k": general(items, SIBLINGS, 1), "t": texts, "z": size}
+
+
+def kind_of(sig: str) -> str:
+    """The general signature that stands for rare ones of a tag; unknown tags share one."""
+    tag = sig.split(".")[0]
+    return (tag if tag in KNOWN else "*") + ".*"
+
+
+def look_up(kids: dict[str, dict], sig: str) -> dict | None:
+    return kids.get(sig) or kids.get(kind_of(sig))
+
+
+def general(items: list[dict], most: int, pages: int) -> list[dict]:
+    """Items of a wrapper node in bounded space: no text or page count is lost, signatures of rare items are.
+
+    Beyond ``most`` items, equal signatures become one repeated group, then those of the fewest pages become
+    one group per tag. Article and main elements and items of most pages go last.
+    """
+    if len(items) <= most:
+        return items
+
+    def fold(sig_of) -> list[dict]:
+        groups: dict[str, dict] = {}
+        for x in items:
+            sig = sig_of(x)
+            x = {**x, "s": sig}
+            if sig in groups:
+                whole = merge(groups[sig], x, same_page=pages == 1)
+                whole["n"] = min(whole["n"], pages)
+                x = {**whole, "t": {t: min(n, pages) for t, n in whole["t"].items()}, "r": 1}
+            groups[sig] = x
+        return list(groups.values())
+
+    items = fold(lambda x: x["s"])
+    if len(items) > most:
+        worth = lambda x: (x["s"].endswith(".*"), x["s"].split(".")[0] in ("article", "main"), x["n"], x["s"])
+        kept = {x["s"] for x in sorted(items, key=worth, reverse=True)[: most // 2]}
+        items = fold(lambda x: x["s"] if x["s"] in kept else kind_of(x["s"]))
+    return items
 
 
 def merge(a: dict, b: dict, same_page: bool = False) -> dict:
@@ -211,7 +252,7 @@ def merge(a: dict, b: dict, same_page: bool = False) -> dict:
     if len(texts) > CONSTANTS:  # rare texts are slots
         texts = dict(sorted(texts.items(), key=lambda kv: (-kv[1], kv[0]))[:CONSTANTS])
     n = a["n"] if same_page else a["n"] + b["n"]
-    return {"s": a["s"], "c": a["c"], "n": n, "r": a["r"] | b["r"], "o": a["o"] | b["o"], "k": items[: 2 * SIBLINGS], "t": texts, "z": a["z"] + b["z"]}
+    return {"s": a["s"], "c": a["c"], "n": n, "r": a["r"] | b["r"], "o": a["o"] | b["o"], "k": general(items, 2 * SIBLINGS, n), "t": texts, "z": a["z"] + b["z"]}
 
 
 def content_root(w: dict) -> list[str]:
@@ -248,10 +289,11 @@ def extract(page: Node, w: dict | None) -> str:
     """The page's main text along a wrapper (None: its own)."""
     w = w or infer(page)
     path = content_root(w)
-    roots, pattern = [page], w
+    roots, patterns = [page], [w]
     for sig in path:
-        roots = [x for r in roots for x in r.items if isinstance(x, Node) and x.sig == sig]
-        pattern = next((k for k in pattern["k"] if k["s"] == sig), None) if pattern else None
+        kids = {k["s"] for p in patterns for k in p["k"]}
+        roots = [x for r in roots for x in r.items if isinstance(x, Node) and (x.sig if x.sig in kids else kind_of(x.sig)) == sig]
+        patterns = [k for p in patterns for k in p["k"] if k["s"] == sig]
     if path and not roots:
         own = infer(page)
         return extract(page, own) if own is not w and content_root(own) != path else extract_from([page], None, False)
@@ -261,7 +303,7 @@ def extract(page: Node, w: dict | None) -> str:
             deep = [x for r in roots for x in flat(r) if isinstance(x, Node) and x.tag == tag]
             if deep:
                 return extract_from(deep, None, True)
-    return extract_from(roots, pattern, inside)
+    return extract_from(roots, patterns[0], inside)
 
 
 def extract_from(roots: list[Node], pattern: dict | None, inside: bool) -> str:
@@ -286,7 +328,7 @@ def extract_from(roots: list[Node], pattern: dict | None, inside: bool) -> str:
                 header = x.tag == "header"
                 if header and not within:
                     continue
-                levels.append(level(x, kids.get(x.sig), within or x.tag in ("article", "main"), only or header))
+                levels.append(level(x, look_up(kids, x.sig), within or x.tag in ("article", "main"), only or header))
     return "\n\n".join(blocks)
 
 

@@ -169,3 +169,25 @@ def test_deep_pages_keep_their_text():
     assert extract(parse(page), infer(parse(page))).split("\n\n") == ["T", "first", "deep", "after one"]
     unclosed = "<div>" * 5000 + "<p>low</p><article><p>story</p></article><p>end</p>"
     assert extract(parse(unclosed), None) == "story"
+
+
+def letters(k):
+    return "".join(chr(97 + int(c)) for c in f"{k:04d}")
+
+
+def test_wrapper_keeps_its_content_root_over_many_unique_elements():
+    from corvina.llm.html_wrappers import SIBLINGS, extract, infer, merge, parse
+
+    def check(page_of, want):
+        pages = [parse(page_of(k)) for k in range(700)]
+        w = None
+        for p in pages:
+            w = merge(w, infer(p)) if w else infer(p)
+        assert len(w["k"]) <= 2 * SIBLINGS and all(extract(pages[k], w) == want(k) for k in (0, 350, 699))
+
+    check(lambda k: f"<div id={letters(k)}>offer text {k}</div><article><p>story {k}</p></article>", lambda k: f"story {k}")
+    check(lambda k: f"<article id={letters(k)}><p>story {k}</p></article><div>All rights reserved</div>", lambda k: f"story {k}")
+    check(lambda k: f"<div id={letters(k)}>offer {k}</div><div class=post><p>story {k}</p></div><div>All rights reserved</div>", lambda k: f"offer {k}\n\nstory {k}")
+    # One page of many unlike elements.
+    page = parse("".join(f"<div id={letters(k)}>x{k}</div>" for k in range(900)) + "<article>story</article>")
+    assert len(infer(page)["k"]) <= SIBLINGS and extract(page, None) == "story"
