@@ -5,13 +5,14 @@ other into one wrapper, a union-free expression over element signatures: equal e
 equal siblings become repeated groups, elements that some page lacks become optional groups, and texts
 that differ between pages become slots, while texts that never differ stay constants. Where a node has
 too many kinds of children, its rare ones share a general signature per tag. Each partition
-folds its pages of a host into one partial wrapper before anything is shuffled, so a host with a third
+folds its pages of a host into one partial wrapper before wrappers are shuffled, so a host with a third
 of all pages costs one small row per partition. All pages take part.
 
 Extraction parses a page along its host's wrapper: the content root is the wrapper's article or main
 element, or else the element with most slot text; chrome below it is left out, constants of the wrapper
-outside an article are template text and left out too. A page that its wrapper doesn't describe (no
-content root found) is aligned on its own.
+outside an article or the element of the slot texts are template text and left out too. Pages of one host
+with the same text vote once, so copies make no constants. A page that its wrapper doesn't describe (no
+content root found, or nothing but constants) is aligned on its own.
 
 Edge cases: null and empty html give an empty text; unclosed or stray tags, comments, quotes and
 truncated entities are tolerated; pages without a url share a wrapper of the empty host; repeated rows
@@ -20,6 +21,7 @@ are extracted each; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -47,6 +49,7 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt".split())
 SIBLING_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KNOWN = CHROME | HEADINGS | CLOSES_P | set("center td th tr thead tbody tfoot caption figure figcaption details summary search hgroup".split())
+CONTAINERS = set("div section table tbody tr td center".split())
 SCOPES = set("ul ol dl table article section div main body aside nav header footer form blockquote".split())
 #: Words of class, id and role attributes that mark chrome.
 MARKS = set("ad ads advert advertisement advertising adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended sidebar widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead toolbar comment comments discussion disqus replies respond reader-comments tags".split())
@@ -279,16 +282,48 @@ def content_root(w: dict) -> list[str]:
     while True:  # descend while one child holds nearly all slot text
         whole = total(w)
         top = max(w["k"], key=total, default=None)
-        if top is None or top["s"].split(".")[0] not in ("div", "section", "table", "tbody", "tr", "td", "center") or total(top) < 0.8 * whole:
+        if top is None or top["s"].split(".")[0] not in CONTAINERS or total(top) < 0.8 * whole:
             return path
         path.append(top["s"])
         w = top
 
 
+def constants(w: dict) -> dict[str, int]:
+    return {t: n for t, n in w["t"].items() if n >= AGREE and n > 0.5 * w["n"]}
+
+
+def mark_core(w: dict, path: list[str]) -> None:
+    """Mark the element below the content root that holds the slot texts: all of its text is content."""
+
+    def slots(p: dict) -> int:
+        if p["c"]:
+            return 0
+        return max(0, p["z"] - sum(len(t) * n for t, n in constants(p).items())) + sum(map(slots, p["k"]))
+
+    p = w
+    for sig in path:
+        p = next((k for k in p["k"] if k["s"] == sig), None)
+        if p is None:
+            return
+    while True:
+        whole = slots(p)
+        top = max(p["k"], key=slots, default=None)
+        alone = top is not None and not top["r"] and sum(k["s"] == top["s"] for k in p["k"]) == 1
+        if not whole or not alone or top["s"].split(".")[0] not in CONTAINERS or slots(top) < 0.8 * whole:
+            break
+        p = top
+    prose = whole - sum(slots(k) for k in p["k"] if k["s"].split(".")[0] in CONTAINERS)
+    if p is not w and whole and prose >= 0.5 * whole:
+        p["core"] = 1
+
+
 def extract(page: Node, w: dict | None) -> str:
     """The page's main text along a wrapper (None: its own)."""
     w = w or infer(page)
-    path = content_root(w)
+    if "path" not in w:
+        w["path"] = content_root(w)
+        mark_core(w, w["path"])
+    path = w["path"]
     roots, patterns = [page], [w]
     for sig in path:
         kids = {k["s"] for p in patterns for k in p["k"]}
@@ -303,14 +338,15 @@ def extract(page: Node, w: dict | None) -> str:
             deep = [x for r in roots for x in flat(r) if isinstance(x, Node) and x.tag == tag]
             if deep:
                 return extract_from(deep, None, True)
-    return extract_from(roots, patterns[0], inside)
+    return extract_from(roots, patterns[0], inside) or extract_from(roots, None, inside)
 
 
 def extract_from(roots: list[Node], pattern: dict | None, inside: bool) -> str:
     blocks: list[str] = []
 
     def level(node: Node, p: dict | None, inside: bool, only: bool) -> tuple:
-        fixed = {t for t, n in p["t"].items() if n >= AGREE and n > 0.5 * p["n"]} if p and not inside else ()
+        p = None if inside or p and "core" in p else p
+        fixed = constants(p) if p else ()
         return iter(node.items), fixed, {k["s"]: k for k in p["k"]} if p else {}, inside, only, node.tag
 
     for r in roots:
@@ -345,9 +381,15 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, dict] = {}
+        seen: set[bytes] = set()
         for b in batches:
-            for url, page in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
-                host, w = host_of(url), infer(parse(page))
+            for url, page, vote in zip(b.column(0).to_pylist(), texts_of(b.column(1)), texts_of(b.column(2))):
+                host = host_of(url)
+                vote = hashlib.md5(f"{host} {vote}".encode("utf-8", "replace")).digest()
+                if vote in seen:
+                    continue
+                seen.add(vote)
+                w = infer(parse(page))
                 found[host] = merge(found[host], w) if host in found else w
             if len(found) > 5_000:
                 yield pack(found)
@@ -365,7 +407,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
             done = merge(done, w) if done else w
         return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(done)]})
 
-    parts = pages.select("url", "html").mapInArrow(partial, "host string, wrapper string")
+    # Pages of one text meet in one partition, where they vote once for a host.
+    body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|\s+", "")
+    voters = pages.select("url", "html", F.md5(body).alias("vote")).repartition("vote")
+    parts = voters.mapInArrow(partial, "host string, wrapper string")
     # Two rounds: a host on every partition is first folded in 64 places.
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(64)))
     once = salted.groupBy("host", "salt").applyInArrow(fold, "host string, wrapper string")
@@ -415,7 +460,6 @@ def slim(wrapper: str) -> str:
     """A wrapper with constants only, as extraction needs it."""
 
     def cut(w: dict) -> dict:
-        texts = {t: n for t, n in w["t"].items() if n >= AGREE and n > 0.5 * w["n"]}
-        return {**w, "t": texts, "k": [] if w["c"] else [cut(k) for k in w["k"]]}
+        return {**w, "t": constants(w), "k": [] if w["c"] else [cut(k) for k in w["k"]]}
 
     return json.dumps(cut(json.loads(wrapper)))

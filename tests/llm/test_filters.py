@@ -191,3 +191,18 @@ def test_wrapper_keeps_its_content_root_over_many_unique_elements():
     # One page of many unlike elements.
     page = parse("".join(f"<div id={letters(k)}>x{k}</div>" for k in range(900)) + "<article>story</article>")
     assert len(infer(page)["k"]) <= SIBLINGS and extract(page, None) == "story"
+
+
+def test_copied_pages_keep_their_article(spark):
+    from corvina.llm import html_wrappers
+
+    near = BARE.replace("More {0}", "Shared closing line").replace("Story {0}", "Shared story").replace("</p></div>", "</p><p>Revision {0}.</p></div>")
+    rows = [(k, "http://a.example/x", BARE.format("a")) for k in range(3)]
+    rows += [(10 + k, f"http://b.example/{k}", BARE.format("b")) for k in range(3)] + [(13 + k, f"http://b.example/o{k}", BARE.format(f"o{k}")) for k in range(2)]
+    rows += [(20 + k, f"http://c.example/{k}", near.format(f"r{k}")) for k in range(3)] + [(23 + k, f"http://c.example/o{k}", BARE.format(f"o{k}")) for k in range(2)]
+    got = {r.page_id: r.text for r in html_wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    story = "Story {0} with enough words to be a story.\n\nMore {0}."
+    assert all(story.format("a") in got[k] for k in range(3))
+    assert [got[k] for k in range(10, 15)] == [story.format(x) for x in ("b", "b", "b", "o0", "o1")]
+    shared = "Shared story with enough words to be a story.\n\nShared closing line.\n\nRevision r{0}."
+    assert [got[20 + k] for k in range(3)] == [shared.format(k) for k in range(3)]
