@@ -13,7 +13,7 @@ of those whose surrogate is itself some entity of the corpus, all but the least
 until none is left. Only these exceptions are joined back to their texts.
 
 Edge cases: null and empty texts stay as they are; texts of any length are searched whole; digit runs
-that fail the Luhn check are not card numbers; repeated rows get equal surrogates; an empty table gives
+that fail the Luhn check, as all of their sub-runs of groups do, are not card numbers; repeated rows get equal surrogates; an empty table gives
 an empty table; other columns pass through whatever their names.
 """
 
@@ -60,13 +60,18 @@ def _patterns() -> dict[str, str]:
         "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
         "ip": rf"(?<![\w.])(?:{octet}\.){{3}}{octet}(?!\w|\.[0-9])",
         "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?!\w)|(?<![\w.])\+[0-9]{8,14}(?!\w)",
-        "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?!\w)",
+        # A whole run of digit groups; _parts finds the cards and telephone numbers in it.
+        "card": r"(?<![\w.-])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?!\w)(?:[ -][0-9]++(?!\w))*+",
         "secret": r"""(?<!\w)(?i:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[^\s"']{8,}+|(?<!\w)[0-9a-fA-F]{32,}+(?!\w)""",
         "person": rf"(?<![\p{{L}}\p{{M}}])(?:{titles})\.?[ \x{{A0}}]{name}(?: {name}){{0,2}}",
     }
 
 
 PATTERNS = _patterns()
+#: What stands before a secret in its match.
+SECRET_KEY = r"""^(?i:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?"""
+#: Groupings of card numbers, as sought in runs of more digits than one card has.
+CARD_SHAPE = r"^(?:[0-9]{13,19}|(?:2[2-7]|[3-6][0-9])[0-9]{2}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5})$"
 #: All kinds at once, in order of precedence.
 ANY = "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "secret", "ip", "card", "phone", "person"))
 
@@ -83,14 +88,48 @@ def _luhn(digits: str) -> str:
 def _kind(m: str) -> str:
     """SQL: the type of a match, null for a digit run that is no card number."""
     digits = f"regexp_replace({m}, '[^0-9]', '')"
-    return f"""case when {m} rlike '(?i)^(token|secret|passw|api[_-]?key)' or {m} rlike '^[0-9a-fA-F]{{32,}}$' then 'secret'
+    return f"""case when {m} rlike '{_sql(SECRET_KEY)}' or {m} rlike '^[0-9a-fA-F]{{32,}}$' then 'secret'
         when contains({m}, '@') then 'email'
         when {m} rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' then 'ip'
         when {m} rlike '^[0-9]([ -]?[0-9]){{12,18}}$' then if({_luhn(digits)} % 10 = 0, 'card', null)
-        when {m} rlike '^[+(0-9]' then 'phone'
+        when {m} rlike '^[+(0-9 -]' then if({m} rlike '^(?:{_sql(PATTERNS["phone"])})$', 'phone', null)
         else 'person' end"""
 
 
+def _parts(m: str) -> str:
+    """SQL: a match as parts that make it up; a run of digit groups falls into cards, telephone numbers and the rest.
+
+    A run of at most 19 digits is one card if it passes the Luhn check, else its best sub-run that does is:
+    one grouped as cards are, or else the longest. Longer runs hold cards in the usual groupings.
+    """
+    digits = lambda x: f"regexp_replace({x}, '[^0-9]', '')"
+    bare = lambda x: f"regexp_replace({x}, '[ -]$', '')"
+    window = f"array_join(slice(gs, wi + 1, wj - wi + 1), '')"  # noqa: F541
+    passes = f"length({digits('w.s')}) between 13 and 19 and (w.shape or length({digits(m)}) <= 19) and {_luhn(digits('w.s'))} % 10 = 0"
+    windows = f"""filter(flatten(transform(sequence(0, size(gs) - 1), wi -> transform(sequence(wi, least(wi + 18, size(gs) - 1)),
+        wj -> struct({bare(window)} as s, wi as i, wj as j, {bare(window)} rlike '{_sql(CARD_SHAPE)}' as shape)))), w -> {passes})"""
+    best = f"""if(length({digits(m)}) > 19, ws, slice(array_sort(ws, (a, b) -> case
+        when a.shape and not b.shape and length(b.s) < length({m}) or length(a.s) = length({m}) then -1
+        when b.shape and not a.shape and length(a.s) < length({m}) or length(b.s) = length({m}) then 1
+        when length({digits('a.s')}) <> length({digits('b.s')}) then length({digits('b.s')}) - length({digits('a.s')}) else a.i - b.i end), 1, 1))"""
+    # From left to right, without overlaps: (next free group, spans).
+    spans = f"""aggregate({best}, struct(0 as free, cast(array() as array<struct<i:int,j:int>>) as got),
+        (acc, w) -> if(w.i >= acc.free, struct(w.j + 1 as free, array_append(acc.got, struct(w.i as i, w.j as j)) as got), acc), acc -> acc.got)"""
+    marked = f"""array_join(transform(gs, (g, k) -> concat(if(exists(ss, s -> s.i = k), '\\u0001', ''), {digits('g')},
+        if(exists(ss, s -> s.j = k), '\\u0001', ''), regexp_replace(g, '[0-9]', ''))), '')"""
+    phone = _sql(PATTERNS["phone"])
+    phones = f"filter(flatten(zip_with(split(x, '{phone}', -1), regexp_extract_all(x, '{phone}', 0), (a, b) -> array(a, b))), y -> y is not null)"
+    bind = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    pieces = f"flatten(transform(split({marked}, '\\u0001', -1), (x, k) -> if(k % 2 = 1, array(x), {phones})))"
+    run = bind(f"regexp_extract_all({m}, '[0-9]+[ -]?', 0)", "gs", bind(windows, "ws", bind(spans, "ss", pieces)))
+    return f"if({m} rlike '^[0-9]([ -]?[0-9]){{12,}}$', {run}, array({m}))"
+
+
+def _found(text: str) -> str:
+    """SQL: the parts of all matches of a text."""
+    return f"flatten(transform(regexp_extract_all({text}, '{_sql(ANY)}', 0), q -> {_parts('q')}))"
+
+
 def _entities(m: str) -> str:
     """SQL: array of (kind, canonical) of one match; a person is one entity per name word."""
     kind = _kind(m)
@@ -99,18 +138,18 @@ def _entities(m: str) -> str:
     words = f"slice(split({m}, '[ \\u00a0]'), 2, 9)"
     people = f"""transform({words}, (w, i) -> struct(concat(if(i < size({words}) - 1, concat('given-', case {gender} end), 'surname'), if(w rlike '\\\\p{{IsCyrillic}}', '-cyrillic', '-latin')) as kind, lower(w) as canon))"""
     canon = f"""case {kind} when 'email' then lower({m})
-        when 'secret' then regexp_extract({m}, '[^\\\\s"\\':=]+$', 0)
+        when 'secret' then regexp_replace({m}, '{_sql(SECRET_KEY)}', '')
         when 'ip' then {m} else regexp_replace({m}, '[^0-9]', '') end"""
     return f"case when {kind} = 'person' then {people} when {kind} is null then array() else array(struct({kind} as kind, {canon} as canon)) end"
 
 
-def _spread(text: str, hexes: str) -> str:
-    """SQL: digits and letters of a text replaced by keyed ones of the same class; all else stays."""
+def _spread(text: str, hexes: str, other: str = "c") -> str:
+    """SQL: digits and letters of a text replaced by keyed ones of the same class; all else stays, or is ``other``."""
     at = f"substr({hexes}, i % 128 + 1, 1)"
     digit = f"translate({at}, 'abcdef', '135790')"
     lower = f"translate({at}, '0123456789abcdef', 'abcdefghijklmnop')"
     return f"""array_join(transform(split({text}, ''), (c, i) -> case when c rlike '[0-9]' then {digit}
-        when c rlike '\\\\p{{Lu}}' then upper({lower}) when c rlike '\\\\p{{L}}' then {lower} else c end), '')"""
+        when c rlike '\\\\p{{Lu}}' then upper({lower}) when c rlike '\\\\p{{L}}' then {lower} else {other} end), '')"""
 
 
 def _surrogate(kind: str, canon: str, attempt: str, key: str) -> str:
@@ -126,18 +165,23 @@ def _surrogate(kind: str, canon: str, attempt: str, key: str) -> str:
         when {kind} = 'ip' then concat_ws('.', '10', conv(substr(x, 1, 2), 16, 10), conv(substr(x, 3, 2), 16, 10), conv(substr(x, 5, 2), 16, 10))
         when {kind} = 'card' then {_card(canon)}
         when {kind} = 'phone' then {_spread(canon, 'x')}
-        when {kind} = 'secret' then {_secret(canon)}
+        when {kind} = 'secret' then {_secret(canon, attempt)}
         {given}
         {surname} end"""
     return f"element_at(transform(array({digest}), x -> {body}), 1)"
 
 
-def _secret(canon: str) -> str:
-    """SQL: hexadecimal secrets stay hexadecimal, others keep character classes."""
+def _secret(canon: str, attempt: str) -> str:
+    """SQL: hexadecimal secrets stay hexadecimal, others keep character classes.
+
+    Punctuation stays, but not where it is all there is or where too few letters and digits leave clashes.
+    """
     at = "substr(x, i % 128 + 1, 1)"
     hexes = f"array_join(transform(split({canon}, ''), (c, i) -> if(c rlike '[A-F]', upper({at}), {at})), '')"
     hexes = f"if({canon} rlike '[A-F]', upper({hexes}), {hexes})"
-    return f"if({canon} rlike '^([0-9a-f]+|[0-9A-F]+)$', {hexes}, {_spread(canon, 'x')})"
+    signs = f"translate({at}, '0123456789abcdef', '!#$%&*+,-.;<>?@^')"
+    plain = f"{attempt} < 4 and {canon} rlike '[0-9\\\\p{{L}}]'"
+    return f"if({canon} rlike '^([0-9a-f]+|[0-9A-F]+)$', {hexes}, {_spread(canon, 'x', f'if({plain}, c, {signs})')})"
 
 
 def _card(canon: str) -> str:
@@ -158,7 +202,7 @@ def _shape(m: str, kind: str, made: str) -> str:
 
 def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """kind, canon: the distinct entities of all texts (pre-aggregated before the shuffle)."""
-    found = F.expr(f"regexp_extract_all({text_col}, '{_sql(ANY)}', 0)")
+    found = F.expr(_found(f"`{text_col}`"))
     hit = docs.filter(F.col(text_col).rlike(ANY)).select(F.explode(found).alias("m"))
     return hit.select(F.explode(F.expr(_entities("m"))).alias("e")).select("e.kind", "e.canon").distinct()
 
@@ -191,7 +235,7 @@ def _rewrite(text: str, key: str, attempts: str | None) -> str:
         when es[0].kind rlike '^(given|surname)' then concat({title}, array_join({name}, ' '))
         else element_at(transform({name}, y -> {_shape('m', 'es[0].kind', 'y')}), 1) end), 1)"""
     pattern = _sql(ANY)
-    return f"""array_join(zip_with(split({text}, '{pattern}', -1), transform(regexp_extract_all({text}, '{pattern}', 0), m -> {one}), (a, b) -> concat(a, coalesce(b, ''))), '')"""
+    return f"""array_join(zip_with(split({text}, '{pattern}', -1), transform(regexp_extract_all({text}, '{pattern}', 0), q -> array_join(transform({_parts('q')}, m -> {one}), '')), (a, b) -> concat(a, coalesce(b, ''))), '')"""
 
 
 def replace(docs: DataFrame, key: str = "surrogate-key-1", text_col: str = "text") -> DataFrame:
@@ -203,7 +247,7 @@ def replace(docs: DataFrame, key: str = "surrogate-key-1", text_col: str = "text
         return docs.withColumn(text_col, F.when(hit, F.expr(_rewrite(f"`{text_col}`", key, None))).otherwise(F.col(text_col)))
     # Texts that hold an exception get its attempts as a map; texts are joined by hash, not by id.
     h, attempts = "__text_hash", "__attempts"
-    found = docs.filter(hit).select(F.xxhash64(text_col).alias(h), F.explode(F.expr(f"regexp_extract_all(`{text_col}`, '{_sql(ANY)}', 0)")).alias("m"))
+    found = docs.filter(hit).select(F.xxhash64(text_col).alias(h), F.explode(F.expr(_found(f"`{text_col}`"))).alias("m"))
     found = found.select(h, F.explode(F.expr(_entities("m"))).alias("e")).select(h, "e.kind", "e.canon")
     maps = found.join(moved, ["kind", "canon"]).groupBy(h).agg(
         F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias(attempts)

@@ -206,3 +206,18 @@ def test_copied_pages_keep_their_article(spark):
     assert [got[k] for k in range(10, 15)] == [story.format(x) for x in ("b", "b", "b", "o0", "o1")]
     shared = "Shared story with enough words to be a story.\n\nShared closing line.\n\nRevision r{0}."
     assert [got[20 + k] for k in range(3)] == [shared.format(k) for k in range(3)]
+
+
+def test_pii_leaves_no_match_in_clear(spark):
+    from corvina.llm import pii
+
+    card, other = "4111111111111111", "5500 0000 0000 0004"
+    texts = ["password=aGVsbG8gd29ybGQ= end", "api_key: AbC:dEfGhIjKl123", "password: '!!##!!##!!'", f"{card} 123", f"{card} 12/27", f"5 {card}", f"{other} {other} 17", f"pay {card} 017 555-7713 now", "12345 017 555-7713", f"{card} 12th", "4179672074533674 12 x", "token@mail.com"]
+    got = [r.text for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    for kept in ("aGVs", "b8gd", "AbC:", "dEfG", "!!##!!", card, "5500 0000", "555-7713", "token@mail"):
+        assert not any(kept in x for x in got), (kept, got)
+    assert re.fullmatch(r"password=\w{15}= end", got[0])
+    assert re.fullmatch(r"api_key: \w{3}:\w{12}", got[1]) and got[5].startswith("5 ") and got[3].endswith(" 123") and got[4].endswith(" 12/27")
+    assert re.fullmatch(r"(\d{4} \d{4} \d{4} \d{4}) \1 17", got[6]) and got[9].endswith(" 12th") and got[10] == texts[10]
+    assert re.fullmatch(r"pay \d{16} \d{3} \d{3}-\d{4} now", got[7]) and re.fullmatch(r"12345 \d{3} \d{3}-\d{4}", got[8])
+    assert re.fullmatch(r"\S+@\w+\.example", got[11])
