@@ -8,6 +8,9 @@ addresses of hosts stay in a private range, card numbers stay Luhn-valid, secret
 case and alphabet, and titled personal names keep gender and script, each name word on its own, so that
 "Mrs Ada Stone" and "Mrs Stone" still share a surname.
 
+A telephone number is its country code, where one is set apart, and its other digits; its surrogate is the
+very digits that are written out, code included.
+
 Collision check: surrogates of all distinct entities are compared; of entities that would share one, and
 of those whose surrogate is itself some entity of the corpus, all but the least take the next attempt,
 until none is left. Only these exceptions are joined back to their texts.
@@ -139,7 +142,9 @@ def _entities(m: str) -> str:
     people = f"""transform({words}, (w, i) -> struct(concat(if(i < size({words}) - 1, concat('given-', case {gender} end), 'surname'), if(w rlike '\\\\p{{IsCyrillic}}', '-cyrillic', '-latin')) as kind, lower(w) as canon))"""
     canon = f"""case {kind} when 'email' then lower({m})
         when 'secret' then regexp_replace({m}, '{_sql(SECRET_KEY)}', '')
-        when 'ip' then {m} else regexp_replace({m}, '[^0-9]', '') end"""
+        when 'ip' then {m}
+        when 'phone' then concat(regexp_extract({m}, '^([+][0-9]{{1,3}})[ .(-]', 1), if({m} rlike '^[+][0-9]{{1,3}}[ .(-]', ' ', ''), regexp_replace(regexp_replace({m}, '^[+][0-9]{{1,3}}(?=[ .(-])', ''), '[^0-9]', ''))
+        else regexp_replace({m}, '[^0-9]', '') end"""
     return f"case when {kind} = 'person' then {people} when {kind} is null then array() else array(struct({kind} as kind, {canon} as canon)) end"
 
 
@@ -164,7 +169,7 @@ def _surrogate(kind: str, canon: str, attempt: str, key: str) -> str:
         when {kind} = 'email' then concat({_spread(f"substring_index({canon}, '@', 1)", 'x')}, '@', translate(substr(x, 100, 10), '0123456789abcdef', 'bcdfghklmnprstvz'), '.example')
         when {kind} = 'ip' then concat_ws('.', '10', conv(substr(x, 1, 2), 16, 10), conv(substr(x, 3, 2), 16, 10), conv(substr(x, 5, 2), 16, 10))
         when {kind} = 'card' then {_card(canon)}
-        when {kind} = 'phone' then {_spread(canon, 'x')}
+        when {kind} = 'phone' then concat(regexp_extract({canon}, '^[+]([0-9]+) ', 1), {_spread(f"regexp_replace({canon}, '^[+][0-9]+ ', '')", 'x')})
         when {kind} = 'secret' then {_secret(canon, attempt)}
         {given}
         {surname} end"""
@@ -193,11 +198,9 @@ def _card(canon: str) -> str:
 def _shape(m: str, kind: str, made: str) -> str:
     """SQL: a match rewritten with its canonical surrogate ``made`` in the match's own punctuation."""
     digits = f"""array_join(transform(split({m}, ''), (c, i) -> if(c rlike '[0-9]', substr({made}, length(regexp_replace(substr({m}, 1, i + 1), '[^0-9]', '')), 1), c)), '')"""
-    # The country code stays: its digits are put back in front.
-    code = f"regexp_extract({m}, '^[+][0-9]{{1,3}}(?=[ .(-])', 0)"
     return f"""case {kind} when 'email' then {made} when 'ip' then {made}
         when 'secret' then concat(substr({m}, 1, length({m}) - length({made})), {made})
-        when 'phone' then concat({code}, substr({digits}, length({code}) + 1)) else {digits} end"""
+        else {digits} end"""
 
 
 def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -214,7 +217,7 @@ def exceptions(entities: DataFrame, key: str) -> DataFrame | None:
         made = written(now.withColumn("made", F.expr(_surrogate("kind", "canon", "attempt", key))), "surrogates")
         taken = made.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min("canon").alias("first")).filter("n > 1")
         shared = made.join(taken, ["kind", "made"]).filter("canon <> first").select("kind", "canon")
-        real = made.alias("a").join(entities.alias("b"), F.expr("a.kind = b.kind and lower(a.made) = lower(b.canon)"), "left_semi")
+        real = made.alias("a").join(entities.alias("b"), F.expr("a.kind = b.kind and lower(a.made) = if(b.kind = 'phone', regexp_replace(b.canon, '[^0-9]', ''), lower(b.canon))"), "left_semi")
         losers = written(shared.unionByName(real.select("kind", "canon")).distinct(), "losers")
         if not losers.head(1):
             break
