@@ -13,7 +13,7 @@ very digits that are written out, code included.
 
 Collision check: surrogates of all distinct entities are compared; of entities that would share one, and
 of those whose surrogate is itself some entity of the corpus, all but the least take the next attempt,
-until none is left. Only these exceptions are joined back to their texts.
+until none is left (names grow by a syllable an attempt). Only these exceptions are joined back to their texts.
 
 Edge cases: null and empty texts stay as they are; texts of any length are searched whole; digit runs
 that fail the Luhn check, as all of their sub-runs of groups do, are not card numbers; repeated rows get equal surrogates; an empty table gives
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from corvina.llm.common import written
 
-#: Rounds of the collision check; a round leaves a vanishing share of entities.
-ROUNDS = 20
+#: Rounds of the collision check without progress after which a surrogate space counts as exhausted.
+STALLED = 20
 #: Titles before personal names, by gender.
 TITLES = {
     "m": ["Mr", "Mister", "Sir", "Herr", "Señor", "Sr", "Don", "Monsieur", "Signor", "Господин", "г-н"],
@@ -163,8 +163,10 @@ def _surrogate(kind: str, canon: str, attempt: str, key: str) -> str:
     seed = f"concat_ws('|', {lit}, {kind}, {canon}, string({attempt}))"
     digest = f"concat(sha2({seed}, 256), sha2(concat({seed}, '|2'), 256))"
     pick = lambda names, at: f"element_at(array({', '.join(repr(n) for n in names)}), int(conv(substr(x, {at}, 1), 16, 10)) + 1)"
-    given = "\n".join(f"when {kind} = 'given-{g}-{s}' then {pick(names, 1)}" for s, by in GIVEN.items() for g, names in by.items())
-    surname = "\n".join(f"when {kind} = 'surname-{s}' then initcap(concat({pick(names, 1)}, {pick(names, 2)}, {pick(names, 3)}, {pick(names, 4)}))" for s, names in SYLLABLES.items())
+    # Every further attempt adds a syllable, so the space of names grows until all differ.
+    more = lambda s: f"array_join(transform(slice(sequence(0, {attempt}), 2, {attempt}), i -> {pick(SYLLABLES[s], '(i + 3) % 128 + 1')}), '')"
+    given = "\n".join(f"when {kind} = 'given-{g}-{s}' then concat({pick(names, 1)}, {more(s)})" for s, by in GIVEN.items() for g, names in by.items())
+    surname = "\n".join(f"when {kind} = 'surname-{s}' then initcap(concat({pick(names, 1)}, {pick(names, 2)}, {pick(names, 3)}, {pick(names, 4)}, {more(s)}))" for s, names in SYLLABLES.items())
     body = f"""case
         when {kind} = 'email' then concat({_spread(f"substring_index({canon}, '@', 1)", 'x')}, '@', translate(substr(x, 100, 10), '0123456789abcdef', 'bcdfghklmnprstvz'), '.example')
         when {kind} = 'ip' then concat_ws('.', '10', conv(substr(x, 1, 2), 16, 10), conv(substr(x, 3, 2), 16, 10), conv(substr(x, 5, 2), 16, 10))
@@ -211,16 +213,24 @@ def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def exceptions(entities: DataFrame, key: str) -> DataFrame | None:
-    """kind, canon, attempt of entities whose first surrogate is taken; None if there are none."""
+    """kind, canon, attempt of entities whose first surrogate is taken; None if there are none.
+
+    Raises an error where a surrogate space can't hold the entities.
+    """
     now = entities.withColumn("attempt", F.lit(0))
-    for _ in range(ROUNDS):
+    least, stalled = None, 0
+    while True:
         made = written(now.withColumn("made", F.expr(_surrogate("kind", "canon", "attempt", key))), "surrogates")
         taken = made.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min("canon").alias("first")).filter("n > 1")
         shared = made.join(taken, ["kind", "made"]).filter("canon <> first").select("kind", "canon")
         real = made.alias("a").join(entities.alias("b"), F.expr("a.kind = b.kind and lower(a.made) = if(b.kind = 'phone', regexp_replace(b.canon, '[^0-9]', ''), lower(b.canon))"), "left_semi")
         losers = written(shared.unionByName(real.select("kind", "canon")).distinct(), "losers")
-        if not losers.head(1):
+        left = losers.count()
+        if not left:
             break
+        least, stalled = (left, 0) if least is None or left < least else (least, stalled + 1)
+        if stalled >= STALLED:
+            raise RuntimeError(f"surrogate space exhausted: {left} entities share a surrogate, as of {[tuple(r) for r in losers.groupBy('kind').count().collect()]}")
         now = made.drop("made").join(losers.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select(
             "kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")
         )

@@ -238,3 +238,19 @@ def test_pii_checks_the_telephone_digits_that_are_written(spark, monkeypatch):
     assert all(r.made.startswith(r.canon[1:].split(" ")[0]) for r in rows)
     written = spark.createDataFrame([("+49 (017) 555-7713",)], "m string").selectExpr(pii._shape("m", "'phone'", "'491234567890'") + " as t").first().t
     assert written == "+49 (123) 456-7890"
+
+
+def test_pii_names_stay_distinct_beyond_the_lists(spark, monkeypatch):
+    from corvina.llm import pii
+
+    kinds = ["given-f-latin", "given-n-cyrillic", "given-m-latin", "surname-latin"]
+    rows = [(k, f"name{i}") for k in kinds for i in range(60)] + [("given-f-latin", n.lower()) for n in pii.GIVEN["latin"]["f"]]
+    ents = spark.createDataFrame(rows, "kind string, canon string")
+    made = ents.join(pii.exceptions(ents, "k"), ["kind", "canon"], "left").selectExpr("kind", "canon", "coalesce(attempt, 0) as attempt")
+    got = made.selectExpr("kind", "canon", f"{pii._surrogate('kind', 'canon', 'attempt', 'k')} as made").collect()
+    assert len({(r.kind, r.made) for r in got}) == len(rows)
+    assert not {(r.kind, r.made.lower()) for r in got} & set(rows)
+    monkeypatch.setattr(pii, "_surrogate", lambda kind, canon, attempt, key: "'10.0.0.1'")
+    monkeypatch.setattr(pii, "STALLED", 2)
+    with pytest.raises(RuntimeError):
+        pii.exceptions(spark.createDataFrame([("ip", "9.9.9.1"), ("ip", "9.9.9.2")], "kind string, canon string"), "k")
