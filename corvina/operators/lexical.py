@@ -43,7 +43,8 @@ def matches(post: DataFrame, query_terms: DataFrame, fuzzy: bool = True) -> Data
         hit = post.join(F.broadcast(terms), post["token"] == terms["q"]).withColumn("sim", F.lit(1.0))
     else:
         vocabulary = post.select("token").distinct()
-        near = vocabulary.join(F.broadcast(terms.limit(MAX_BROADCAST_TOKENS)), similarity(F.col("q"), F.col("token")) >= FUZZY)
+        few = terms.limit(MAX_BROADCAST_TOKENS + 1).count() <= MAX_BROADCAST_TOKENS
+        near = vocabulary.join(terms.hint("broadcast" if few else "shuffle_replicate_nl"), similarity(F.col("q"), F.col("token")) >= FUZZY)
         hit = post.join(near.withColumn("sim", similarity(F.col("q"), F.col("token"))), "token")
     best = hit.groupBy("q", "chunk_id").agg(
         F.max_by(F.struct("token", "tf", "sim"), F.struct("sim", F.when(F.col("sim") == 1, 0).otherwise(F.col("tf")), -F.col("pos"))).alias("m")

@@ -56,3 +56,10 @@ def test_clamped_pages(spark):
     first, last = citations.clamp_pages(F.lit(0), F.lit(-3))
     r = spark.range(1).select(first.alias("a"), last.alias("b")).first()
     assert (r.a, r.b) == (1, 1)
+
+
+def test_all_query_tokens_match_in_a_large_batch(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "MAX_BROADCAST_TOKENS", 2)
+    words = ["billing", "guardrails", "retention", "windows", "refunds", "evidence"]
+    got = lexical.bm25(chunks(spark, words), ask(spark, *words)).collect()
+    assert {(r.qid, r.chunk_id) for r in got} >= {(i + 1, f"c{i}") for i in range(6)}
