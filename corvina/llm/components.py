@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import drop_written, written
+from corvina.llm.common import drop_written, shuffled_joins, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,28 +15,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     repeats one round only. Neighbour minima are combined before the shuffle, and the joins that bring
     them back have one small row per node on one side, so a hub's edges can be split.
     """
-    old = written(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges"
-    )
-    mark = _mark(old)
-    while mark[0]:
-        both = old.unionByName(old.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = old.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.least("m", "u").alias("v"))
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = _mark(new)
-        drop_written(old)
-        old = new
-        if now == mark:
-            break
-        mark = now
-    return old.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    with shuffled_joins(edges.sparkSession):
+        old = written(edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("component")).filter("node <> component").distinct(), "edges")
+        mark = _mark(old)
+        while mark[0]:
+            pairs = old.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            least = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m"))
+            large = pairs.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.least("m", "u").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            new = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().select(F.col("u").alias("node"), F.col("v").alias("component")), "edges")
+            now = _mark(new)
+            drop_written(old)
+            old = new
+            if now == mark:
+                break
+            mark = now
+    return old
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
     """Count and hash of an edge set."""
-    n, h = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFFFF)))).first()
+    n, h = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "component").bitwiseAND(F.lit(0xFFFFFFFFFF)))).first()
     return n, h or 0
