@@ -39,10 +39,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write to the shared scratch folder and read back: lineage is cut, lost executors cost nothing."""
+def written(df: DataFrame, name: str, codec: str = "zstd", one_group: bool = False) -> DataFrame:
+    """Write to the shared scratch folder and read back: lineage is cut, lost executors cost nothing.
+
+    one_group: a file is one row group of at most 1 GiB, so that no reader splits it.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.option("parquet.block.size", 1 << 30) if one_group else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

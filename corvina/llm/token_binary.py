@@ -1,8 +1,9 @@
 """Token ids as a compact binary file: canonical length-limited Huffman codes in independent blocks.
 
 File format: a folder of two Parquet tables. ``book`` has (id, length): code lengths, at most 16 bits,
-from the exact global counts; canonical codes follow from them. ``blocks`` has one row per block, in
-ascending document order by (part, block): the block's doc_ids and their id counts, ``first`` (ids of
+from the exact global counts; canonical codes follow from them. ``blocks`` has one file per part, in folders
+named in ascending document order (part=0000000, part=0000001, ...), with one row per block, in the same
+order: the block's doc_ids and their id counts, ``first`` (ids of
 the part before the block), ``payload`` (codes, most significant bit first) and ``marks``, the bit
 offset of every 256th id. A block needs nothing but the book: any block, or any stretch from a mark,
 decodes on its own, and stretches decode side by side through one table of 2^16 entries.
@@ -176,7 +177,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end: int = END) -> No
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     with open(tokenizer_file, encoding="utf-8") as f:
-        raw = written(raw_blocks(docs, f.read(), end, max(1, -(-chars // PART_CHARS))), "token-ids")
+        raw = written(raw_blocks(docs, f.read(), end, max(1, -(-chars // PART_CHARS))), "token-ids", one_group=True)
     lengths = limited_lengths(global_counts(raw))
     codes = canonical_codes(lengths)
     book = [(int(s), int(lengths[s])) for s in np.flatnonzero(lengths)]
@@ -194,7 +195,9 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end: int = END) -> No
                 yield pa.RecordBatch.from_arrays(row.columns[:5] + new, ["part", "block", "first", "doc_ids", "counts", "n_ids", "marks", "payload"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row is a whole block
-    raw.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    # A raw file is one part and one row group, so one task codes it and writes the one file of its folder.
+    named = raw.mapInArrow(run, BLOCKS).withColumn("part", F.lpad(F.col("part").cast("string"), 7, "0"))
+    named.sortWithinPartitions("part", "block").write.partitionBy("part").option("compression", "none").parquet(f"{path}/blocks")
     drop_written(raw)
 
 
@@ -203,7 +206,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     lengths = np.zeros(1 << 16, np.int64)
     for r in spark.read.parquet(f"{path}/book").collect():  # at most 65,536
         lengths[r.id] = r.length
-    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("part", "block", "first", "doc_ids", "counts", "n_ids", "marks", "payload")
     sizes = {r.part: r.n for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # one row per part
     bases, total = {}, 0
     for part in sorted(sizes):
