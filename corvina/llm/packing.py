@@ -1,13 +1,13 @@
 """Packing documents into fixed-length token sequences: first-fit decreasing on a tournament tree.
 
 A document's ids (and an end id) are cut into whole sequences of ``length`` ids and one shorter rest.
-Documents are dealt into randomised groups by a hash of their id; each group packs its rests on its own,
+Documents are dealt into randomised groups by a hash of their id and place; each group packs its rests on its own,
 longest first, each into the first open bin with room. The open bins are the leaves of a tournament
 tree whose inner nodes hold the largest free capacity below them, so the first fitting bin is found in
 logarithmic time. Only (id, counts, checksums) reach the groups, never texts or ids.
 
-Edge cases: null and empty texts are the end id alone; repeated rows are packed each on its own (a row
-number inside the group keeps them apart); null ids form pieces with a null doc_id; texts of any length
+Edge cases: null and empty texts are the end id alone; repeated rows are packed each on its own, dealt into
+groups by their places in the scan; null ids form pieces with a null doc_id; texts of any length
 are cut; an empty table gives no pieces; other columns are not read.
 """
 
@@ -68,7 +68,7 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
 
 
 def tokenised(docs: DataFrame, spec: str, length: int, end: int) -> DataFrame:
-    """doc_id, n_tokens (end id included) and the checksum of each piece: whole sequences, then the rest."""
+    """doc_id, place in the scan, n_tokens (end id included) and the checksum of each piece: whole sequences, then the rest."""
     spark = docs.sparkSession
     bounded_batches(spark)
     spec = spark.sparkContext.broadcast(spec)
@@ -82,9 +82,10 @@ def tokenised(docs: DataFrame, spec: str, length: int, end: int) -> DataFrame:
                 ids = np.frombuffer(raw + tail, "<u2").astype("<u4")
                 counts.append(len(ids))
                 sums.append([zlib.crc32(ids[k : k + length]) for k in range(0, len(ids), length)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "sums"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "place", "n_tokens", "sums"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, sums array<long>")
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
+    return placed.mapInArrow(run, "doc_id long, place long, n_tokens long, sums array<long>")
 
 
 def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end: int = END, group: int = GROUP) -> DataFrame:
@@ -92,8 +93,8 @@ def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end: int =
     with open(tokenizer_file, encoding="utf-8") as f:
         counted = tokenised(docs, f.read(), length, end)
     groups = max(1, math.ceil(docs.count() / group))
-    # The first checksum spreads rows that share an id; a hash alone keeps retried tasks deterministic.
-    keyed = counted.withColumn("g", F.pmod(F.xxhash64("doc_id", "n_tokens", F.get("sums", F.lit(0))), F.lit(groups)))
+    # A row's place in the scan spreads rows that are equal in all else; a scan that is tried again gives the same places.
+    keyed = counted.withColumn("g", F.pmod(F.xxhash64("doc_id", "n_tokens", "place"), F.lit(groups))).drop("place")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         g = key[0].as_py()
