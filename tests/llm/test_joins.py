@@ -80,19 +80,63 @@ def test_cap_filters(spark):
             rows.append((base + rng.standard_normal(64) * rng.choice([0.02, 0.3, 0.45])).astype(np.float32).tolist())
     rows += [rows[0], rows[0], [2 * x for x in rows[1]]]
     plain = len(rows)
-    rows += [None, [], [0.0] * 64, [float("nan")] * 64, [float("inf")] + [1.0] * 63, [None] + [1.0] * 63, [1.0, 2.0], [2.0, 4.0]]
+    rows += [None, [], [0.0] * 64, [float("nan")] * 64, [float("inf")] + [1.0] * 63, [None] + [1.0] * 63, [1.0, 2.0], [2.0, 4.0], [3.0], [-3.0], [7.0]]
     x = np.array(rows[:plain], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = (x @ x.T) >= 0.9
-    links = [(i, j) for i in range(plain) for j in range(i) if near[i, j]] + [(len(rows) - 1, len(rows) - 2)]
+    links = [(i, j) for i in range(plain) for j in range(i) if near[i, j]] + [(len(rows) - 4, len(rows) - 5), (len(rows) - 1, len(rows) - 3)]
     df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, n long")
-    got = {r.vec_id: r for r in cap_filters.dedup(df, block=16).collect()}
+    got = {r.vec_id: r for r in cap_filters.dedup(df, block_bytes=4096).collect()}
     assert [got[i].component_id for i in range(len(rows))] == groups(len(rows), links)
     assert [got[i].n_links for i in range(plain)] == (near.sum(1) - 1).tolist()
     assert all(got[i].kept == (got[i].component_id == i) for i in range(len(rows)))
     assert cap_filters.dedup(df.limit(0)).count() == 0
 
 
+def test_cap_filters_ids_and_doubles(spark):
+    from corvina.llm import cap_filters
+
+    # Repeated and null ids, values beyond floats, and doubles whose floats would be equal.
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [1e300, 1e299, 0.0]), (None, [0.0, 1.0, 1e-12]), (9, [0.0, 1.0, 2e-12]), (None, [-1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id or -1, r.n_links, r.component_id) for r in cap_filters.dedup(df).collect()), key=str)
+    want = [(5, 1, 5), (5, 2, 5), (7, 1, 5), (-1, 2, 5), (9, 2, 5), (-1, 0, None)]
+    assert got == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("dim", [2, 3, 8, 16, 64, 256])
+def test_cap_recall(dim):
+    """Of pairs exactly at the cosine, seen from queries against all rows, hardly any shares no cap."""
+    from corvina.llm import cap_filters
+
+    rng = np.random.default_rng(dim)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((800, dim)))
+    z = rng.standard_normal((800, dim))
+    z = unit(z - (z * x).sum(1, keepdims=True) * x)
+    both = np.concatenate([x, 0.9 * x + (1 - 0.81) ** 0.5 * z])
+    for count in (2_000, 1_000_000):
+        found = cap_filters.Codes(dim, count, 0.9, cap_filters.SEED).decode(both)
+        missed = sum(not np.intersect1d(a, b).size for a, b in zip(found[:800], found[800:]))
+        assert missed <= 8  # 99 %
+        assert np.mean([len(f) for f in found]) < 60
+
+
+def test_cap_filters_recall_on_a_query_set(spark):
+    from corvina.llm import cap_filters
+
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((150, 128))
+    x = np.concatenate([base + rng.standard_normal(base.shape) * s for s in (0.0, 0.2, 0.3, 0.33)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in cap_filters.dedup(df).collect()}
+    queries = [i for i in range(len(x)) if i % 50 == 0]
+    assert all(got[i] <= want[i] for i in range(len(x)))
+    assert sum(got[i] for i in queries) >= 0.98 * sum(want[i] for i in queries) and sum(got.values()) >= 0.98 * want.sum()
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
