@@ -2,12 +2,18 @@
 
 Encoding: each distinct piece of the pre-tokenizer starts as its bytes; a recursive query unfolds the
 pieces into token-position rows, joins each row and its right neighbour to the merge table and contracts
-every piece's leftmost pair of least rank, round after round, until no piece has a pair left. Decoding: id-position rows join the vocabulary and an
-ordered aggregation concatenates their bytes. Pieces and the white-space separated units they make up
-are remembered per worker (bounded), so each query sees only what is new.
+every piece's leftmost pair of least rank, round after round, until no piece has a pair left. Only the
+current row of a piece is kept. A piece that is itself a token needs no query, as in the library. Pieces
+and the white-space separated units they make up are remembered per worker (bounded), so each query sees
+only what is new.
 
-A piece longer than ``LONG`` bytes would need a round per merge over all of its rows; such pieces are
-contracted by the same rule with a heap.
+A piece longer than ``LONG`` bytes stays token-position rows throughout: a second recursive query, keyed
+by position, contracts all occurrences of the least pair in a round where that is the same as one after
+the other: where no token that holds the merged one ranks before it, left to right without overlaps. Its time
+grows with the piece's length times the number of different merges in it.
+
+Decoding: the ids of every document, as id-position rows, join the vocabulary, and an ordered aggregation
+concatenates their bytes. A long document is aggregated in spans of ``SPAN`` ids.
 
 Edge cases: null and empty texts have no ids; texts of any length and white space are whole; repeated
 rows are encoded each; an empty table gives an empty result; other columns are not read.
@@ -17,7 +23,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,34 +34,55 @@ from pyspark.sql import functions as F
 from corvina.llm.common import bounded_batches, texts_of
 from corvina.llm.units import PLAIN
 
-#: Bytes of a piece above which the heap works; pieces of one query; units remembered per worker.
-LONG, PIECES, MAX_UNITS = 256, 10_000, 200_000
+#: Bytes of a piece above which rows are keyed by position; pieces, and bytes of long pieces, of one query; ids of a
+#: span; units and pieces remembered per worker; characters of the texts that one round of queries serves.
+LONG, PIECES, LONG_BYTES, SPAN, MAX_UNITS, CHARS = 256, 10_000, 200_000, 1 << 18, 300_000, 4_000_000
 
 ENCODE = """
-with recursive step(piece, ids, round) as (
-    select piece, ids, 0 from start
-    union all
-    select piece, list_concat(list_append(ids[: pos - 1], merged), ids[pos + 2 :]), round + 1
+with recursive step(piece, ids) using key (piece) as (
+    select piece, ids from start
+    union
+    select piece, list_concat(list_append(ids[: pos - 1], merged), ids[pos + 2 :])
     from (
-        select piece, any_value(ids) as ids, any_value(round) as round,
-            (min(found) & 65535)::int as pos, (min(found) >> 16)::int as merged
+        select piece, any_value(ids) as ids, (min(found) & 65535)::int as pos, (min(found) >> 16)::int as merged
         from (
-            select p.piece, p.ids, p.round, m.merged::bigint << 16 | p.pos as found
-            from (select piece, ids, round, unnest(range(1, len(ids))) as pos from step) p
+            select p.piece, p.ids, m.merged::bigint << 16 | p.pos as found
+            from (select piece, ids, unnest(range(1, len(ids))) as pos from step) p
             join merges m on m.a = p.ids[p.pos] and m.b = p.ids[p.pos + 1])
         group by piece)
 )
-select piece, arg_max(ids, round) as ids from step group by piece
+select piece, ids from step
+"""
+ENCODE_LONG = """
+with recursive tokens(piece, pos, tok) using key (piece, pos) as (
+    select piece, pos, tok from start
+    union
+    select piece, unnest([pos, next_pos]), unnest([merged, -1])
+    from (
+        select *, row_number() over (partition by piece, run order by pos) as place, row_number() over (partition by piece order by pos) as nth
+        from (
+            select *, count(*) filter (where apart) over (partition by piece order by pos) as run
+            from (
+                select *, coalesce(lag(next_pos) over (partition by piece order by pos) <> pos, true) as apart
+                from (
+                    select t.piece, t.pos, t.next_pos, m.merged, m.single, min(m.merged) over (partition by t.piece) as least
+                    from (
+                        select piece, pos, tok, lead(tok) over w as next_tok, lead(pos) over w as next_pos
+                        from recurring.tokens where tok >= 0 window w as (partition by piece order by pos)) t
+                    join merges m on m.a = t.tok and m.b = t.next_tok)
+                where merged = least)))
+    where if(single, nth = 1, place % 2 = 1)
+)
+select piece, list(tok order by pos) as ids from tokens where tok >= 0 group by piece
 """
 DECODE = """
-select piece, unhex(string_agg(v.bytes, '' order by pos)) as bytes
-from (select piece, unnest(ids) as tok, generate_subscripts(ids, 1) as pos from coded)
-join vocabulary v using (tok)
-group by piece
+select span, string_agg(v.symbols, '' order by pos) as symbols
+from coded join vocabulary v using (tok)
+group by span
 """
 
 
-Table = tuple[dict[str, bytes], dict[str, bytes]]
+Table = dict[str, bytes]
 
 
 class Codec:
@@ -66,85 +92,99 @@ class Codec:
         import duckdb
 
         self.ranks = dict(ranks)
-        self.bytes_of = {r: t for t, r in ranks}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.pattern = regex.compile(pattern)
         self.db = duckdb.connect()
-        self.db.execute("set threads = 1; set memory_limit = '400MB'; set temp_directory = ''; set preserve_insertion_order = false")
+        self.db.execute("set threads = 1; set memory_limit = '700MB'; set temp_directory = ''; set preserve_insertion_order = false")
         merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in ranks for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        a, b, merged = (pa.array(c, pa.int32()) for c in zip(*merges))
-        tokens = pa.table({"tok": pa.array([r for _, r in ranks], pa.int32()), "bytes": pa.array([t.hex() for t, _ in ranks])})
-        table = pa.table({"a": a, "b": b, "merged": merged})
+        # Merged tokens that a lower-ranked token holds: their pairs are contracted one at a time.
+        early = {x for a, b, r in merges for x in (a, b) if x > r}
+        a, b, merged = zip(*merges)
+        single = pa.array([r in early for r in merged])
+        table = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "merged": pa.array(merged, pa.int32()), "single": single})
+        # A byte is shown as the character of its number, so strings of any bytes can be aggregated.
+        tokens = pa.table({"tok": pa.array([r for _, r in ranks], pa.int32()), "symbols": pa.array([t.decode("latin-1") for t, _ in ranks])})
         self.db.register("m", table)
         self.db.register("v", tokens)
         self.db.execute("create table merges as select * from m; create table vocabulary as select * from v")
         self.db.unregister("m")
         self.db.unregister("v")
-        # Each table is (ids, decoded bytes) by piece or unit; plain bytes keep the collector out of them.
-        self.pieces: Table = ({}, {})
-        self.first: Table = ({}, {})
-        self.later: Table = ({}, {})
-
-    def _heap(self, piece: bytes) -> list[int]:
-        """The same contraction for one long piece: (rank, position) heap over a linked list."""
-        tok = [self.ranks[piece[k : k + 1]] for k in range(len(piece))]
-        ends, nxt, prev = list(range(1, len(tok) + 1)), list(range(1, len(tok) + 1)), list(range(-1, len(tok) - 1))
-        pair = lambda i: self.ranks.get(piece[i : ends[nxt[i]]]) if nxt[i] < len(tok) else None
-        heap = [(r, i) for i in range(len(tok)) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        alive = [True] * len(tok)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if not alive[i] or pair(i) != r:
-                continue
-            j = nxt[i]
-            tok[i], ends[i], nxt[i], alive[j] = r, ends[j], nxt[j], False
-            if nxt[i] < len(tok):
-                prev[nxt[i]] = i
-            for k in (i, prev[i]):
-                if k >= 0 and (x := pair(k)) is not None:
-                    heapq.heappush(heap, (x, k))
-        return [t for t, ok in zip(tok, alive) if ok]
+        # Ids by piece and by unit, as bytes: plain bytes keep the collector out of them.
+        self.pieces: Table = {}
+        self.first: Table = {}
+        self.later: Table = {}
+
+    def _query(self, sql: str, start: pa.Table) -> pa.Table:
+        self.db.register("start", start)
+        got = self.db.sql(sql).to_arrow_table().combine_chunks()
+        self.db.unregister("start")
+        return got
 
     def _encode(self, pieces: list[bytes]) -> Iterator[pa.Table]:
         """(piece number, ids) tables of distinct pieces."""
         done: list[tuple[int, list[int]]] = []
         rows: list[int] = []
+        long: list[int] = []
         for k, p in enumerate(pieces):
             whole = self.ranks.get(p)
             if whole is not None:
                 done.append((k, [whole]))
-            elif len(p) > LONG:
-                done.append((k, self._heap(p)))
             else:
-                rows.append(k)
+                (long if len(p) > LONG else rows).append(k)
         yield pa.table({"piece": pa.array([k for k, _ in done], pa.int32()), "ids": pa.array([x for _, x in done], pa.list_(pa.int32()))})
         for c in range(0, len(rows), PIECES):
             part = rows[c : c + PIECES]
             offsets = np.concatenate([[0], np.cumsum([len(pieces[k]) for k in part])])
             data = np.frombuffer(b"".join([pieces[k] for k in part]), np.uint8)
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(self.byte_ids[data], pa.int32()))
-            self.db.register("start", pa.table({"piece": pa.array(part, pa.int32()), "ids": ids}))
-            yield self.db.sql(ENCODE).to_arrow_table().combine_chunks()
-            self.db.unregister("start")
-
-    def _decode(self, coded: pa.Table) -> Iterator[tuple[int, bytes]]:
-        """(piece number, bytes) of (piece number, ids) rows."""
-        self.db.register("coded", coded)
-        got = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("coded")
-        return zip(got["piece"].to_pylist(), got["bytes"].to_pylist())
+            yield self._query(ENCODE, pa.table({"piece": pa.array(part, pa.int32()), "ids": ids}))
+        group: list[int] = []
+        for n, k in enumerate(long):
+            group.append(k)
+            if n + 1 == len(long) or sum(len(pieces[x]) for x in group) >= LONG_BYTES:
+                sizes = [len(pieces[x]) for x in group]
+                data = np.frombuffer(b"".join([pieces[x] for x in group]), np.uint8)
+                piece, pos = np.repeat(group, sizes), np.concatenate([np.arange(x) for x in sizes])
+                yield self._query(ENCODE_LONG, pa.table({"piece": pa.array(piece, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(self.byte_ids[data], pa.int32())}))
+                group = []
+
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes of id strings (little-endian unsigned 32-bit integers)."""
+        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+        out: list[list[bytes]] = [[] for _ in ids]
+        # Spans never cross documents; a query takes a few spans at a time.
+        owner, cuts, at = [], [], 0
+        for k, x in enumerate(ids):
+            n = len(x) // 4
+            for a in range(0, n, SPAN):
+                owner.append(k)
+                cuts.append((at + a, at + min(a + SPAN, n)))
+            at += n
+        begin = 0
+        while begin < len(cuts):
+            end = begin + 1
+            while end < len(cuts) and cuts[end][1] - cuts[begin][0] <= 4 * SPAN:
+                end += 1
+            first, last = cuts[begin][0], cuts[end - 1][1]
+            span = np.repeat(np.arange(begin, end, dtype=np.int32), [b - a for a, b in cuts[begin:end]])
+            coded = pa.table({"span": pa.array(span), "pos": pa.array(np.arange(last - first, dtype=np.int32)), "tok": pa.array(flat[first:last])})
+            self.db.register("coded", coded)
+            got = self.db.sql(DECODE).to_arrow_table()
+            self.db.unregister("coded")
+            parts = dict(zip(got["span"].to_pylist(), got["symbols"].to_pylist()))
+            for k in range(begin, end):
+                out[owner[k]].append(parts[k].encode("latin-1"))
+            begin = end
+        return [b"".join(x) for x in out]
 
     def _learn(self, pieces: set[str]) -> None:
-        ids, raw = self.pieces
+        ids = self.pieces
         new = [p for p in pieces if p not in ids]
         if not new:
             return
         for coded in self._encode([p.encode("utf-8", "surrogatepass") for p in new]):
             if not coded.num_rows:
                 continue
-            for k, x in self._decode(coded):
-                raw[new[k]] = x
             lists = coded["ids"].combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             flat = lists.flatten().to_numpy().astype("<u4").tobytes()
@@ -161,50 +201,46 @@ class Codec:
         return [lead + m[1], m[2]] if m[2] else [lead + m[1]]
 
     def _units(self, table: Table, units: set[str], lead: str) -> None:
-        ids, raw = table
         regular = [u for u in units if u and not u[0].isspace() and not u[-1].isspace()]
-        new = [u for u in regular if u not in ids]
-        if len(ids) + len(new) > MAX_UNITS:  # what this batch uses stays: mostly the frequent units
+        new = [u for u in regular if u not in table]
+        if len(table) + len(new) > MAX_UNITS:  # what these texts use stays: mostly the frequent units
             _keep(table, regular)
         cuts = [self._cut(u, lead) for u in new]
         needed = {p for c in cuts for p in c}
-        if len(self.pieces[0]) > MAX_UNITS:
+        if len(self.pieces) + len(needed) > MAX_UNITS:
             _keep(self.pieces, needed)
         self._learn(needed)
-        piece_ids, piece_raw = self.pieces
+        ids = self.pieces
         for u, c in zip(new, cuts):
-            if len(c) == 1:
-                ids[u], raw[u] = piece_ids[c[0]], piece_raw[c[0]]
-            else:
-                ids[u], raw[u] = b"".join([piece_ids[p] for p in c]), b"".join([piece_raw[p] for p in c])
+            table[u] = ids[c[0]] if len(c) == 1 else b"".join([ids[p] for p in c])
 
-    def run(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded bytes) of every text."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit integers."""
         split = [t.split(" ") if t else [] for t in texts]
         later: set[str] = set()
         for s in split:
             later.update(s[1:])
         self._units(self.first, {s[0] for s in split if s}, "")
         self._units(self.later, later, " ")
+        out, get = [], self.later.__getitem__
         for text, s in zip(texts, split):
             if not s:
-                yield b"", b""
+                out.append(b"")
                 continue
-            head, rest = s[0], s[1:]
             try:
-                yield tuple(self.first[k][head] + b"".join(map(self.later[k].__getitem__, rest)) for k in (0, 1))
+                out.append(self.first[s[0]] + b"".join(map(get, s[1:])))
             except KeyError:  # white space at some unit's edge
                 cut = self.pattern.findall(text)
                 self._learn(set(cut))
-                yield tuple(b"".join(map(self.pieces[k].__getitem__, cut)) for k in (0, 1))
+                out.append(b"".join(map(self.pieces.__getitem__, cut)))
+        return out
 
 
 def _keep(table: Table, keys) -> None:
     """Forget all but these keys."""
-    for k in (0, 1):
-        kept = {u: table[k][u] for u in keys if u in table[k]}
-        table[k].clear()
-        table[k].update(kept)
+    kept = {u: table[u] for u in keys if u in table}
+    table.clear()
+    table.update(kept)
 
 
 _WORKER: dict[int, Codec] = {}
@@ -215,6 +251,23 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(t), int(r)) for t, r in map(bytes.split, f)]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of several batches at a time: each query then serves more new pieces."""
+    keys: list[pa.Array] = []
+    texts: list[str] = []
+    size = 0
+    for b in batches:
+        keys.append(b.column(0))
+        more = texts_of(b.column(1))
+        texts += more
+        size += sum(map(len, more))
+        if size >= CHARS:
+            yield pa.concat_arrays(keys), texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield pa.concat_arrays(keys), texts
+
+
 def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids and decoded bytes themselves."""
     spark = docs.sparkSession
@@ -227,19 +280,18 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool
             _WORKER.clear()
             _WORKER[key] = Codec(*shared.value)
         codec = _WORKER[key]
-        for b in batches:
-            n, ids_sum, raw_sum, ids, raws = [], [], [], [], []
-            for x, raw in codec.run(texts_of(b.column(1))):
-                n.append(len(x) // 4)
-                ids_sum.append(hashlib.sha256(x).hexdigest())
-                raw_sum.append(hashlib.sha256(raw).hexdigest())
-                if keep_ids:
-                    ids.append(np.frombuffer(x, "<u4").tolist())
-                    raws.append(raw)
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(raw_sum, pa.string())]
+        for doc_ids, texts in _gathered(batches):
+            coded = codec.encode(texts)
+            raws = codec.decode(coded)
+            cols = [
+                doc_ids,
+                pa.array([len(x) // 4 for x in coded], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in raws], pa.string()),
+            ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                cols += [pa.array(ids, pa.list_(pa.int64())), pa.array(raws, pa.binary())]
+                cols += [pa.array([np.frombuffer(x, "<u4").tolist() for x in coded], pa.list_(pa.int64())), pa.array(raws, pa.binary())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names)
 

@@ -40,14 +40,38 @@ def test_bpe_matches_the_library_and_round_trips(docs):
         assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
-def test_long_piece_uses_the_same_rule():
+def test_long_pieces_by_position(monkeypatch):
+    """Both recursive queries give the library's ids, on pieces of any length and of any bytes."""
+    import random
+
+    import tiktoken
+
     from corvina.llm import bpe
 
     ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     codec = bpe.Codec(ranks, P.PATTERN)
-    piece = b"thentioningable" * 10
-    short = next(x for x in codec._encode([piece]) if x.num_rows)["ids"].to_pylist()[0]
-    assert codec._heap(piece) == short
+    rng = random.Random(5)
+    pieces = [b"a" * 300, b"ab" * 400, b"thentioningable" * 30, "日本語の文章".encode() * 40, b"=" * 1000, bytes(rng.randrange(256) for _ in range(400))]
+    pieces += [bytes(rng.choice(b"etaoinshrdlu") for _ in range(n)) for n in (2, 5, 40, 255, 256, 257, 700)]
+    lib = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=dict(ranks), special_tokens={})
+    want = [lib._encode_single_piece(p) for p in pieces]
+    for long in (256, 1, 2000):
+        monkeypatch.setattr(bpe, "LONG", long)
+        got = {k: x for t in codec._encode(pieces) for k, x in zip(t["piece"].to_pylist(), t["ids"].to_pylist())}
+        assert [got[k] for k in range(len(pieces))] == want
+
+
+def test_decoding_reads_ids(monkeypatch):
+    from corvina.llm import bpe
+
+    codec = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    texts = [t or "" for t in TEXTS]
+    coded = codec.encode(texts)
+    codec.pieces.clear()
+    for span in (1 << 18, 7):
+        monkeypatch.setattr(bpe, "SPAN", span)
+        assert codec.decode(coded) == [t.encode() for t in texts]
+    assert codec.decode(coded[::-1]) == [t.encode() for t in texts[::-1]] and codec.decode([]) == []
 
 
 def test_counts_match_the_library(docs):
