@@ -2,8 +2,7 @@
 
 Encoding: each distinct piece of the pre-tokenizer starts as its bytes; a recursive query unfolds the
 pieces into token-position rows, joins each row and its right neighbour to the merge table and contracts
-every piece's leftmost pair of least rank, round after round, until no piece has a pair left. Only the
-current row of a piece is kept. A piece that is itself a token needs no query, as in the library. Pieces
+every piece's leftmost pair of least rank, round after round, until no piece has a pair left. A piece that is itself a token needs no query, as in the library. Pieces
 and the white-space separated units they make up are remembered per worker (bounded), so each query sees
 only what is new.
 
@@ -36,22 +35,20 @@ from corvina.llm.units import PLAIN
 
 #: Bytes of a piece above which rows are keyed by position; pieces, and bytes of long pieces, of one query; ids of a
 #: span; units and pieces remembered per worker; characters of the texts that one round of queries serves.
-LONG, PIECES, LONG_BYTES, SPAN, MAX_UNITS, CHARS = 256, 10_000, 200_000, 1 << 18, 300_000, 4_000_000
+LONG, PIECES, LONG_BYTES, SPAN, MAX_UNITS, MAX_PIECES, CHARS = 256, 40_000, 200_000, 1 << 18, 300_000, 1_000_000, 4_000_000
 
 ENCODE = """
-with recursive step(piece, ids) using key (piece) as (
-    select piece, ids from start
-    union
-    select piece, list_concat(list_append(ids[: pos - 1], merged), ids[pos + 2 :])
-    from (
-        select piece, any_value(ids) as ids, (min(found) & 65535)::int as pos, (min(found) >> 16)::int as merged
-        from (
-            select p.piece, p.ids, m.merged::bigint << 16 | p.pos as found
-            from (select piece, ids, unnest(range(1, len(ids))) as pos from step) p
-            join merges m on m.a = p.ids[p.pos] and m.b = p.ids[p.pos + 1])
-        group by piece)
+with recursive step(piece, ids, round) as (
+    select piece, ids, 0 from start
+    union all
+    select s.piece, list_concat(list_append(ids[: (found & 65535) - 1], (found >> 16)::int), ids[(found & 65535) + 2 :]), round + 1
+    from step s join (
+        select piece, min(m.merged::bigint << 16 | pos) as found
+        from (select piece, unnest(range(1, len(ids))) as pos, unnest(ids[: -2]) as a, unnest(ids[2 :]) as b from step) p
+        join merges m on m.a = p.a and m.b = p.b
+        group by piece) f on f.piece = s.piece
 )
-select piece, ids from step
+select piece, arg_max(ids, round) as ids from step group by piece
 """
 ENCODE_LONG = """
 with recursive tokens(piece, pos, tok) using key (piece, pos) as (
@@ -207,7 +204,7 @@ class Codec:
             _keep(table, regular)
         cuts = [self._cut(u, lead) for u in new]
         needed = {p for c in cuts for p in c}
-        if len(self.pieces) + len(needed) > MAX_UNITS:
+        if len(self.pieces) + len(needed) > MAX_PIECES:
             _keep(self.pieces, needed)
         self._learn(needed)
         ids = self.pieces
