@@ -9,12 +9,15 @@ place in the token trie, the token that ends there and the count there relative
 transition is annotated with the number of tokens it emits, negative where a longer token replaces
 shorter ones; a word's count is the sum along its path.
 
-Texts are cut into chunks. A chunk maps to (head fragment, tokens of its complete words, tail
-fragment), or to a bare fragment if it has no white space; these maps form a monoid, and a text's count
-is their product, combined pairwise as in a parallel prefix scan. Words never cross white space, so the
-product is exact.
-
-Edge cases: null is empty (0 bytes, 0 tokens); texts without white space are one long fragment; special
+The end mark of a word leads back to the start state, so a text is one stream of symbols, cut into chunks:
+a word is a chunk, and a word of more than ``CHUNK`` symbols is several. A chunk's map takes the state before
+it to the state behind it and the tokens emitted on the way. Maps compose, and composition is associative: a
+long word's maps combine pairwise, level by level, as in a parallel prefix scan. The map of an inner chunk is
+laid out for the states that the symbols just before it lead to from anywhere near; should another state turn
+up in a composition, its entry is added then. Maps of whole words have the one entry start to start; composing
+them adds their counts, and a worker remembers them.
+
+Edge cases: null is empty (0 bytes, 0 tokens); texts and words of any length are cut into chunks; special
 strings inside a text count as the library counts them (one token each); repeated rows are counted
 each; an empty table gives an empty result; other columns are not read.
 """
@@ -33,7 +36,8 @@ from pyspark.sql import functions as F
 from corvina.llm.common import bounded_batches, texts_of
 
 LIMIT = 2048
-CHUNK = 1 << 16
+#: Symbols of a chunk inside a word, and symbols before it that its map's states are read from.
+CHUNK, BEFORE = 256, (8, 16, 32)
 #: Interned states, and words remembered, per worker; beyond these the tables start anew.
 MAX_STATES, MAX_WORDS = 300_000, 500_000
 #: White space of the tokenizer's patterns (Unicode White_Space).
@@ -50,6 +54,15 @@ def byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+class StateMap:
+    """A chunk's symbols, and (state behind, tokens emitted) by the state before."""
+
+    __slots__ = ("symbols", "table")
+
+    def __init__(self, symbols: list[str], table: dict[int, tuple[int, int]]):
+        self.symbols, self.table = symbols, table
+
+
 class Transducer:
     """Lazily determinised token-count transducer of one BPE vocabulary."""
 
@@ -104,7 +117,7 @@ class Transducer:
         self.ids, self.states, self.moves = {start: 0}, [start], {}
 
     def _move(self, state: int, symbol: str) -> tuple[int, int]:
-        """Next state and emitted count; computed once per state and symbol."""
+        """Next state and emitted count; computed once per state and symbol. A word's end leads to the start state."""
         grown, last, count = [], None, None
         for node, before, at in self.states[state]:  # longest first
             child = self.trie[node].get(symbol)
@@ -116,7 +129,8 @@ class Transducer:
             grown.append((child, before, at))
         if count is None:
             raise ValueError(f"no token covers {symbol!r}")
-        nxt = tuple((n, b, c - count) for n, b, c in grown if self.trie[n]) + ((0, last, 0),)
+        ended = symbol.endswith(self.suffix) and symbol != self.suffix
+        nxt = ((0, None, 0),) if ended else tuple((n, b, c - count) for n, b, c in grown if self.trie[n]) + ((0, last, 0),)
         k = self.ids.get(nxt)
         if k is None:
             k = self.ids[nxt] = len(self.states)
@@ -124,21 +138,50 @@ class Transducer:
         self.moves[state, symbol] = got = (k, count)
         return got
 
-    def count(self, word: bytes) -> int:
-        """Tokens of one word."""
-        if len(self.states) > MAX_STATES:
-            self._reset()
-        state, total, moves, symbols = 0, 0, self.moves, self.symbols
-        for b in word[:-1]:
-            s = symbols[b]
+    def run(self, state: int, symbols: list[str]) -> tuple[int, int]:
+        """State behind the symbols, and tokens emitted."""
+        total, moves = 0, self.moves
+        for s in symbols:
             state, emitted = moves.get((state, s)) or self._move(state, s)
             total += emitted
-        s = symbols[word[-1]] + self.suffix
-        return total + (moves.get((state, s)) or self._move(state, s))[1]
+        return state, total
+
+    def chunk(self, symbols: list[str], starts: set[int]) -> StateMap:
+        return StateMap(symbols, {s: self.run(s, symbols) for s in starts})
+
+    def apply(self, chunk: StateMap, state: int) -> tuple[int, int]:
+        got = chunk.table.get(state)
+        if got is None:
+            got = chunk.table[state] = self.run(state, chunk.symbols)
+        return got
+
+    def compose(self, a: StateMap, b: StateMap) -> StateMap:
+        """The map of two neighbouring chunks."""
+        table = {}
+        for state, (middle, n) in a.table.items():
+            end, m = self.apply(b, middle)
+            table[state] = end, n + m
+        return StateMap(a.symbols + b.symbols, table)
+
+    def count(self, word: bytes, size: int = CHUNK) -> int:
+        """Tokens of one word, by the maps of its chunks."""
+        if len(self.states) > MAX_STATES:
+            self._reset()
+        symbols = [self.symbols[b] for b in word]
+        symbols[-1] += self.suffix
+        if len(symbols) <= size:
+            return self.run(0, symbols)[1]
+        maps = [self.chunk(symbols[:size], {0})]
+        for k in range(size, len(symbols), size):
+            starts = {self.run(0, symbols[max(0, k - n) : k])[0] for n in BEFORE}
+            maps.append(self.chunk(symbols[k : k + size], starts))
+        while len(maps) > 1:
+            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        return maps[0].table[0][1]
 
 
 class Counter:
-    """Counts of texts by chunk maps; one per worker."""
+    """Counts of texts by the maps of their words; one per worker."""
 
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -151,28 +194,30 @@ class Counter:
         self.pieces: dict[str, int] = {}
         self.known: dict[str, int] = {}
 
-    def _plain(self, text: str) -> int:
+    def _plain(self, text: str, size: int) -> int:
         """Tokens of a stretch without special strings."""
         low = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
         total = 0
         for piece in self.pattern.findall(low):
-            n = self.pieces.get(piece)
+            n = self.pieces.get(piece) if size == CHUNK else None
             if n is None:
-                n = self.pieces[piece] = self.transducer.count(piece.encode("utf-8", "surrogatepass"))
+                n = self.transducer.count(piece.encode("utf-8", "surrogatepass"), size)
+                if size == CHUNK and len(piece) < 200:
+                    self.pieces[piece] = n
             total += n
         return total
 
-    def fragment(self, text: str) -> int:
+    def fragment(self, text: str, size: int = CHUNK) -> int:
         """Tokens of a stretch without white space."""
-        n = self.known.get(text)
+        n = self.known.get(text) if size == CHUNK else None
         if n is None:
             if len(self.known) > MAX_WORDS:
                 self.known.clear()
             if len(self.pieces) > MAX_WORDS:
                 self.pieces.clear()
             found = len(self.special.findall(text)) if self.special else 0
-            n = found + sum(map(self._plain, self.special.split(text) if found else [text]))
-            if len(text) < 200:
+            n = found + sum(self._plain(x, size) for x in (self.special.split(text) if found else [text]))
+            if size == CHUNK and len(text) < 200:
                 self.known[text] = n
         return n
 
@@ -181,45 +226,14 @@ class Counter:
             return [w for w in self.spaces.split(text) if w]
         return text.split()
 
-    def chunk(self, text: str) -> tuple[str, int, str] | str:
-        """The chunk's map."""
-        first = self.spaces.search(text)
-        if first is None:
-            return text
-        cut = len(text) - len(self.spaces.split(text[-4096:])[-1])
-        if cut <= first.start():  # the tail is longer than the window that was searched
-            cut = next(m.end() for m in self.spaces.finditer(text, first.start()) if not self.spaces.search(text, m.end()))
-        elif not self.spaces.match(text, cut - 1):
-            cut = [m.end() for m in self.spaces.finditer(text)][-1]
-        return text[: first.start()], self.total(text[first.end() : cut]), text[cut:]
-
-    def total(self, text: str) -> int:
-        known, n = self.known, 0
+    def count(self, text: str, size: int = CHUNK) -> int:
+        """Tokens of a text: the composition of its words' maps, which all lead from start to start."""
+        known, n = self.known if size == CHUNK else {}, 0
         for w in self._words(text):
             k = known.get(w)
-            n += self.fragment(w) if k is None else k
+            n += self.fragment(w, size) if k is None else k
         return n
 
-    def compose(self, a: tuple[str, int, str] | str, b: tuple[str, int, str] | str) -> tuple[str, int, str] | str:
-        """Product of two neighbouring chunk maps."""
-        if isinstance(a, str):
-            return a + b if isinstance(b, str) else (a + b[0], b[1], b[2])
-        if isinstance(b, str):
-            return a[0], a[1], a[2] + b
-        joint = a[2] + b[0]
-        return a[0], a[1] + (self.fragment(joint) if joint else 0) + b[1], b[2]
-
-    def count(self, text: str, size: int = CHUNK) -> int:
-        if len(text) <= size:
-            return self.total(text)
-        maps = [self.chunk(text[k : k + size]) for k in range(0, len(text), size)]
-        while len(maps) > 1:  # neighbours combine level by level
-            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        got = maps[0]
-        if isinstance(got, str):
-            return self.fragment(got) if got else 0
-        return sum(self.fragment(x) for x in (got[0], got[2]) if x) + got[1]
-
 
 _COUNTERS: dict[str, Counter] = {}
 
