@@ -2,11 +2,11 @@
 
 Fit: how many distinct labelled texts of either class have a word or word prefix gives its log-odds
 under an informative Dirichlet prior (the pooled counts). Features whose odds are significant form the
-lexicon; a word takes its own entry, else that of its longest listed prefix; every other word costs
-``background``. Score: a linear-time scan finds all maximal scoring segments of a document
-(Ruzzo and Tompa), their scores are turned into extreme-value statistics (Karlin and Altschul) and
-aggregated, and a logistic curve fitted on documents that did not feed the lexicon maps the statistic
-to a probability.
+lexicon; a word scores the log-odds of its own entry, else of its longest listed prefix, and every word costs
+``DRIFT``. Score: a linear-time scan finds all maximal scoring segments of a document
+(Ruzzo and Tompa), their scores are turned into extreme-value statistics (Karlin and Altschul, with the law of
+the scores of the clean words that calibrate it) and aggregated, and a logistic curve fitted on documents that did
+not feed the lexicon maps the statistic to a probability.
 
 Edge cases: null and empty texts have no segment and get the score of a segment-free document; labels
 that are null or missing are never learned from; repeated label rows of a document count once (toxic if
@@ -28,14 +28,13 @@ from pyspark.sql import functions as F
 
 from corvina.llm.common import bounded_batches, texts_of
 
-#: Documented bounds of the model: labelled rows it is fitted on, lexicon entries it keeps.
-MAX_ROWS, MAX_FEATURES = 20_000, 50_000
+#: Documented bound of the model: labelled rows it is fitted on (what it keeps of them follows).
+MAX_ROWS = 20_000
 PREFIXES = range(4, 9)
 #: Least number of toxic texts and least z-score of the log-odds for a lexicon entry.
 MIN_COUNT, MIN_Z = 4, 3.0
-#: Dirichlet prior: even mass per feature and mass shared out by pooled counts; share of lexicon words
-#: assumed inside a toxic passage.
-PSEUDO, ALPHA, DENSITY = 0.5, 500.0, 0.08
+#: Dirichlet prior: even mass per feature and mass shared out by pooled counts; what a word costs a segment.
+PSEUDO, ALPHA, DRIFT = 0.5, 500.0, 0.083
 #: Segments beyond this expected number of chance occurrences are not significant.
 E_VALUE = 1.0
 #: Units remembered per worker; beyond it the memory is cleared.
@@ -45,8 +44,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Model:
-    weights: dict[str, float]
-    background: float
+    weights: dict[str, float]  # log-odds
     decay: float  # lambda of the extreme-value law
     scale: float  # K of the extreme-value law
     slope: float
@@ -81,8 +79,8 @@ def segments(weights: list[tuple[int, float]], background: float) -> list[float]
 class Scorer:
     """Per-worker lookup of unit weights with a bounded memory."""
 
-    def __init__(self, weights: dict[str, float], background: float):
-        self.lexicon, self.background, self.known = weights, background, {}
+    def __init__(self, weights: dict[str, float]):
+        self.lexicon, self.known = weights, {}
 
     def _weigh(self, unit: str) -> float:
         best = 0.0
@@ -92,10 +90,10 @@ class Scorer:
                 if len(word) >= n and (w := self.lexicon.get(word[:n])) is not None:
                     break
             best = max(best, w or 0.0)
-        return best
+        return max(0.0, best - DRIFT)
 
-    def statistics(self, text: str) -> tuple[int, list[float]]:
-        """Number of words and the maximal segment scores."""
+    def hits(self, text: str) -> tuple[int, list[tuple[int, float]]]:
+        """Number of words, and (place, score) of those that score above 0."""
         known, units, found = self.known, text.split(), []
         for i, u in enumerate(units):
             w = known.get(u)
@@ -105,7 +103,12 @@ class Scorer:
                 w = known[u] = self._weigh(u)
             if w:
                 found.append((i, w))
-        return len(units), segments(found, self.background) if found else []
+        return len(units), found
+
+    def statistics(self, text: str) -> tuple[int, list[float]]:
+        """Number of words and the maximal segment scores."""
+        n, found = self.hits(text)
+        return n, segments(found, -DRIFT) if found else []
 
 
 def _bits(n: int, found: list[float], decay: float, scale: float, empty: float) -> float:
@@ -139,14 +142,16 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     return once.select((F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))).alias("part"), "toxic", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _law(weights: dict[str, float], clean: dict[str, float], n_clean: float, background: float) -> float:
-    """lambda > 0 with mean of exp(lambda * score) = 1 on clean words."""
-    ws = np.array([weights[f] for f in weights])
-    ps = np.array([max(clean.get(f, 0.0), 0.05) / n_clean for f in weights])
+def _law(scores: np.ndarray, words: float) -> float:
+    """lambda > 0 with mean of exp(lambda * score) = 1 over clean words: scores above 0, and -DRIFT for the rest of ``words``.
+
+    Half a word more scores the mean, so that there is a law even where no clean word scores.
+    """
+    ws, ps = np.append(scores, scores.mean() if len(scores) else 1.0), np.append(np.ones(len(scores)), 0.5) / (words + 0.5)
     rest = max(1e-9, 1 - ps.sum())
-    f = lambda x: float((ps * np.exp(np.minimum(x * ws, 500))).sum() + rest * math.exp(x * background) - 1)
+    f = lambda x: float((ps * np.exp(np.minimum(x * ws, 500))).sum() + rest * math.exp(-x * DRIFT) - 1)
     lo, hi = 1e-6, 0.01
-    while f(hi) < 0 and hi < 50:
+    while f(hi) < 0 and hi < 1e6:
         hi *= 2
     for _ in range(80):
         mid = (lo + hi) / 2
@@ -154,6 +159,16 @@ def _law(weights: dict[str, float], clean: dict[str, float], n_clean: float, bac
     return (lo + hi) / 2
 
 
+def _probability(model: Model, n: int, found: list[float]) -> float:
+    x = _squash(_bits(n, found, model.decay, model.scale, model.empty))
+    return 1 / (1 + math.exp(-min(max(model.slope * x + model.offset, -700), 700)))
+
+
+def _squash(x: float) -> float:
+    """Statistics of long documents reach far; the curve is fitted on their logarithms, in order."""
+    return math.copysign(math.log1p(abs(x)), x)
+
+
 def _logistic(xs: np.ndarray, ys: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a weakly regularised one-dimensional logistic fit (Newton steps)."""
     mean, sd = xs.mean(), xs.std() + 1e-9
@@ -182,43 +197,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model |
     prior = PSEUDO + ALPHA * (F.col("t") + F.col("c")) / (n_t + n_c)
     y1, y2 = F.col("t") + prior, F.col("c") + prior
     odds = F.log(y1 / (n_t + ALPHA - y1)) - F.log(y2 / (n_c + ALPHA - y2))
-    rows = (
-        counts.filter(F.col("t") >= MIN_COUNT)
-        .select("f", "t", "c", (odds / F.sqrt(1 / y1 + 1 / y2)).alias("z"), odds.alias("odds"))
-        .filter(F.col("z") >= MIN_Z)
-        .orderBy(F.desc("z"), "f")
-        .limit(MAX_FEATURES)
-        .collect()
-    )  # MAX_FEATURES bounds it
-    counts.unpersist()
-    raw = {r.f: (float(r.t), float(r.c)) for r in rows if r.odds > 1.0}
-    listed = sum(t for f, (t, _) in raw.items() if f[0] == "=") + 1.0
-    weights = {}
-    for f, (t, c) in raw.items():  # against the rate of clean text, as if DENSITY of a passage were listed words
-        weights[f] = math.log(max(DENSITY * t / listed, 1e-12) / ((c + 0.5) / n_c))
-    weights = {f: min(w, 12.0) for f, w in weights.items() if w > 0}
-    background = math.log(1 - DENSITY)
-    decay = _law(weights, {f: c for f, (_, c) in raw.items()}, n_c, background) if weights else 1.0
+    rows = counts.filter(F.col("t") >= MIN_COUNT).select("f", (odds / F.sqrt(1 / y1 + 1 / y2)).alias("z"), odds.alias("odds")).filter(F.col("z") >= MIN_Z).collect()
+    counts.unpersist()  # max_rows bounds the rows collected
+    weights = {r.f: r.odds for r in rows if r.odds > 1.0}
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(weights, background)
+        scorer = Scorer(weights)
         for b in batches:
-            got = [scorer.statistics(t) for t in texts_of(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.list_(pa.float64()))], ["toxic", "n", "s"])
+            hits = [scorer.hits(t) for t in texts_of(b.column(1))]
+            lists = [[w for _, w in h] for _, h in hits]
+            found = [segments(h, -DRIFT) if h else [] for _, h in hits]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in hits], pa.int64()), pa.array(found, pa.list_(pa.float64())), pa.array(lists, pa.list_(pa.float64()))], ["toxic", "n", "s", "w"])
 
     bounded_batches(docs.sparkSession)
-    held = sample.filter("part = 1").select("toxic", "text").mapInArrow(stats, "toxic long, n long, s array<double>").collect()  # at most max_rows
+    held = sample.filter("part = 1").select("toxic", "text").mapInArrow(stats, "toxic long, n long, s array<double>, w array<double>").collect()  # at most max_rows
     ys = np.array([r.toxic for r in held], float)
     if not ys.any() or ys.all():
         return None
-    best = [(decay * max(r.s), r.n) for r in held if r.s and not r.toxic]
+    clean = [r for r in held if not r.toxic]
+    decay = _law(np.array([w for r in clean for w in r.w], float), float(sum(r.n for r in clean)))
+    best = [(decay * max(r.s), r.n) for r in clean if r.s]
     # Gumbel law of clean maxima: mean of lambda * S - ln n is ln K + Euler's constant.
     scale = math.exp(np.mean([s - math.log(n) for s, n in best]) - 0.5772) if len(best) >= 30 else 0.1
     seen = [_bits(r.n, r.s, decay, scale, math.nan) for r in held]
     finite = [x for x in seen if not math.isnan(x)]
     empty = min([0.0, *finite]) - 1.0
-    slope, offset = _logistic(np.clip([empty if math.isnan(x) else x for x in seen], -60, 60), ys)
-    return Model(weights, background, decay, scale, slope, offset, empty)
+    slope, offset = _logistic(np.array([_squash(empty if math.isnan(x) else x) for x in seen]), ys)
+    return Model(weights, decay, scale, slope, offset, empty)
 
 
 def score(docs: DataFrame, model: Model | None, keep_segments: bool = False) -> DataFrame:
@@ -227,13 +232,12 @@ def score(docs: DataFrame, model: Model | None, keep_segments: bool = False) ->
     out = "doc_id long, score double, n_segments long" + (", segment_scores array<double>" if keep_segments else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.weights, model.background) if model else None
+        scorer = Scorer(model.weights) if model else None
         for b in batches:
             scores, counts, lists = [], [], []
             for text in texts_of(b.column(1)):
                 n, found = scorer.statistics(text) if scorer else (0, [])
-                x = min(max(_bits(n, found, model.decay, model.scale, model.empty), -60.0), 60.0) if model else 0.0
-                scores.append(1 / (1 + math.exp(-min(max(model.slope * x + model.offset, -700), 700))) if model else 0.0)
+                scores.append(_probability(model, n, found) if model else 0.0)
                 floor = math.log(max(model.scale * n, 1e-9)) - math.log(E_VALUE) if model and found else 0
                 sig = [s for s in found if model.decay * s > floor] if found else []
                 counts.append(len(sig))
@@ -251,15 +255,14 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFram
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.weights, model.background) if model else None
+        scorer = Scorer(model.weights) if model else None
         for b in batches:
             if not scorer:
                 yield b
                 continue
             ok = []
             for text in texts_of(b.column(at)):
-                x = min(max(_bits(*scorer.statistics(text), model.decay, model.scale, model.empty), -60.0), 60.0)
-                ok.append(1 / (1 + math.exp(-min(max(model.slope * x + model.offset, -700), 700))) < threshold)
+                ok.append(_probability(model, *scorer.statistics(text)) < threshold)
             yield b.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
