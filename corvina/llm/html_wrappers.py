@@ -1,11 +1,12 @@
 """Main-text extraction by union-free regular expressions inferred per host.
 
 A page's token stream is read into nested block elements; a host's pages are aligned one after the
-other into one wrapper, a union-free expression over element signatures: equal elements align, runs of
-equal siblings become repeated groups, elements that some page lacks become optional groups, and texts
-that differ between pages become slots, while texts that never differ stay constants. Where a node has
-too many kinds of children, its rare ones share a general signature per tag. Each partition
-folds its pages of a host into one partial wrapper before wrappers are shuffled, so a host with a third
+other into one wrapper, a union-free expression over element signatures: equal elements align, in the order of
+their mean places; elements that a page has more than once become repeated groups, elements that some page lacks
+become optional groups, and texts that differ between pages become slots, while texts that most pages share are
+constants. Counts, places and flags only add up, so a wrapper does not depend on the order or the partitions
+of its pages. Where a node has too many kinds of children, its rare ones share a general signature per tag. Each
+partition folds its pages of a host into one partial wrapper before wrappers are shuffled, so a host with a third
 of all pages costs one small row per partition. All pages take part.
 
 Extraction parses a page along its host's wrapper: the content root is the wrapper's article or main
@@ -16,7 +17,8 @@ content root found, or nothing but constants) is aligned on its own.
 
 Edge cases: null and empty html give an empty text; unclosed or stray tags, comments, quotes and
 truncated entities are tolerated; pages without a url share a wrapper of the empty host; repeated rows
-are extracted each; an empty table gives an empty result; other columns are not read.
+are extracted each; pages of any length and depth are read whole; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -34,12 +36,14 @@ from pyspark.sql import functions as F
 
 from corvina.llm.common import bounded_batches, texts_of, written
 
-#: Hosts up to which wrappers are broadcast; beyond it pages join them.
-MAX_BROADCAST = 100_000
+#: Bytes of all wrappers up to which they are broadcast; beyond it pages join them.
+MAX_BROADCAST = 32 << 20
 #: Pages that must agree on a text before it is a constant.
 AGREE = 3
-#: Depth, siblings and constants kept of one wrapper (not of a page): wrappers stay small whatever the pages.
-DEPTH, SIBLINGS, CONSTANTS = 64, 200, 50
+#: Depth and kinds of siblings kept of one wrapper (not of a page), characters of a text that a wrapper holds (longer
+#: ones are held by digest), and texts of a node kept for each that its fullest page has: wrappers stay small whatever
+#: the pages. A text of most pages is never among the rest.
+DEPTH, SIBLINGS, SHOWN, TEXTS = 64, 200, 48, 4
 #: HTML element names by role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript xmp iframe template noembed noframes".split())
@@ -54,6 +58,11 @@ SCOPES = set("ul ol dl table article section div main body aside nav header foot
 #: Words of class, id and role attributes that mark chrome.
 MARKS = set("ad ads advert advertisement advertising adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended sidebar widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead toolbar comment comments discussion disqus replies respond reader-comments tags".split())
 
+#: Words that such a word may be joined with; beside any other it says nothing ("related-work").
+BESIDE = set("0 area articles aside bar block body bottom box button buttons center column container content desktop element float footer form global group header holder icon icons inline inner item items label layer left link links list main mobile module outer overlay page panel posts primary right row rail secondary section site slot sticky stories text title top unit wrap wrapper zone".split())
+#: Elements that no class makes chrome.
+TEXTUAL = HEADINGS | {"article", "main", "p", "body"}
+
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
@@ -72,8 +81,8 @@ def _node(tag: str, attributes: str) -> Node:
     for m in ATTRIBUTE.finditer(attributes) if attributes.strip(" /") else ():
         marks += re.split(r"[\s_]+", (m[2] or m[3] or m[4] or "").lower())
     marks = [re.sub(r"\d+", "0", x) for x in marks if x]
-    words = {w for x in marks for w in (x, *x.split("-"))}
-    return Node(tag, ".".join([tag, *sorted(marks)[:4]]), tag in CHROME or bool(words & MARKS))
+    told = any(x in MARKS or (ws := set(x.split("-")) - {""}) & MARKS and ws <= MARKS | BESIDE for x in marks)
+    return Node(tag, ".".join([tag, *sorted(marks)[:4]]), tag in CHROME or told and tag not in TEXTUAL)
 
 
 def parse(page: str) -> Node:
@@ -144,9 +153,19 @@ def clean(s: str) -> str:
     return " ".join(entities.unescape(s).split())
 
 
-# A wrapper node is [signature, pages, repeated, optional, items, texts]: items are child wrapper nodes
-# in order; texts maps each constant candidate (direct text of the element) to the number of pages that
-# have it; a slot is a text that no two pages share, so it never reaches AGREE. slot is its mean length.
+# A wrapper node has a signature s, whether it is chrome c, its pages n, repeated r, the sum of its places p among its
+# siblings, items k (child wrapper nodes), texts t (constant candidates: pages that have each as direct text of the
+# element; a slot is a text that no two pages share, so it never reaches AGREE), the most texts m of a page, and the
+# length z of all its texts. An item is optional where it has fewer pages than its node.
+
+
+def shown(text: str) -> str:
+    """What a wrapper holds of a text: itself, or its length and digest."""
+    return text if len(text) <= SHOWN else f"\0{len(text)}:{hashlib.md5(text.encode('utf-8', 'replace')).hexdigest()}"
+
+
+def length(held: str) -> int:
+    return int(held[1:].split(":")[0]) if held[:1] == "\0" else len(held)
 
 
 def flat(node: Node) -> Iterator[Node | str]:
@@ -160,12 +179,12 @@ def flat(node: Node) -> Iterator[Node | str]:
             todo += x.items[::-1]
 
 
-def infer(node: Node, depth: int = 1) -> dict:
-    """The wrapper of one page: equal neighbours folded into repeated groups.
+def infer(node: Node, depth: int = 1, place: int = 0) -> dict:
+    """The wrapper of one page: equal siblings folded into repeated groups.
 
     Below DEPTH all text counts for the deepest node kept; extraction reads pages at any depth.
     """
-    items: list[dict] = []
+    items: dict[str, dict] = {}
     texts: dict[str, int] = {}
     size = 0
     if depth >= DEPTH:
@@ -176,22 +195,19 @@ def infer(node: Node, depth: int = 1) -> dict:
                 size += len(clean(x))
             else:
                 todo += flat(x)
-        return {"s": node.sig, "c": int(node.chrome), "n": 1, "r": 0, "o": 0, "k": [], "t": {}, "z": size}
-    for x in node.items:
-        if isinstance(x, str):
-            t = clean(x)
-            if t:
-                size += len(t)
-                if len(t) <= 400 and len(texts) < CONSTANTS:
-                    texts[t] = 1
-            continue
-        child = infer(x, depth + 1)
-        if items and items[-1]["s"] == child["s"]:
-            items[-1] = merge(items[-1], child, same_page=True)
-            items[-1]["r"] = 1
-        else:
-            items.append(child)
-    return {"s": node.sig, "c": int(node.chrome), "n": 1, "r": 0, "o": 0, "k": general(items, SIBLINGS, 1), "t": texts, "z": size}
+    else:
+        for x in node.items:
+            if isinstance(x, str):
+                t = clean(x)
+                if t:
+                    size += len(t)
+                    texts[shown(t)] = 1
+                continue
+            child = infer(x, depth + 1, len(items))
+            if child["s"] in items:
+                child = {**merge(items[child["s"]], child, same_page=True), "r": 1}
+            items[child["s"]] = child
+    return {"s": node.sig, "c": int(node.chrome), "n": 1, "r": 0, "p": place, "k": general(list(items.values()), SIBLINGS, 1), "t": texts, "m": len(texts), "z": size}
 
 
 def kind_of(sig: str) -> str:
@@ -207,64 +223,63 @@ def look_up(kids: dict[str, dict], sig: str) -> dict | None:
 def general(items: list[dict], most: int, pages: int) -> list[dict]:
     """Items of a wrapper node in bounded space: no text or page count is lost, signatures of rare items are.
 
-    Beyond ``most`` items, equal signatures become one repeated group, then those of the fewest pages become
-    one group per tag. Article and main elements and items of most pages go last.
+    Beyond ``most`` items, those of the fewest pages become one group per tag. Article and main elements and items of
+    most pages go last.
     """
     if len(items) <= most:
         return items
-
-    def fold(sig_of) -> list[dict]:
-        groups: dict[str, dict] = {}
-        for x in items:
-            sig = sig_of(x)
-            x = {**x, "s": sig}
-            if sig in groups:
-                whole = merge(groups[sig], x, same_page=pages == 1)
-                whole["n"] = min(whole["n"], pages)
-                x = {**whole, "t": {t: min(n, pages) for t, n in whole["t"].items()}, "r": 1}
-            groups[sig] = x
-        return list(groups.values())
-
-    items = fold(lambda x: x["s"])
-    if len(items) > most:
-        worth = lambda x: (x["s"].endswith(".*"), x["s"].split(".")[0] in ("article", "main"), x["n"], x["s"])
-        kept = {x["s"] for x in sorted(items, key=worth, reverse=True)[: most // 2]}
-        items = fold(lambda x: x["s"] if x["s"] in kept else kind_of(x["s"]))
-    return items
+    worth = lambda x: (x["s"].endswith(".*"), x["s"].split(".")[0] in ("article", "main"), x["n"], x["s"])
+    kept = {x["s"] for x in sorted(items, key=worth, reverse=True)[: most // 2]}
+    groups: dict[str, dict] = {}
+    for x in items:
+        sig = x["s"] if x["s"] in kept else kind_of(x["s"])
+        x = {**x, "s": sig}
+        if sig in groups:
+            whole = merge(groups[sig], x, same_page=pages == 1)
+            whole["n"] = min(whole["n"], pages)
+            x = {**whole, "t": {t: min(n, pages) for t, n in whole["t"].items()}, "r": 1}
+        groups[sig] = x
+    return list(groups.values())
 
 
 def merge(a: dict, b: dict, same_page: bool = False) -> dict:
-    """Align two wrappers of one signature: matches merge, the rest turns optional."""
-    x, y, items = a["k"], b["k"], []
-    place: dict[str, list[int]] = {}
-    for j, q in enumerate(y):
-        place.setdefault(q["s"], []).append(j)
-    j = 0
-    for p in x:
-        hit = next((k for k in place.get(p["s"], ()) if k >= j), None)
-        if hit is None:
-            items.append(p if same_page else {**p, "o": 1})
-            continue
-        items += [q if same_page else {**q, "o": 1} for q in y[j:hit]]
-        items.append(merge(p, y[hit], same_page))
-        j = hit + 1
-    items += [q if same_page else {**q, "o": 1} for q in y[j:]]
-    texts = dict(a["t"])
-    for t, n in b["t"].items():
-        texts[t] = max(texts.get(t, 0), n) if same_page else texts.get(t, 0) + n
-    if len(texts) > CONSTANTS:  # rare texts are slots
-        texts = dict(sorted(texts.items(), key=lambda kv: (-kv[1], kv[0]))[:CONSTANTS])
+    """Two wrappers of one signature as one: equal items align, all counts add up, in whatever order pages come.
+
+    same_page: both are of one page, where a repeated element and its texts count once.
+    """
+    items = {x["s"]: x for x in a["k"]}
+    for y in b["k"]:
+        x = items.get(y["s"])
+        items[y["s"]] = y if x is None else merge(x, y, same_page)
     n = a["n"] if same_page else a["n"] + b["n"]
-    return {"s": a["s"], "c": a["c"], "n": n, "r": a["r"] | b["r"], "o": a["o"] | b["o"], "k": general(items, 2 * SIBLINGS, n), "t": texts, "z": a["z"] + b["z"]}
+    texts = dict(a["t"])
+    for t, k in b["t"].items():
+        texts[t] = max(texts.get(t, 0), k) if same_page else texts.get(t, 0) + k
+    fullest = len(texts) if same_page else max(a["m"], b["m"])
+    if not same_page and len(texts) > TEXTS * max(fullest, SIBLINGS):  # rare texts are slots
+        texts = dict(sorted(texts.items(), key=lambda kv: (-kv[1], kv[0]))[: TEXTS * max(fullest, SIBLINGS)])
+    kept = sorted(items.values(), key=lambda x: (x["p"] / x["n"], x["s"]))
+    return {
+        "s": a["s"], "c": a["c"], "n": n, "r": a["r"] | b["r"], "p": a["p"] if same_page else a["p"] + b["p"], "k": general(kept, 2 * SIBLINGS, n),
+        "t": texts, "m": fullest, "z": a["z"] + b["z"],
+    }
+
+
+def constants(w: dict) -> dict[str, int]:
+    return {t: n for t, n in w["t"].items() if n >= AGREE and n > 0.5 * w["n"]}
+
+
+def slots(w: dict) -> int:
+    """Length of the slot texts of an element and all below it, chrome left out."""
+    if w["c"]:
+        return 0
+    return max(0, w["z"] - sum(length(t) * n for t, n in constants(w).items())) + sum(map(slots, w["k"]))
 
 
 def content_root(w: dict) -> list[str]:
     """Signatures from the body to the content root."""
     best: list[tuple[float, list[str]]] = []
-
-    def total(p: dict) -> int:
-        return 0 if p["c"] else p["z"] + sum(map(total, p["k"]))
-
+    total = slots
     def walk(p: dict, path: list[str]) -> None:
         tag = p["s"].split(".")[0]
         if p["c"]:
@@ -288,18 +303,8 @@ def content_root(w: dict) -> list[str]:
         w = top
 
 
-def constants(w: dict) -> dict[str, int]:
-    return {t: n for t, n in w["t"].items() if n >= AGREE and n > 0.5 * w["n"]}
-
-
 def mark_core(w: dict, path: list[str]) -> None:
     """Mark the element below the content root that holds the slot texts: all of its text is content."""
-
-    def slots(p: dict) -> int:
-        if p["c"]:
-            return 0
-        return max(0, p["z"] - sum(len(t) * n for t, n in constants(p).items())) + sum(map(slots, p["k"]))
-
     p = w
     for sig in path:
         p = next((k for k in p["k"] if k["s"] == sig), None)
@@ -308,7 +313,7 @@ def mark_core(w: dict, path: list[str]) -> None:
     while True:
         whole = slots(p)
         top = max(p["k"], key=slots, default=None)
-        alone = top is not None and not top["r"] and sum(k["s"] == top["s"] for k in p["k"]) == 1
+        alone = top is not None and not top["r"]
         if not whole or not alone or top["s"].split(".")[0] not in CONTAINERS or slots(top) < 0.8 * whole:
             break
         p = top
@@ -358,7 +363,7 @@ def extract_from(roots: list[Node], pattern: dict | None, inside: bool) -> str:
                 levels.pop()
             elif isinstance(x, str):
                 t = clean(x)
-                if t and t not in fixed and (not only or tag in HEADINGS):
+                if t and shown(t) not in fixed and (not only or tag in HEADINGS):
                     blocks.append(t)
             elif not x.chrome:
                 header = x.tag == "header"
@@ -428,7 +433,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     out = "page_id long, url string, text string, n_chars long"
-    if made.count() <= MAX_BROADCAST:
+    if (made.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0) <= MAX_BROADCAST:
         shared = spark.sparkContext.broadcast({r.host: slim(r.wrapper) for r in made.toLocalIterator()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,14 +450,17 @@ def main_text(pages: DataFrame) -> DataFrame:
                 yield rows(b, of)
 
         return pages.mapInArrow(run, out)
-    host = F.udf(host_of, "string")
+
+    def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([host_of(u) for u in b.column(1).to_pylist()], pa.string())], ["page_id", "url", "html", "host"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ws = b.column(3).to_pylist()
             yield rows(b, lambda k: json.loads(ws[k]) if ws[k] else None)
 
-    both = pages.withColumn("host", host("url")).join(made, "host", "left").select("page_id", "url", "html", "wrapper")
+    both = pages.mapInArrow(hosts, "page_id long, url string, html string, host string").join(made, "host", "left").select("page_id", "url", "html", "wrapper")
     return both.mapInArrow(joined, out)
 
 

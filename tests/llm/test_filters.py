@@ -159,7 +159,42 @@ def test_wrapper_has_slots_optionals_and_repeats():
     a, b = (infer(parse(x)) for x in ("<div><p>1<p>2</div><ul><li>x</ul>", "<div><p>3</div>"))
     w = merge(a, b)
     div, ul = w["k"]
-    assert div["k"][0]["r"] == 1 and ul["o"] == 1 and div["o"] == 0
+    assert div["k"][0]["r"] == 1 and div["n"] == w["n"] == 2 and ul["n"] == 1  # an item of fewer pages is optional
+
+
+def test_wrappers_do_not_depend_on_the_order_of_pages():
+    import functools
+    import random
+
+    from corvina.llm.html_wrappers import infer, merge, parse
+
+    rng = random.Random(3)
+    parts = ["<ul><li>x<li>y</ul>", "<div class=post><p>text {0}</p></div>", "<p>same</p>", "<section>{0}<div>z</div></section>", "<table><tr><td>{0}</table>"]
+    pages = [infer(parse("".join(rng.sample(parts, rng.randint(1, 5))).format(k % 7))) for k in range(40)]
+    one = functools.reduce(merge, pages)
+    for _ in range(3):
+        rng.shuffle(pages)
+        halves = [functools.reduce(merge, pages[:k]) for k in (11,)] + [functools.reduce(merge, pages[11:])]
+        assert merge(*halves) == one
+
+
+def test_any_number_of_template_texts_goes():
+    import functools
+
+    from corvina.llm.html_wrappers import extract, infer, merge, parse
+
+    long = "This notice says at length that nothing here may be copied. " * 12
+    template = "<div>" + "<hr>".join(f"rubric {letters(k)}" for k in range(300)) + f"<hr>{long}</div><div class=post><p>story {{0}} of the day</p></div>"
+    pages = [parse(template.format(k)) for k in range(8)]
+    w = functools.reduce(merge, map(infer, pages))
+    assert [extract(p, w) for p in pages] == [f"story {k} of the day" for k in range(8)]
+
+
+def test_classes_beside_other_words_are_no_chrome():
+    from corvina.llm.html_wrappers import extract, parse
+
+    page = '<article class="post comments-open"><h1 class="share-title">T</h1><p>one</p><div class="related-work">two</div><div class="related-posts">no</div><div class="social-share">no</div></article>x'
+    assert extract(parse(page), None) == "T\n\none\n\ntwo"
 
 
 def test_deep_pages_keep_their_text():
