@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from corvina.functions import text as T
 from corvina.model import Tables
 from corvina.operators import chunking, citations, entities, fusion, lexical, metrics, vector
-from corvina.plans import search
+from corvina.plans import search, structured
+from corvina.scratch import scratch
 from corvina.sources import parsers, records
 from corvina.streaming import ingest
 
@@ -170,15 +171,21 @@ FUZZY_BODY = f"{BM25_SQL}, near as (select * from (select q, token, {SIM_SQL} as
 FUZZY_SQL = f"with {PROBE_SQL}, {FUZZY_BODY}"
 
 
+@query("lexical_index", f"with c as (select doc_id, unnest({SPARSE.format('text')}) as token from documents) select count(*) as occurrences, count(distinct token) as tokens, count(distinct doc_id) as chunks from c")
+def _(t):
+    rows = t.index().occurrences
+    return rows.agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct("token").alias("tokens"), F.countDistinct("chunk_id").alias("chunks"))
+
+
 @query("lexical_bm25_exact", EXACT_SQL + " select qid, chunk_id, round(score, 6) as score, overlap, rank::int as rank from ranked where rank <= 10")
 def _(t):
-    top = lexical.top(lexical.bm25(t.small_chunks(), probes(t), fuzzy=False), 10)
+    top = lexical.top(lexical.bm25(t.index(), probes(t), fuzzy=False), 10)
     return top.select("qid", "chunk_id", F.round("score", 6).alias("score"), "overlap", "rank")
 
 
 @query("lexical_bm25_fuzzy", FUZZY_SQL + " select qid, chunk_id, round(score, 6) as score, overlap, rank::int as rank from ranked where rank <= 10")
 def _(t):
-    top = lexical.top(lexical.bm25(t.small_chunks(), probes(t)), 10)
+    top = lexical.top(lexical.bm25(t.index(), probes(t)), 10)
     return top.select("qid", "chunk_id", F.round("score", 6).alias("score"), "overlap", "rank")
 
 
@@ -190,7 +197,7 @@ def _(t):
 
 @query("lexical_fast_path_flags", FUZZY_SQL + " select qid, score >= 2 and overlap >= 2 as fast_path from ranked where rank = 1")
 def _(t):
-    return lexical.fast_path(lexical.top(lexical.bm25(t.small_chunks(), probes(t)), 1))
+    return lexical.fast_path(lexical.top(lexical.bm25(t.index(), probes(t)), 1))
 
 
 @query("query_plan_variants", """select * from (values (1::bigint, 0, 'original', 'was tion'), (2, 0, 'original', 'Which docs discuss ing and ble?'), (2, 1, 'rewrite', 'ing and ble'),
@@ -205,17 +212,17 @@ PLAN_PROBES = "probes(qid, query) as (values (10, 'was tion'), (20, 'Which docs
 @query("query_plan_fusion", f"with {PLAN_PROBES}, {FUZZY_BODY}, " + """fused as (select qid // 10 as qid, chunk_id, sum(score + 1 / (80.0 + rank)) as score, count(*) as lists from ranked where rank <= 10 group by 1, 2)
     select qid::bigint as qid, chunk_id, round(score, 6) as score, rank::int as rank from (select *, row_number() over (partition by qid order by score desc, chunk_id) as rank from fused) where rank <= 10""")
 def _(t):
-    return search.lexical_plan(t.small_chunks(), probes(t), 10).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return search.lexical_plan(t.index(), probes(t), 10).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 # Vectors, fusion, rerank ------------------------------------------------------------------------
 
-VEC_SQL = """q as (select vec_id as qid, embedding as qv from embeddings where vec_id in (3, 77, 250)),
+VEC_SQL = """q as (select vec_id as qid, embedding as qv from embeddings where vec_id % 50 = 0),
     s as (select qid, vec_id, label, list_cosine_similarity(embedding::double[], qv::double[]) as score from embeddings, q)"""
 
 
 def _vector_queries(t: Tables) -> DataFrame:
-    return t.embeddings.filter(F.col("vec_id").isin(3, 77, 250)).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
+    return t.embeddings.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
 
 
 @query("vector_topk", f"with {VEC_SQL} select qid, vec_id as id, round(score, 6) as score, rank::int as rank from (select *, row_number() over (partition by qid order by score desc, vec_id) as rank from s where score >= 0.05) where rank <= 10")
@@ -259,7 +266,7 @@ def _(t):
     scored = vectors.join(F.broadcast(asked)).select("qid", "chunk_id", F.round(vector.cosine(F.col("v"), F.col("q")), 9).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     sem = scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 20")
-    lex = lexical.top(lexical.bm25(chunks, probes(t)), 20)
+    lex = lexical.top(lexical.bm25(t.index(), probes(t)), 20)
     return fusion.rrf({"lexical": lex, "semantic": sem}, 10).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -267,7 +274,7 @@ def _(t):
     union all select qid, chunk_id, row_number() over (partition by qid order by doc_id desc) from (select * from ranked where rank <= 10))
     select qid::bigint as qid, chunk_id, round(sum(1 / (60.0 + rank)), 6) as score from lists group by qid, chunk_id""")
 def _(t):
-    lex = lexical.top(lexical.bm25(t.small_chunks(), probes(t)), 10)
+    lex = lexical.top(lexical.bm25(t.index(), probes(t)), 10)
     by = lambda *o: lex.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*o)))
     return fusion.rrf({"lexical": lex, "oldest": by("chunk_index"), "newest": by(F.desc("chunk_index"))}, 50).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -276,20 +283,20 @@ def _(t):
     select qid::bigint as qid, chunk_id, len(list_intersect(list_distinct(q), list_distinct(content_toks)))::int as rerank_overlap,
         round(score + len(list_intersect(list_distinct(q), list_distinct(content_toks))) / len(list_distinct(q)) * 0.08, 6) as score from r""")
 def _(t):
-    top = lexical.top(lexical.bm25(t.small_chunks(), probes(t)), 20).drop("rank", "terms").join(t.small_chunks().select("chunk_id", "content"), "chunk_id").join(probes(t), "qid")
+    top = lexical.top(lexical.bm25(t.index(), probes(t)), 20).drop("rank", "terms").join(t.small_chunks().select("chunk_id", "content"), "chunk_id").join(probes(t), "qid")
     return fusion.keyword_rerank(top).select("qid", "chunk_id", "rerank_overlap", F.round("score", 6).alias("score"))
 
 
 @query("mmr_diversify")
 def _(t):
-    hits = lexical.search(t.small_chunks(), probes(t), 20)
+    hits = lexical.search(t.small_chunks(), probes(t), 20, corpus=t.index())
     return fusion.mmr(hits, 5)
 
 
 @query("corrective_router")
 def _(t):
     asked = probes(t).withColumn("mode", F.element_at(F.array(F.lit("auto"), F.lit("semantic"), F.lit("hybrid")), F.col("qid").cast("int")))
-    return search.route(t.small_chunks(), asked, 5)
+    return search.route(t.small_chunks(), asked, 5, t.index())
 
 
 # Citations and answers --------------------------------------------------------------------------
@@ -317,9 +324,23 @@ def _(t):
     return t.documents.select("doc_id", s.alias("s")).select("doc_id", F.size("s.terms").alias("n_terms"), "s.excerpt")
 
 
-@query("citations_answer")
+def _answer_sql(texts: str, key: str) -> str:
+    """Citations of the five best hits of ``ranked``: texts gives the text of a hit by its key."""
+    return f"""top as (select qid, chunk_id, rank, score from ranked where rank <= 5),
+    qt as (select qid, list(q) as q from terms group by qid),
+    one as (select qid, rank, score, q, trim(regexp_replace(t, '\\s+', ' ', 'g')) as one from top join (select {key} as chunk_id, {texts}) using (chunk_id) join qt using (qid)),
+    sp as (select *, unnest(spans) as span, generate_subscripts(spans, 1) as pos from (select *, list_filter(string_split(regexp_replace(one, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') as spans from one)),
+    hits as (select *, len(list_intersect(q, list_distinct({SPARSE.format('span')}))) as hits from sp),
+    pick as (select qid, rank, any_value(score) as score, any_value(one) as one, arg_max(struct_pack(span := span, hits := hits), struct_pack(a := hits * 10 + least(length(span), 420) / 420.0, b := -pos)) as m from hits group by qid, rank),
+    cut as (select qid, rank, score, case when m.hits > 0 then m.span else one end as x from pick),
+    cites as (select qid, rank, score, case when length(x) <= 420 then x else rtrim(substr(x, 1, 417)) || '...' end as excerpt from cut),
+    made as (select qid, string_agg(excerpt || ' [' || rank || ']', ' ' order by rank) filter (rank <= 3) as answer, count(*) as citation_count, max(score) as top_score from cites group by qid)"""
+
+
+@query("citations_answer", FUZZY_SQL + f""", {_answer_sql("text as t from documents", "lpad(doc_id::varchar, 10, '0')")}
+    select qid::bigint as qid, coalesce(answer, 'I cannot answer "' || query || '" from this domain with citations.') as answer, coalesce(citation_count, 0)::bigint as citation_count from probes left join made using (qid)""")
 def _(t):
-    hits = lexical.search(t.small_chunks(), probes(t), 5).join(probes(t), "qid")
+    hits = lexical.search(t.small_chunks(), probes(t), 5, corpus=t.index()).join(probes(t), "qid")
     return citations.answers(probes(t), citations.cite(hits))
 
 
@@ -334,10 +355,23 @@ def _(t):
     return s.select("item_id", "s.answer_tokens", "s.supported_tokens", "s.coverage", "s.status", citations.verified_level(F.lit("high"), F.col("s.status")).alias("level"))
 
 
-@query("flagship_cited_search")
+CHUNK_BM25 = BM25_SQL.replace("""c as (select doc_id, lpad(doc_id::varchar, 10, '0') as chunk_id, """ + SPARSE.format("text") + " as toks from documents)",
+    "c as (select chunk_index as doc_id, 'chk_' || substr(sha256('chk:' || scope || ':' || chunk_index || ':chunk'), 1, 32) as chunk_id, content, " + SPARSE.format("content") + " as toks from chunks)")
+
+
+@query("flagship_cited_search", f"""with {PROBE_SQL}, {CHUNKS_SQL.strip()}, {FUZZY_BODY.replace(BM25_SQL, CHUNK_BM25)}, {_answer_sql("content as t from c", "chunk_id")},
+    evidence as (select qid, list_distinct(flatten(list({TOK.format('content')}))) as toks from top join c using (chunk_id) group by qid),
+    full_answer as (select qid, coalesce(answer, 'I cannot answer "' || query || '" from this domain with citations.') as answer, coalesce(citation_count, 0) as citation_count, coalesce(top_score, 0.0) as top_score, coalesce(toks, []) as toks
+        from probes left join made using (qid) left join evidence using (qid)),
+    s as (select *, list_distinct({SPARSE.format('answer')}) as a from full_answer),
+    g as (select *, case when len(a) > 0 then floor(len(list_intersect(a, toks)) / len(a) * 1000 + 0.5) / 1000 end as coverage from s),
+    st as (select *, case when len(a) = 0 then 'no_answer' when citation_count = 0 then 'no_citations' when coverage >= 0.65 then 'supported' when coverage >= 0.35 then 'partial' else 'weak' end as status,
+        case when citation_count = 0 then 'none' when top_score >= 0.75 then 'high' when top_score >= 0.45 then 'medium' else 'low' end as level from g)
+    select qid::bigint as qid, answer, citation_count::bigint as citation_count, round(top_score, 6) as top_score, case when status = 'supported' then level when status = 'partial' then case when level = 'high' then 'medium' else level end
+        when status in ('no_answer', 'no_citations') then 'none' else 'low' end as confidence, status, coverage from st""")
 def _(t):
     chunks = t.chunks().select("chunk_id", "document_id", "chunk_index", "content")
-    return search.cited_search(chunks, probes(t))
+    return search.cited_search(chunks, probes(t), corpus=t.index("chunks")).withColumn("top_score", F.round("top_score", 6))
 
 
 # Entities and graph -----------------------------------------------------------------------------
@@ -423,9 +457,9 @@ def _(t):
     return entities.expand(edges, seeds).select("edge_id", "text", F.round("score", 6).alias("score"))
 
 
-@query("relationship_backfill_anti", """select o_orderkey as source_id, o_custkey as target_id from orders where o_custkey not in (select c_custkey from customer where c_custkey % 2 = 0)""")
+@query("relationship_backfill_anti", """select o_orderkey as source_id, o_custkey as target_id from orders where o_custkey not in (select c_custkey from customer where c_acctbal >= 0)""")
 def _(t):
-    have = t.orders.join(t.customer.filter("c_custkey % 2 = 0"), F.col("o_custkey") == F.col("c_custkey"))
+    have = t.orders.join(t.customer.filter("c_acctbal >= 0"), F.col("o_custkey") == F.col("c_custkey"))
     edge = [F.lit("customer").alias("rel_type"), F.col("o_orderkey").alias("source_id"), F.col("o_custkey").alias("target_id")]
     return entities.missing_edges(t.orders.select(*edge), have.select(*edge)).select("source_id", "target_id")
 
@@ -535,20 +569,16 @@ def _(t):
     first as (select qid, min(rank) as first from ranked join want using (qid, chunk_id) where rank <= 20 group by qid), k as (select distinct qid from want)
     select count(*) as cases, count(first) as hits, count(first) / count(*) as hit_rate, round(avg(coalesce(1.0 / first, 0)), 6) as mrr from k left join first using (qid)""")
 def _(t):
-    top = lexical.top(lexical.bm25(t.small_chunks(), probes(t)), 20)
+    top = lexical.top(lexical.bm25(t.index(), probes(t)), 20)
     want = top.filter("rank = 2 and qid > 1").select("qid", "chunk_id").union(t.spark.createDataFrame([(1, "0000000007")], "qid long, chunk_id string"))
     return metrics.search_eval(top, want).withColumn("mrr", F.round("mrr", 6))
 
 
-@query("query_eval_rates", """with p as (select item_id, lower(substr(text, 1, 60)) as passage from benchmark), h as (select item_id, count(doc_id) as n from p left join documents on contains(lower(documents.text), passage) group by item_id)
+@query("query_eval_rates", """with h as (select item_id, count(doc_id) as n from benchmark left join documents on contains(lower(documents.text), lower(benchmark.text)) group by item_id)
     select count(*) as cases, count(*) filter (n > 0) as hits, round(avg((n > 0)::int), 6) as hit_rate from h""")
 def _(t):
-    # A passage starts with some token: passages and texts meet on it instead of in a product.
-    key = lambda c: F.get(T.tokens(c), F.lit(0))
-    p = t.benchmark.select("item_id", F.lower(F.substring("text", 1, 60)).alias("passage")).withColumn("k", key(F.col("passage")))
-    d = t.documents.select("doc_id", F.lower("text").alias("low")).select("doc_id", "low", F.explode(T.content_tokens(F.col("low"))).alias("k"))
-    hit = p.join(d, "k").filter(F.col("low").contains(F.col("passage"))).select("item_id").distinct().withColumn("hit", F.lit(1))
-    return p.join(hit, "item_id", "left").agg(F.count(F.lit(1)).alias("cases"), F.count("hit").alias("hits"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("hit_rate"))
+    found = metrics.passage_hits(t.benchmark.select(F.col("item_id").alias("id"), F.lower("text").alias("passage")), t.documents.select(F.lower("text").alias("text")))
+    return found.agg(F.count(F.lit(1)).alias("cases"), F.count_if("hit").alias("hits"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"))
 
 
 @query("parse_eval_match", r"""with n as (select page_id, lower(regexp_replace(html, '\s+', ' ', 'g')) as x from pages), k as (select page_id, contains(x, 'track(') as literal, len(list_intersect(list_distinct(regexp_extract_all(x, '[a-z0-9]{2,}')), ['nav', 'article', 'the', 'une'])) as hit from n)
@@ -644,7 +674,7 @@ def _(t):
     return r.select("id", "record_index", F.get_json_object("record", "$.k").cast("int").alias("k"))
 
 
-@query("csv_sniff")
+@query("csv_sniff", """select 1::bigint as id, (row_number() over (order by r_regionkey::varchar || ',"' || r_name || '"') - 1)::int as record_index, '{"name": "' || r_name || '", "region_key": ' || r_regionkey || '}' as record from region""")
 def _(t):
     csv = t.region.groupBy().agg(F.concat(F.lit("region key,name\n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", F.col("r_regionkey").cast("string"), F.concat(F.lit('"'), F.col("r_name"), F.lit('"'))))), "\n")).alias("text"))
     return records.extract_records(csv.select(F.lit(1).cast("long").alias("id"), "text"), "id", "text")
@@ -679,23 +709,117 @@ def _(t):
     return t.pages.select("page_id", F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"), F.regexp_extract("url", "/([0-9]+)", 1).alias("number"))
 
 
-@query("markdown_tables")
+@query("markdown_tables", """select c_custkey, 0 as table_index, '| Metric | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| name | ' || c_name || ' |' || chr(10) || '| segment | ' || c_mktsegment || ' |' as content from customer""")
+def _(t):
+    table = F.concat(F.lit("Intro\n| Metric | Value |\n| --- | --- |\n| name | "), F.col("c_name"), F.lit(" |\n| segment | "), F.col("c_mktsegment"), F.lit(" |\n\nOutro | no | table\n| single |\n"))
+    return t.customer.select("c_custkey", F.posexplode(T.markdown_tables(table)).alias("table_index", "content"))
+
+
+# Records to entities -----------------------------------------------------------------------------
+
+RECORD_SQL = """rec as (select o_orderkey as id, o_custkey as customer_id, c_name as customer_name, n_nationkey as nation_id, n_name as nation_name, o_totalprice::bigint as amount
+    from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"""
+RECORD_FIELDS = ["id", "customer_id", "customer_name", "nation_id", "nation_name", "amount"]
+
+
+def _record_values(t: Tables) -> DataFrame:
+    """Orders as records, unpivoted: the value of every field as JSON text."""
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rec = rows.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"),
+        F.col("n_nationkey").alias("nation_id"), F.col("n_name").alias("nation_name"), F.round("o_totalprice").cast("long").alias("amount"),
+    )
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), (F.to_json(F.array(f)) if f.endswith("name") else F.concat(F.lit("["), F.col(f).cast("string"), F.lit("]"))).alias("value")) for f in RECORD_FIELDS])
+    return rec.select(F.lit("f0").alias("file_id"), F.col("id").alias("record_index"), F.posexplode(cells).alias("pos", "c")).select(
+        "file_id", "record_index", "pos", "c.field", F.expr("substr(c.value, 2, length(c.value) - 2)").alias("value")
+    )
+
+
+FIELD_SQL = lambda entity, place, name, type_, identity: f"select '{entity}' as entity, {place} as place, '{name}' as field, {type_} as type, {identity} as identity, count({name}) as present from rec"
+ENUM_SQL = "case when count(distinct {0}) >= 2 then 'enum' else 'string' end"
+
+
+@query("schema_assembly", f"with {RECORD_SQL}, f as (" + " union all ".join([
+    *[FIELD_SQL("OrderRecord", k, f, ENUM_SQL.format(f) if f.endswith("name") else "'integer'", f.endswith("id")) for k, f in enumerate(RECORD_FIELDS)],
+    *[FIELD_SQL(e, k, f, ENUM_SQL.format(f) if f.endswith("name") else "'integer'", f.endswith("id")) for e, x in (("CustomerRecord", "customer"), ("NationRecord", "nation")) for k, f in enumerate((f"{x}_id", f"{x}_name"))],
+]) + ") select entity, place, field, type, present = (select count(*) from rec) as required, identity from f")
 def _(t):
-    table = F.concat(F.lit("Intro\n| Metric | Value |\n| --- | --- |\n| name | "), F.col("r_name"), F.lit(" |\n\nOutro"))
-    found = F.regexp_extract_all(table, F.lit(r"(?m)(?:^\|.*\|[^\S\n]*$\n?){2,}"), F.lit(0))
-    return t.region.select("r_regionkey", F.posexplode(found).alias("table_index", "content")).withColumn("content", T.normalize_text(F.col("content")))
+    schema = structured.assemble("orders", _record_values(t))
+    rows = [(e.name, k, *f) for e in schema.entities for k, f in enumerate(e.fields)]
+    return t.spark.createDataFrame(rows, "entity string, place int, field string, type string, required boolean, identity boolean")
+
+
+@query("relationship_inference", """select * from (values ('customer', 'ref', 'OrderRecord', 'CustomerRecord'), ('nation', 'ref', 'OrderRecord', 'NationRecord')) v(name, kind, from_type, to_type)""")
+def _(t):
+    return t.spark.createDataFrame(structured.assemble("orders", _record_values(t)).relationships, "name string, kind string, from_type string, to_type string")
+
+
+ORDER_SCHEMA = structured.Schema(
+    "orders",
+    [
+        structured.EntityType("OrderRecord", "orders", [(f, "", True, f == "id") for f in RECORD_FIELDS], "id"),
+        structured.EntityType("CustomerRecord", "customer", [("customer_id", "", True, True), ("customer_name", "", True, False)], "customer_name"),
+        structured.EntityType("NationRecord", "nation", [("nation_id", "", True, True), ("nation_name", "", True, False)], "nation_name"),
+    ],
+    [("customer", "ref", "OrderRecord", "CustomerRecord"), ("nation", "ref", "OrderRecord", "NationRecord")],
+)
+
+
+@query("record_entities", f"""with {RECORD_SQL}
+    select 'OrderRecord' as type, id::varchar as identity_key, id::varchar as display_name, 6 as n_fields, count(*) as records from rec group by id
+    union all select 'CustomerRecord', customer_id::varchar, arg_max(customer_name, id), 2, count(*) from rec group by customer_id
+    union all select 'NationRecord', nation_id::varchar, arg_max(nation_name, id), 2, count(*) from rec group by nation_id""")
+def _(t):
+    found = structured.upserted(structured.entities(_record_values(t), ORDER_SCHEMA))
+    return found.select("type", "identity_key", "display_name", F.size("fields").alias("n_fields"), "records")
+
+
+@query("record_relationships", f"""with {RECORD_SQL}
+    select 'customer' as rel_type, id::varchar as source, customer_id::varchar as target from rec union all select 'nation', id::varchar, nation_id::varchar from rec""")
+def _(t):
+    values = _record_values(t)
+    found = structured.entities(values, ORDER_SCHEMA)
+    edges = structured.relationships(values, found, ORDER_SCHEMA)
+    names = structured.upserted(found).select("entity_id", "identity_key")
+    src, dst = (names.select(F.col("entity_id").alias(i), F.col("identity_key").alias(n)) for i, n in (("source_id", "source"), ("target_id", "target")))
+    return edges.join(src, "source_id").join(dst, "target_id").select("rel_type", "source", "target")
+
+
+@query("chunk_entity_links", f"""with {RECORD_SQL} select id as record_index, c as chunk_index, id::varchar as identity_key from rec, (values (0), (1)) v(c)""")
+def _(t):
+    values = _record_values(t)
+    found = structured.entities(values, ORDER_SCHEMA)
+    chunks = values.select("file_id", "record_index").distinct().withColumn("chunk_index", F.explode(F.array(F.lit(0), F.lit(1))))
+    linked = structured.link_chunks(chunks, found, ORDER_SCHEMA)
+    names = found.filter("type = 'OrderRecord'").select("entity_id", "identity_key").distinct()
+    return linked.join(names, "entity_id").select("record_index", "chunk_index", "identity_key")
+
+
+STRUCTURED_QUESTIONS = [(1, "mkt segment is BUILDING, nation: 7"), (2, 'Name = "Customer#000000011"?'), (3, "the segment is unknowable"), (4, "what about this?")]
+
+
+@query("structured_answer", """with hit as (
+        select 1 as qid, c_custkey, c_name, c_mktsegment, c_nationkey from customer where lower(c_mktsegment) like '%building%' and c_nationkey = 7
+        union all select 2, c_custkey, c_name, c_mktsegment, c_nationkey from customer where contains(lower(c_name), 'customer#000000011')),
+    r as (select *, row_number() over (partition by qid order by c_custkey desc) as rank from hit),
+    q(qid, question) as (values (1, 'mkt segment is BUILDING, nation: 7'), (2, 'Name = "Customer#000000011"?'), (3, 'the segment is unknowable'), (4, 'what about this?')),
+    a as (select qid, string_agg(c_name || ': ' || '{"name":"\\"' || c_name || '\\"","Mkt Segment":"\\"' || c_mktsegment || '\\"","nation":"' || c_nationkey || '"} [' || rank || ']', ' ' order by rank) as answer from r where rank <= 3 group by qid)
+    select qid::bigint as qid, coalesce(answer, 'I cannot answer "' || question || '" from structured entities in this domain.') as answer from q left join a using (qid)""")
+def _(t):
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    fields = F.create_map(F.lit("name"), quoted("c_name"), F.lit("Mkt Segment"), quoted("c_mktsegment"), F.lit("nation"), F.col("c_nationkey").cast("string"))
+    known = t.customer.select(F.col("c_custkey").cast("string").alias("entity_id"), F.lit("").alias("identity_key"), F.col("c_name").alias("display_name"), fields.alias("fields"), F.col("c_custkey").alias("created_at"))
+    asked = t.spark.createDataFrame(STRUCTURED_QUESTIONS, "qid long, question string")
+    return structured.structured_answers(asked, structured.structured_search(asked, known))
 
 
 # Streaming ---------------------------------------------------------------------------------------
 
 
-@query("ingest_stream_dedupe")
+@query("ingest_stream_dedupe", "select 'succeeded' as status, count(distinct text) as files from documents")
 def _(t):
     spark = t.spark
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/corvina-stream").rstrip("/")
-    import uuid
-
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
     source = spark.readStream.schema(t.documents.schema).parquet(f"{t.dir}/documents.parquet*")
     hashed = source.select("doc_id", F.sha2("text", 256).alias("content_hash"), F.lit(True).alias("ok"), F.lit(0).alias("attempts"))
     ingest.ingest_stream(hashed, f"{path}/state", ingest.job_rows).option("checkpointLocation", f"{path}/checkpoint").start().awaitTermination()

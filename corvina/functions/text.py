@@ -122,12 +122,15 @@ def decode_entities(text: Column) -> Column:
 
 
 def decode_numeric(text: Column) -> Column:
-    """Decimal and hexadecimal character references (Latin-1 and beyond through a code-point array)."""
+    """Decimal and hexadecimal character references; a reference to no character becomes U+FFFD."""
     pieces = F.split(text, r"&#(?:[0-9]+|[xX][0-9a-fA-F]+);", -1)
     refs = F.regexp_extract_all(text, F.lit(r"&#((?:[0-9]+|[xX][0-9a-fA-F]+));"), F.lit(1))
-    code = lambda r: F.when(r.rlike("^[xX]"), F.conv(F.substring(r, F.lit(2), F.length(r)), 16, 10)).otherwise(r).cast("int")
+    digits = lambda r: F.regexp_replace(r, "^[xX]?0*(?=.)", "")
+    # No character has more than seven digits, so longer runs need no number.
+    code = lambda r: F.when(F.length(digits(r)) <= 7, F.when(r.rlike("^[xX]"), F.conv(digits(r), 16, 10)).otherwise(digits(r)).cast("int"))
+    valid = lambda n: F.when(((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n <= 0x10FFFF)), n).otherwise(0xFFFD)
     # char() covers one byte only; a code point is its UTF-32 bytes decoded.
-    chars = F.transform(refs, lambda r: F.decode(F.unhex(F.lpad(F.hex(code(r)), 8, "0")), "UTF-32"))
+    chars = F.transform(refs, lambda r: F.decode(F.unhex(F.lpad(F.hex(valid(code(r))), 8, "0")), "UTF-32"))
     whole = F.array_join(F.zip_with(pieces, chars, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return F.when(text.rlike(r"&#(?:[0-9]+|[xX][0-9a-fA-F]+);"), whole).otherwise(text)
 
@@ -170,6 +173,15 @@ def safe_key(x: Column) -> Column:
     return F.regexp_replace(x, "[^a-zA-Z0-9._-]+", "_")
 
 
+#: Two consecutive table lines or more.
+MARKDOWN_TABLE = r"(?m)(?:^\|.*\|[^\S\n]*$\n?){2,}"
+
+
+def markdown_tables(text: Column, most: int = 100) -> Column:
+    """The markdown tables of a text, normalised."""
+    return F.filter(F.transform(F.slice(F.regexp_extract_all(text, F.lit(MARKDOWN_TABLE), F.lit(0)), 1, most), normalize_text), lambda x: x != "")
+
+
 def stable_json(m: Column) -> Column:
     """JSON of a map with its keys in order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))

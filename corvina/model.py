@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.operators.chunking import chunk_documents
+from corvina.operators.lexical import Index
+from corvina.operators.lexical import index as lexical_index
 from corvina.session import share_code
 
 
+#: Indexes of this session by folder, kind and state of the documents table.
+_INDEXES: dict[tuple, Index] = {}
+
+
 class Tables:
     """Lazy table access under one folder."""
 
@@ -35,6 +41,17 @@ class Tables:
             F.col("doc_id").cast("int").alias("chunk_index"), F.col("text").alias("content"),
         )
 
+    def index(self, kind: str = "small_chunks") -> Index:
+        """The lexical index of ``small_chunks`` or ``chunks``: built once, and again when the documents' files change."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/documents.parquet")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        listed = files.listStatus(path)
+        state = tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in listed))
+        key = (self.spark.sparkContext.applicationId, kind, state)
+        if key not in _INDEXES:
+            _INDEXES[key] = lexical_index(getattr(self, kind)())
+        return _INDEXES[key]
+
     def files(self) -> DataFrame:
         """documents with labels: quality 1 is ready, 0 failed, none pending."""
         status = F.when(F.col("quality") == 1, "ready").when(F.col("quality") == 0, "failed").otherwise("pending")

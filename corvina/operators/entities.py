@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions.text import canonical_identity
+from corvina.scratch import written
 
 #: Deepest ancestor chain followed; also what stops a cycle.
 MAX_DEPTH = 32
@@ -54,17 +55,22 @@ def spans(entities: DataFrame, most_fields: int = 50, most_chars: int = 500) ->
 
 
 def lineage(entities: DataFrame, start: DataFrame) -> DataFrame:
-    """entities(entity_id, parent_id), start(entity_id): ancestors with depth from a recursive query."""
-    spark = entities.sparkSession
-    entities.select("entity_id", "parent_id").createOrReplaceTempView("_lineage_entities")
-    start.select("entity_id").createOrReplaceTempView("_lineage_start")
-    return spark.sql(f"""
-        with recursive up(start_id, entity_id, parent_id, depth) as (
-            select e.entity_id, e.entity_id, e.parent_id, 0 from _lineage_entities e join _lineage_start s on e.entity_id = s.entity_id
-            union all
-            select u.start_id, e.entity_id, e.parent_id, u.depth + 1 from up u join _lineage_entities e on e.entity_id = u.parent_id
-            where u.depth < {MAX_DEPTH})
-        select start_id, entity_id, depth from up where depth > 0""")
+    """entities(entity_id, parent_id), start(entity_id): the ancestors of every start, with their depth.
+
+    One join per level, until a level is empty or the greatest depth is reached; each level is written, so that
+    any number of rows may climb (a recursive query stops at a fixed count). Only entities that exist are ancestors.
+    """
+    once = entities.select("entity_id", "parent_id").distinct()
+    up = once.join(once.select(F.col("entity_id").alias("parent_id")).distinct(), "parent_id").select(F.col("entity_id").alias("at"), F.col("parent_id").alias("above"))
+    up = written(up, "lineage-steps")
+    level = start.select(F.col("entity_id").alias("start_id"), F.col("entity_id")).distinct()
+    out = up.select(F.col("at").alias("start_id"), F.col("at").alias("entity_id"), F.lit(0).alias("depth")).limit(0)
+    for depth in range(1, MAX_DEPTH + 1):
+        level = written(level.join(up, level["entity_id"] == up["at"]).select("start_id", F.col("above").alias("entity_id")), "lineage-level")
+        if not level.head(1):
+            break
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
+    return out
 
 
 def children(entities: DataFrame) -> DataFrame:
@@ -104,9 +110,7 @@ def expand(edges: DataFrame, seeds: DataFrame, per_seed: int = 8, most: int = 8)
     Per seed the newest edges, one row per edge (its first seed), then the overall limit.
     """
     narrow = edges.select("edge_id", "source_id", "target_id", "rel_type", "created_at")
-    touch = narrow.join(F.broadcast(seeds), F.col("source_id") == F.col("entity_id")).unionByName(
-        narrow.join(F.broadcast(seeds), F.col("target_id") == F.col("entity_id"))
-    )
+    touch = narrow.join(seeds, F.col("source_id") == F.col("entity_id")).unionByName(narrow.join(seeds, F.col("target_id") == F.col("entity_id")))
     newest = Window.partitionBy("entity_id").orderBy(F.desc("created_at"), "edge_id")
     kept = touch.dropDuplicates(["entity_id", "edge_id"]).withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= per_seed)
     once = kept.groupBy("edge_id", "source_id", "target_id", "rel_type").agg(F.min(F.struct("pos", "r")).alias("at"))

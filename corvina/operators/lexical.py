@@ -1,25 +1,36 @@
-"""Lexical retrieval: postings, fuzzy matching against the vocabulary and BM25."""
+"""Lexical retrieval: an occurrence index, fuzzy matching against the vocabulary and BM25."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvina.functions.text import query_tokens, similarity, sparse_tokens
+from corvina.functions.text import STOP_WORDS, query_tokens, similarity, tokens
+from corvina.scratch import written
 
 K1, B, FUZZY = 1.2, 0.75, 0.72
-#: Queries of one batch whose tokens are broadcast; a larger batch joins by shuffle.
-MAX_BROADCAST_TOKENS = 10_000
+#: Distinct query tokens that are compared with the vocabulary at once: it bounds the broadcast side.
+TERM_BLOCK = 5_000
+
+
+@dataclass(frozen=True)
+class Index:
+    """Token occurrences of a corpus (chunk_id, chunk_index, pos, token; no stop words) and its number of chunks."""
+
+    occurrences: DataFrame
+    chunks: int
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, token, tf, first position."""
-    exploded = chunks.select("chunk_id", F.posexplode(sparse_tokens(F.col("content"))).alias("pos", "token"))
-    return exploded.groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
+def occurrences(chunks: DataFrame) -> DataFrame:
+    """One row per token that is no stop word: one pass over the texts and no shuffle."""
+    return chunks.select("chunk_id", "chunk_index", F.posexplode(tokens(F.col("content"))).alias("pos", "token")).filter(~F.col("token").isin(STOP_WORDS))
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", "chunk_index", F.size(sparse_tokens(F.col("content"))).alias("len"))
+def index(chunks: DataFrame) -> Index:
+    """The written index of chunks(chunk_id, chunk_index, content): any number of queries reads it instead of texts."""
+    return Index(written(occurrences(chunks), "occurrences"), chunks.count())
 
 
 def first_chunks(chunks: DataFrame, most: int | None) -> DataFrame:
@@ -32,34 +43,44 @@ def explode_queries(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(query_tokens(F.col("query"))).alias("q"))
 
 
-def matches(post: DataFrame, query_terms: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Best match of every query token in every chunk: qid, q, chunk_id, token, tf, sim.
+def near_tokens(vocabulary: DataFrame, terms: DataFrame, fuzzy: bool = True, block: int = TERM_BLOCK) -> DataFrame:
+    """token, q, sim of all pairs of a vocabulary token and a query token that match.
 
-    Similarities are evaluated between distinct query tokens and the distinct vocabulary only, then the
-    matched tokens join the postings: the theta join never sees a posting.
+    The theta join sees distinct tokens only, query tokens in blocks of a counted size.
     """
-    terms = query_terms.select("q").distinct()
     if not fuzzy:
-        hit = post.join(F.broadcast(terms), post["token"] == terms["q"]).withColumn("sim", F.lit(1.0))
-    else:
-        vocabulary = post.select("token").distinct()
-        few = terms.limit(MAX_BROADCAST_TOKENS + 1).count() <= MAX_BROADCAST_TOKENS
-        near = vocabulary.join(terms.hint("broadcast" if few else "shuffle_replicate_nl"), similarity(F.col("q"), F.col("token")) >= FUZZY)
-        hit = post.join(near.withColumn("sim", similarity(F.col("q"), F.col("token"))), "token")
-    best = hit.groupBy("q", "chunk_id").agg(
+        return vocabulary.join(terms, vocabulary["token"] == terms["q"]).withColumn("sim", F.lit(1.0))
+    blocks = max(1, -(-terms.count() // block))
+    place, out = F.pmod(F.xxhash64("q"), F.lit(blocks)), None
+    for k in range(blocks):
+        some = F.broadcast(terms if blocks == 1 else terms.filter(place == k))
+        near = vocabulary.join(some, similarity(F.col("q"), F.col("token")) >= FUZZY).withColumn("sim", similarity(F.col("q"), F.col("token")))
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+def matches(occurrences: DataFrame, query_terms: DataFrame, fuzzy: bool = True, block: int = TERM_BLOCK) -> DataFrame:
+    """Best match of every query token in every chunk: qid, q, chunk_id, chunk_index, token, tf, sim.
+
+    Only occurrences of matched tokens are grouped.
+    """
+    near = near_tokens(occurrences.select("token").distinct(), query_terms.select("q").distinct(), fuzzy, block)
+    hit = occurrences.join(near, "token").groupBy("q", "chunk_id", "chunk_index", "token", "sim").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
+    best = hit.groupBy("q", "chunk_id", "chunk_index").agg(
         F.max_by(F.struct("token", "tf", "sim"), F.struct("sim", F.when(F.col("sim") == 1, 0).otherwise(F.col("tf")), -F.col("pos"))).alias("m")
     )
-    return best.join(query_terms, "q").select("qid", "q", "chunk_id", "m.token", "m.tf", "m.sim")
+    return best.join(query_terms, "q").select("qid", "q", "chunk_id", "chunk_index", "m.token", "m.tf", "m.sim")
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """qid, chunk_id, chunk_index, score, overlap, terms for every chunk with a match."""
-    found = matches(postings(chunks), explode_queries(queries), fuzzy)
-    size = lengths(chunks)
-    stats = size.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.avg("len")).alias("avg_len"))  # one row
+def bm25(corpus: DataFrame | Index, queries: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """qid, chunk_id, chunk_index, score, overlap, terms for every chunk with a match; corpus: chunks, or their index."""
+    corpus = corpus if isinstance(corpus, Index) else index(corpus)
+    found = matches(corpus.occurrences, explode_queries(queries), fuzzy)
+    size = corpus.occurrences.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("len"))
+    average = corpus.occurrences.agg(F.greatest(F.lit(1.0), F.count(F.lit(1)) / max(1, corpus.chunks)).alias("avg_len"))  # one row
     df = found.groupBy("qid", "q").agg(F.count(F.lit(1)).alias("df"))
-    scored = found.join(df, ["qid", "q"]).join(size, "chunk_id").join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    scored = found.join(df, ["qid", "q"]).join(size, "chunk_id").join(F.broadcast(average))
+    idf = F.log(1 + (corpus.chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
     term = F.when(F.col("token") == F.col("q"), F.col("q")).otherwise(F.concat_ws("~", "q", "token"))
     return (
@@ -77,10 +98,9 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 5, fuzzy: bool = True, most_chunks: int | None = None) -> DataFrame:
-    """Top k chunks per query; text joins late, after the ranking."""
-    corpus = first_chunks(chunks, most_chunks)
-    ranked = top(bm25(corpus, queries, fuzzy), max(1, min(k, 50)))
+def search(chunks: DataFrame, queries: DataFrame, k: int = 5, fuzzy: bool = True, most_chunks: int | None = None, corpus: Index | None = None) -> DataFrame:
+    """Top k chunks per query; text joins late, after the ranking. corpus: the index of the chunks, if there is one."""
+    ranked = top(bm25(corpus or first_chunks(chunks, most_chunks), queries, fuzzy), max(1, min(k, 50)))
     return ranked.join(chunks.select("chunk_id", "document_id", "content"), "chunk_id")
 
 

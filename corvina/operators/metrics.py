@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvina.functions.text import js_round
+from corvina.functions.text import js_round, tokens
 
 #: Failure category by message keywords, in order of precedence, and whether a retry can help.
 FAILURES = [
@@ -173,3 +173,21 @@ def citation_f1(rows: DataFrame) -> DataFrame:
     p = F.when(F.size("got") > 0, hit / F.size("got")).otherwise(0.0)
     r = F.when(F.size("want") > 0, hit / F.size("want")).otherwise(0.0)
     return rows.select("id", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+
+def passage_hits(passages: DataFrame, texts: DataFrame, block: int = 1000) -> DataFrame:
+    """passages(id, passage), texts(text), both in lower case: id, and whether any text holds the whole passage.
+
+    Passages and texts meet on the passage's longest inner token, which any text that holds it has too. Passages
+    of fewer than three tokens have no inner one; they are compared in blocks of a counted size.
+    """
+    inner = lambda c: F.slice(tokens(c), 2, F.greatest(F.size(tokens(c)) - 2, F.lit(0)))
+    keyed = passages.withColumn("k", F.array_max(F.transform(inner(F.col("passage")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    by_token = texts.select("text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("k"))
+    hit = by_token.join(keyed.filter("k is not null"), "k").filter(F.col("text").contains(F.col("passage"))).select("id")
+    short = keyed.filter("k is null").select("id", "passage")
+    blocks = -(-short.count() // block)
+    for n in range(blocks):
+        some = short.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n)
+        hit = hit.unionByName(texts.join(F.broadcast(some), F.col("text").contains(F.col("passage"))).select("id"))
+    return passages.join(hit.distinct().withColumn("hit", F.lit(True)), "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("hit"))

@@ -7,7 +7,6 @@ relational. Optical character recognition and markdown conversion are seams that
 from __future__ import annotations
 
 import base64
-import html
 import io
 import re
 import zipfile
@@ -19,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvina.functions.text import MARKDOWN_TABLE
+
 Docs = list[tuple[str, str]]  # (external id suffix, content)
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -149,13 +150,26 @@ def parse_html(raw: bytes) -> Docs:
     text = raw.decode("utf-8", "replace")
     for tag in ("script", "style", "noscript"):
         text = re.sub(rf"(?is)<{tag}\b.*?</{tag}>", " ", text)
-    text = normalize(html.unescape(re.sub(r"<[^>]+>", " ", text)))
+    text = normalize(decode_entities(re.sub(r"<[^>]+>", " ", text)))
     return [("text", text)] if text else []
 
 
+def decode_entities(text: str) -> str:
+    """The five named entities and numeric references, as :func:`corvina.functions.text.decode_entities` does."""
+    text = re.sub(r"(?s)<!\[CDATA\[(.*?)\]\]>", r"\1", text)
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = text.replace(f"&{name};", char)
+
+    def char(m: re.Match) -> str:
+        n = int(m[1][1:], 16) if m[1][0] in "xX" else int(m[1])
+        return chr(n) if 0 < n < 0xD800 or 0xDFFF < n <= 0x10FFFF else "\ufffd"
+
+    return re.sub(r"&#([0-9]{1,9}|[xX][0-9a-fA-F]{1,8});|&#(?:[0-9]+|[xX][0-9a-fA-F]+);", lambda m: char(m) if m[1] else "\ufffd", text)
+
+
 def markdown_tables(text: str) -> list[str]:
     """Blocks of at least two consecutive table lines."""
-    return [t for t in (normalize(m[0]) for m in re.finditer(r"(?:^\|.*\|[^\S\n]*$\n?){2,}", text, re.M)) if t][:100]
+    return [t for t in (normalize(m[0]) for m in re.finditer(MARKDOWN_TABLE, text)) if t][:100]
 
 
 def parse_text(raw: bytes) -> Docs:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from corvina.operators import citations, fusion, lexical
 from corvina.plans import search
@@ -13,19 +14,19 @@ def ask(spark, *queries):
 
 
 def test_rare_term_wins(spark):
-    c = chunks(spark, ["common policy", "common policy", "common policy", "common reference material", "ultrarare compliance exception"])
-    top = lexical.search(c, ask(spark, "common ultrarare"), 1).collect()
-    assert [(r.chunk_id, r.terms) for r in top] == [("c4", ["ultrarare"])]
+    c = chunks(spark, ["harbour notes", "harbour notes", "harbour plan", "harbour ledger of boats", "quayside lanternfish survey"])
+    top = lexical.search(c, ask(spark, "harbour lanternfish"), 1).collect()
+    assert [(r.chunk_id, r.terms) for r in top] == [("c4", ["lanternfish"])]
 
 
 def test_typo(spark):
-    top = lexical.search(chunks(spark, ["billing guardrails are documented here"]), ask(spark, "guadrails"), 1).first()
-    assert top.terms == ["guadrails~guardrails"]
+    top = lexical.search(chunks(spark, ["the mooring schedule of the ferries"]), ask(spark, "schedlue mooring"), 1).first()
+    assert top.terms == ["mooring", "schedlue~schedule"]
 
 
 def test_decompose_finds_both_topics(spark):
-    c = chunks(spark, ["billing guardrails", "retention windows"])
-    q = ask(spark, "Which docs discuss billing guardrails and retention windows?")
+    c = chunks(spark, ["tidal gauges", "pilot rosters"])
+    q = ask(spark, "Which docs mention tidal gauges and pilot rosters?")
     assert search.variants(q).count() >= 3
     assert {r.chunk_id for r in search.lexical_plan(c, q, 2).collect()} == {"c0", "c1"}
 
@@ -37,12 +38,35 @@ def test_mmr_prefers_the_different_text(spark):
 
 
 def test_cited_answer_and_refusal(spark):
-    c = chunks(spark, ["Intro words. The refund window is thirty days. Other text.", "Nothing to see."])
-    got = {r.qid: r for r in search.cited_search(c, ask(spark, "refund window", "zzzqqq")).collect()}
-    assert got[1].answer == "The refund window is thirty days. [1]" and got[1].status == "supported"
+    c = chunks(spark, ["Some opening words. The ferry to Lervik sails at dawn. More follows.", "An empty page."])
+    got = {r.qid: r for r in search.cited_search(c, ask(spark, "ferry Lervik", "zzzqqq")).collect()}
+    assert got[1].answer == "The ferry to Lervik sails at dawn. [1]" and got[1].status == "supported"
     assert got[2].answer.startswith("I cannot answer") and got[2].confidence == "none"
 
 
+def test_texts_and_vectors_without_direction(spark):
+    from corvina.operators import vector
+
+    c = chunks(spark, ["", "of a", "tidal gauges"])
+    asked = ask(spark, "gauges", "?").withColumn("mode", F.lit("semantic"))
+    assert {r.chunk_id for r in search.route(c, asked, 3).filter("qid = 1").collect()} == {"c2"}
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, None), (5, [1.0]), (6, [2.0, 2.0])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    q = spark.createDataFrame([(1, [3.0, 0.0]), (2, [0.0, 0.0]), (3, [float("inf"), 0.0])], "qid long, query_vector array<double>")
+    got = [(r.qid, r.id, r.rank) for r in vector.top_k(v, q, 5).orderBy("rank").collect()]
+    assert got == [(1, 1, 1), (1, 6, 2)]
+
+
+def test_query_batches_of_any_size(spark, monkeypatch):
+    from corvina.operators import vector
+
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(vector.query_blocks, "__defaults__", (2,))
+    v = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(9)], "id long, vector array<double>")
+    q = v.select(F.col("id").alias("qid"), F.col("vector").alias("query_vector"))
+    assert {(r.qid, r.id) for r in vector.top_k(v, q, 1).collect()} == {(k, k) for k in range(9)}
+
+
 def test_rrf_scores(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "qid long, chunk_id string, rank int")
     b = spark.createDataFrame([(1, "y", 1)], "qid long, chunk_id string, rank int")
@@ -58,8 +82,8 @@ def test_clamped_pages(spark):
     assert (r.a, r.b) == (1, 1)
 
 
-def test_all_query_tokens_match_in_a_large_batch(spark, monkeypatch):
-    monkeypatch.setattr(lexical, "MAX_BROADCAST_TOKENS", 2)
-    words = ["billing", "guardrails", "retention", "windows", "refunds", "evidence"]
-    got = lexical.bm25(chunks(spark, words), ask(spark, *words)).collect()
+def test_all_query_tokens_match_in_a_large_batch(spark):
+    words = ["harbours", "moorings", "lanterns", "ferries", "rosters", "gauges"]
+    occurrences = lexical.occurrences(chunks(spark, words))
+    got = lexical.matches(occurrences, lexical.explode_queries(ask(spark, *words)), block=2).collect()
     assert {(r.qid, r.chunk_id) for r in got} >= {(i + 1, f"c{i}") for i in range(6)}
