@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm.common import bounded_batches, texts_of
-from corvina.llm.units import PLAIN
+from corvina.llm.units import PLAIN, make_room
 
 #: Bytes of a piece above which rows are keyed by position; pieces, and bytes of long pieces, of one query; ids of a
 #: span; units and pieces remembered per worker; characters of the texts that one round of queries serves.
@@ -200,12 +200,11 @@ class Codec:
     def _units(self, table: Table, units: set[str], lead: str) -> None:
         regular = [u for u in units if u and not u[0].isspace() and not u[-1].isspace()]
         new = [u for u in regular if u not in table]
-        if len(table) + len(new) > MAX_UNITS:  # what these texts use stays: mostly the frequent units
-            _keep(table, regular)
+        if make_room(table, len(new), MAX_UNITS):
+            new = [u for u in regular if u not in table]
         cuts = [self._cut(u, lead) for u in new]
         needed = {p for c in cuts for p in c}
-        if len(self.pieces) + len(needed) > MAX_PIECES:
-            _keep(self.pieces, needed)
+        make_room(self.pieces, len(needed), MAX_PIECES)
         self._learn(needed)
         ids = self.pieces
         for u, c in zip(new, cuts):
@@ -233,13 +232,6 @@ class Codec:
         return out
 
 
-def _keep(table: Table, keys) -> None:
-    """Forget all but these keys."""
-    kept = {u: table[u] for u in keys if u in table}
-    table.clear()
-    table.update(kept)
-
-
 _WORKER: dict[int, Codec] = {}
 
 

@@ -1,17 +1,19 @@
-"""What the operators share: table loading, the shared scratch folder and Arrow helpers."""
+"""What the operators share: table loading, written tables and Arrow helpers."""
 
 from __future__ import annotations
 
 import contextlib
 import gc
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from corvina.scratch import drop_written, scratch, written
 from corvina.session import share_code
 
+__all__ = ["bounded_batches", "drop_written", "fresh_name", "load", "release", "scratch", "shuffled_joins", "texts_of", "written"]
+
 #: Rows of an Arrow batch sent to Python; texts can be long, so batches stay small.
 BATCH_ROWS = 512
 
@@ -26,41 +28,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir; where that is unset, as in tests, a folder of the
-    working directory's file system is set, once for the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file:///tmp/corvina-scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd", one_group: bool = False) -> DataFrame:
-    """Write to the shared scratch folder and read back: lineage is cut, lost executors cost nothing.
-
-    one_group: a file is one row group of at most 1 GiB, so that no reader splits it.
-    """
-    path = scratch(df.sparkSession, name)
-    writer = df.write.option("compression", codec)
-    (writer.option("parquet.block.size", 1 << 30) if one_group else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(*frames: DataFrame | None) -> None:
-    """Delete the files behind frames made by :func:`written` (or by selections from one) once nothing reads them any more."""
-    for df in frames:
-        if df is None:
-            continue
-        jvm = df.sparkSession._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files and broadcasts of finished jobs now: it does when the driver has collected its garbage."""
     gc.collect()

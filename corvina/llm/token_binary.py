@@ -33,8 +33,8 @@ END = 2
 MAX_BITS = 16
 #: Ids of a block (a longer document makes a longer block), and ids between marks.
 BLOCK, STEP = 1 << 18, 256
-#: Characters of text that a part aims at.
-PART_CHARS = 24_000_000
+#: Bytes of text that a part aims at.
+PART_BYTES = 24_000_000
 RAW = "part int, block int, first long, doc_ids array<long>, counts array<long>, ids binary"
 BLOCKS = "part int, block int, first long, doc_ids array<long>, counts array<long>, n_ids long, marks array<long>, payload binary"
 OUT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -175,9 +175,9 @@ def global_counts(raw: DataFrame) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer_file: str, end: int = END) -> None:
     """Tokenise, count, code and write."""
     spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     with open(tokenizer_file, encoding="utf-8") as f:
-        raw = written(raw_blocks(docs, f.read(), end, max(1, -(-chars // PART_CHARS))), "token-ids", one_group=True)
+        raw = written(raw_blocks(docs, f.read(), end, max(1, -(-size // PART_BYTES))), "token-ids", one_group=True)
     lengths = limited_lengths(global_counts(raw))
     codes = canonical_codes(lengths)
     book = [(int(s), int(lengths[s])) for s in np.flatnonzero(lengths)]
@@ -194,7 +194,6 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end: int = END) -> No
                 new = [pa.array([len(ids)], pa.int64()), pa.array([marks], pa.list_(pa.int64())), pa.array([payload], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row.columns[:5] + new, ["part", "block", "first", "doc_ids", "counts", "n_ids", "marks", "payload"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row is a whole block
     # A raw file is one part and one row group, so one task codes it and writes the one file of its folder.
     named = raw.mapInArrow(run, BLOCKS).withColumn("part", F.lpad(F.col("part").cast("string"), 7, "0"))
     named.sortWithinPartitions("part", "block").write.partitionBy("part").option("compression", "none").parquet(f"{path}/blocks")
@@ -229,7 +228,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     return blocks.mapInArrow(run, OUT)
 
 

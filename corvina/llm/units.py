@@ -11,6 +11,7 @@ than 65,536 ids).
 from __future__ import annotations
 
 import array
+import itertools
 import os
 import re
 
@@ -19,11 +20,21 @@ import numpy as np
 from corvina.llm.token_counts import byte_symbols
 
 #: Units remembered per worker.
-MAX_UNITS = 350_000
+MAX_UNITS = 900_000
 #: Letters that every Unicode version has, then ASCII marks: two pieces of the pre-tokenizer at most.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?#*$%&|]*)")
 
 
+def make_room(table: dict, more: int, most: int) -> bool:
+    """Forget the later half of a full table: what came first is mostly what comes often."""
+    if len(table) + more <= most:
+        return False
+    kept = dict(itertools.islice(table.items(), most // 2))
+    table.clear()
+    table.update(kept)
+    return True
+
+
 def _irregular(unit: str) -> bool:
     return not unit or unit[0].isspace() or unit[-1].isspace()
 
@@ -54,9 +65,8 @@ class Units:
 
     def _learn(self, table: dict[str, bytes], units: set[str], lead: str) -> None:
         new = [u for u in units if u not in table and not _irregular(u)]
-        if len(table) + len(new) > MAX_UNITS:
-            table.clear()
-            new = [u for u in units if not _irregular(u)]
+        if make_room(table, len(new), MAX_UNITS):
+            new = [u for u in units if u not in table and not _irregular(u)]
         others = []
         for u in new:
             m = PLAIN.fullmatch(u)

@@ -86,12 +86,31 @@ def test_counts_match_the_library(docs):
 
 def test_chunk_maps_compose():
     import json
+    import random
 
+    from corvina.llm import token_counts
     from corvina.llm.token_counts import Counter
 
     c = Counter(json.load(open(P.path("word_bpe_49k.json"))))
-    for t in filter(None, TEXTS):
-        assert {c.count(t, n) for n in (1, 2, 3, 7, 10_000)} == {c.count(t)}
+    rng = random.Random(2)
+    texts = [*filter(None, TEXTS), "".join(rng.choice("etaoinshrdlu") for _ in range(5000)), "日本語" * 300]
+    ids = expected("word_bpe_49k.json")
+    for t in texts:
+        assert {c.count(t, n) for n in (1, 2, 3, 7, 100, token_counts.CHUNK, 10_000)} == {len(ids(t))}
+
+
+def test_chunk_maps_are_associative():
+    import json
+
+    from corvina.llm.token_counts import Counter
+
+    t = Counter(json.load(open(P.path("word_bpe_49k.json")))).transducer
+    symbols = [t.symbols[b] for b in b"internationalisationalists"]
+    a, b, c = (t.chunk(symbols[k : k + 9], {0}) for k in (0, 9, 18))
+    left, right = t.compose(t.compose(a, b), c), t.compose(a, t.compose(b, c))
+    assert left.table == right.table == {0: t.run(0, symbols)}
+    whole = t.chunk(symbols + ["s" + t.suffix], {0})
+    assert whole.table[0][0] == 0  # the end of a word leads back to the start
 
 
 def test_token_file_round_trip(docs):
