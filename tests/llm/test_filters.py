@@ -114,8 +114,9 @@ def test_pii(spark):
     assert sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
     assert re.fullmatch(r'token = "[0-9a-f]{40}" host 10\.\d+\.\d+\.\d+\.', got[2])
     names = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mr (\w+) (\w+)\. Mrs (\w+) left\. Госпожа (\w+) (\w+)", got[3])
-    assert names and names[2] == names[4] == names[5] != "Stone" and names[1] in pii.GIVEN["latin"]["f"] and names[3] in pii.GIVEN["latin"]["m"]
-    assert names[6] in pii.GIVEN["cyrillic"]["f"]
+    ends = lambda word, script, gender: word.endswith(tuple(pii.GIVEN_ENDINGS[script][gender]))
+    assert names and names[2] == names[4] == names[5] != "Stone" and ends(names[1], "latin", "f") and ends(names[3], "latin", "m")
+    assert ends(names[6], "cyrillic", "f") and names[7].endswith("ова")
     assert (got[4], got[5], got[6]) == (None, "", rows[5][1])
     other = {r.doc_id: r.text for r in pii.replace(df, "another key").collect()}
     assert other[2] != got[2]
@@ -126,12 +127,12 @@ def test_pii_collisions_are_resolved(spark, monkeypatch):
 
     whole = pii._surrogate
     # A surrogate space of one address per attempt: all but one entity must move on.
-    monkeypatch.setattr(pii, "_surrogate", lambda kind, canon, attempt, key: f"concat('10.0.0.', {attempt})")
-    ents = spark.createDataFrame([("ip", f"9.9.9.{k}") for k in range(4)], "kind string, canon string")
-    moved = {r.canon: r.attempt for r in pii.exceptions(ents, "k").collect()}
+    monkeypatch.setattr(pii, "_surrogate", lambda kind, canon, attempt, form, key: f"concat('10.0.0.', {attempt})")
+    ents = spark.createDataFrame([("ip", f"9.9.9.{k}", "", False) for k in range(4)], "kind string, canon string, form string, several boolean")
+    moved = {r.canon: r.attempt for r in pii.exceptions(ents, key_of(spark)).collect()}
     assert sorted(moved.values()) == [1, 2, 3]
     monkeypatch.setattr(pii, "_surrogate", whole)
-    assert pii.exceptions(ents, "k") is None
+    assert pii.exceptions(ents, key_of(spark)) is None
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></ul></nav>
@@ -258,6 +259,19 @@ def test_pii_leaves_no_match_in_clear(spark):
     assert re.fullmatch(r"\S+@\w+\.example", got[11])
 
 
+def key_of(spark, key="k"):
+    from corvina.llm import pii
+
+    return pii._key(spark.range(1), key)
+
+
+def surrogates(spark, ents, moved):
+    from corvina.llm import pii
+
+    made = ents.join(moved.select("kind", "canon", "attempt"), ["kind", "canon"], "left").selectExpr("kind", "canon", "form", "coalesce(attempt, 0) as attempt")
+    return made.withColumn("k", key_of(spark)).selectExpr("kind", "canon", f"{pii._surrogate('kind', 'canon', 'attempt', 'form', 'k')} as made").collect()
+
+
 def test_pii_checks_the_telephone_digits_that_are_written(spark, monkeypatch):
     from corvina.llm import pii
 
@@ -265,27 +279,89 @@ def test_pii_checks_the_telephone_digits_that_are_written(spark, monkeypatch):
     whole = pii._spread
     monkeypatch.setattr(pii, "_spread", lambda text, hexes, other="c": f"if(attempt = 0, concat(repeat('5', length({text}) - 1), substr({text}, -1, 1)), {whole(text, hexes, other)})")
     ents = spark.createDataFrame([(f"+{c} (017) 555-7{k}3",) for c in (1, 49) for k in range(10, 40)] + [("+1 (555) 555-5553",)], "m string")
-    ents = ents.selectExpr(f"explode({pii._entities('m')}) as e").select("e.kind", "e.canon").distinct()
-    moved = pii.exceptions(ents, "k")
-    made = ents.join(moved, ["kind", "canon"], "left").selectExpr("kind", "canon", "coalesce(attempt, 0) as attempt")
-    rows = made.selectExpr("canon", f"{pii._surrogate('kind', 'canon', 'attempt', 'k')} as made").collect()
+    ents = pii.settled(ents.selectExpr(f"explode({pii._entities('m')}) as e").selectExpr("e.*", "1 as n"))
+    rows = surrogates(spark, ents, pii.exceptions(ents, key_of(spark)))
     assert len(rows) == 61 == len({r.made for r in rows}) and "15555555553" not in {r.made for r in rows}
     assert all(r.made.startswith(r.canon[1:].split(" ")[0]) for r in rows)
     written = spark.createDataFrame([("+49 (017) 555-7713",)], "m string").selectExpr(pii._shape("m", "'phone'", "'491234567890'") + " as t").first().t
     assert written == "+49 (123) 456-7890"
 
 
-def test_pii_names_stay_distinct_beyond_the_lists(spark, monkeypatch):
+def test_pii_names_stay_distinct(spark, monkeypatch):
     from corvina.llm import pii
 
-    kinds = ["given-f-latin", "given-n-cyrillic", "given-m-latin", "surname-latin"]
-    rows = [(k, f"name{i}") for k in kinds for i in range(60)] + [("given-f-latin", n.lower()) for n in pii.GIVEN["latin"]["f"]]
-    ents = spark.createDataFrame(rows, "kind string, canon string")
-    made = ents.join(pii.exceptions(ents, "k"), ["kind", "canon"], "left").selectExpr("kind", "canon", "coalesce(attempt, 0) as attempt")
-    got = made.selectExpr("kind", "canon", f"{pii._surrogate('kind', 'canon', 'attempt', 'k')} as made").collect()
+    monkeypatch.setattr(pii, "SYLLABLES", {**pii.SYLLABLES, "latin": ["ba", "be"], "han": ["安", "白"]})
+    rows = [(k, f"name{i}", f, False) for k, f in (("given-latin", "f"), ("given-cyrillic", "n"), ("surname-latin", ""), ("surname-han", "")) for i in range(80)]
+    rows += [("given-latin", "babeba" + e, "f", False) for e in ("a", "ia", "ella", "ine")]
+    ents = spark.createDataFrame(rows, "kind string, canon string, form string, several boolean")
+    got = surrogates(spark, ents, pii.exceptions(ents, key_of(spark)))
     assert len({(r.kind, r.made) for r in got}) == len(rows)
-    assert not {(r.kind, r.made.lower()) for r in got} & set(rows)
-    monkeypatch.setattr(pii, "_surrogate", lambda kind, canon, attempt, key: "'10.0.0.1'")
+    assert not {(r.kind, r.made.lower()) for r in got} & {r[:2] for r in rows}
+    monkeypatch.setattr(pii, "_surrogate", lambda kind, canon, attempt, form, key: "'10.0.0.1'")
     monkeypatch.setattr(pii, "STALLED", 2)
     with pytest.raises(RuntimeError):
-        pii.exceptions(spark.createDataFrame([("ip", "9.9.9.1"), ("ip", "9.9.9.2")], "kind string, canon string"), "k")
+        pii.exceptions(spark.createDataFrame([("ip", "9.9.9.1", "", False), ("ip", "9.9.9.2", "", False)], "kind string, canon string, form string, several boolean"), key_of(spark))
+
+
+def test_pii_coreference_of_persons(spark):
+    from corvina.llm import pii
+
+    rows = [
+        "Mrs Ada Stone came. Later Ada Stone left; Stone's hat stayed, and ada did not.", "Dr Ada Stone wrote to Mr Robin Vale.", "Ms Robin Vale, Ms Robin Dale and Mr Karl Ada.",
+        "Ada Stone is not named by a title here.", "Κυρία Μαρία Παππά και Κύριος Νίκος Παππάς", "Г-н", "г-н Пётр Иванов и г-жа Анна Иванова", "السيد أحمد هنا", "מר כהן אמר", "श्री राम आए", "王小明先生。",
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    got = [r.text for r in pii.replace(df, "k").orderBy("doc_id").collect()]
+    first = re.fullmatch(r"Mrs (\w+) (\w+) came\. Later (\w+) (\w+) left; (\w+)'s hat stayed, and ada did not\.", got[0])
+    given, surname = first[1], first[2]
+    assert (first[3], first[4], first[5]) == (given, surname, surname) and given.endswith(tuple(pii.GIVEN_ENDINGS["latin"]["f"]))
+    second = re.fullmatch(r"Dr (\w+) (\w+) wrote to Mr (\w+) (\w+)\.", got[1])
+    third = re.fullmatch(r"Ms (\w+) (\w+), Ms (\w+) (\w+) and Mr (\w+) (\w+)\.", got[2])
+    assert second[1] == given and second[2] == surname  # whatever the title
+    assert second[3] == third[1] == third[3] and second[3].endswith(tuple(pii.GIVEN_ENDINGS["latin"]["f"])) and second[4] == third[2] != third[4]
+    assert got[3] == rows[3]
+    for k, script in ((4, "Greek"), (7, "Arabic"), (8, "Hebrew"), (9, "Devanagari"), (10, "Han")):
+        assert got[k] != rows[k]
+    import regex
+
+    assert regex.fullmatch(r"Κυρία \p{Greek}+ \p{Greek}+ και Κύριος \p{Greek}+ \p{Greek}+", got[4]) and "Παππ" not in got[4]
+    greek = got[4].split(" ")
+    assert greek[2].endswith("η") and greek[6].endswith("ης")
+    russian = regex.fullmatch(r"г-н (\p{Cyrillic}+) (\p{Cyrillic}+) и г-жа (\p{Cyrillic}+) (\p{Cyrillic}+)", got[6])
+    assert russian and russian[2].endswith("ов") and russian[4].endswith("ова") and got[5] == rows[5]
+    assert got[7].startswith("السيد ") and got[7].endswith(" هنا") and got[8].endswith(" אמר") and got[10].endswith("先生。")
+
+
+def test_pii_numbers_of_many_countries(spark):
+    from corvina.llm import pii
+
+    rows = ["+44 20 7946 0958 and +33 1 42 68 53 00.", "2001:db8::8a2e:370:7334 at 12:30:45", "GB82 WEST 1234 5698 7654 32, not GB82 WEST 1234 5698 7654 33", "078-05-1120", "AB12 is no account", "fe80::1 std::a"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    got = [r.text for r in pii.replace(df, "k").orderBy("doc_id").collect()]
+    assert re.fullmatch(r"\+44 \d\d \d{4} \d{4} and \+33 \d \d\d \d\d \d\d \d\d\.", got[0]) and "7946" not in got[0] and "42 68" not in got[0]
+    assert re.fullmatch(r"fd[0-9a-f]{2}(:[0-9a-f]{4}){7} at 12:30:45", got[1])
+    iban = re.fullmatch(r"(GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d), not GB82 WEST 1234 5698 7654 33", got[2])
+    packed = iban[1].replace(" ", "")
+    assert packed != "GB82WEST12345698765432" and int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1
+    assert re.fullmatch(r"9\d\d-\d\d-\d{4}", got[3]) and got[4] == rows[4]
+    assert re.fullmatch(r"fd[0-9a-f]{2}(:[0-9a-f]{4}){7} std::a", got[5])
+
+
+def test_pii_keys_columns_and_plans(spark):
+    from corvina.llm import pii
+
+    long = "word " * 40_000 + "write to bo.1@mail.example.com" + " and on" * 40_000
+    rows = [(1, "mail a.b@c.example", "x", "y", 5)] * 2 + [(2, None, "x", "y", 5), (3, long, None, None, 6), (4, "\ufdd0 Mr Ada Stone \ufdd0 a.b@c.example", "", "", 0)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, text_hash string, attempts string, cut int")
+    out = pii.replace(df, "open-sesame")
+    got = out.orderBy("doc_id").collect()
+    assert out.columns == df.columns and [tuple(r)[2:] for r in got] == [r[2:] for r in sorted(rows, key=lambda r: r[0])]
+    assert got[0].text == got[1].text != rows[0][1] and got[2].text is None and "bo.1@" not in got[3].text and len(got[3].text) > 400_000
+    mail = got[0].text.split(" ")[1]
+    assert re.fullmatch(r"\ufdd0 Mr \w+ \w+ \ufdd0 " + re.escape(mail), got[4].text) and "Stone" not in got[4].text
+    assert "open-sesame" not in out._jdf.queryExecution().toString()
+    assert pii.replace(df, "other").orderBy("doc_id").first().text != got[0].text
+    spark.conf.set(pii.KEY_SETTING, "open-sesame")
+    assert pii.replace(df).orderBy("doc_id").first().text == got[0].text
+    spark.conf.unset(pii.KEY_SETTING)
+    assert pii.replace(df.limit(0), "k").count() == 0
