@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corvina.llm import ngram_join, packing, pii, quality, toxicity
-from corvina.llm.common import load, written
+from corvina.llm.common import drop_written, load, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written before the next reads them."""
+    """All stages over ``documents``; each stage's rows are written before the next reads them, and deleted once it has.
+
+    Null and empty texts fail the quality rules; repeated rows and ids, ties, empty tables and columns of any name
+    are handled by each stage as its operator's docstring states. The last stage's input stays for its lazy result.
+    """
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        new = written(stage(spark, docs, sf_dir), name)
+        if k:
+            drop_written(docs)
+        docs = new
     return STAGES[-1][1](spark, docs, sf_dir)
