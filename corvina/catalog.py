@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions import text as T
 from corvina.model import Tables
-from corvina.operators import chunking, citations, entities, fusion, lexical, metrics, vector
+from corvina.operators import chunking, citations, control, entities, fusion, lexical, metrics, vector
 from corvina.plans import search, structured
 from corvina.scratch import scratch
 from corvina.sources import parsers, records
@@ -813,6 +813,139 @@ def _(t):
     return structured.structured_answers(asked, structured.structured_search(asked, known))
 
 
+# Control surface ----------------------------------------------------------------------------------
+
+
+@query("bulk_action_dry_run", f"with {FILES_SQL} select doc_id as file_id, domain from files where domain = 'src3' and status = 'failed'")
+def _(t):
+    files = t.files().withColumnRenamed("doc_id", "file_id")
+    return control.affected(files, "src3", "requeue_failed").select("file_id", "domain")
+
+
+@query("bulk_action_requeue", f"""with {FILES_SQL} select case when domain = 'src3' and status = 'failed' then 'pending' else status end as status, domain, count(*) as n,
+    count(*) filter (domain = 'src3' and status = 'failed') as queued from files group by 1, 2""")
+def _(t):
+    files = t.files().withColumnRenamed("doc_id", "file_id")
+    after, jobs = control.apply_action(files, "src3", "requeue_failed")
+    queued = jobs.select("file_id", F.lit(1).alias("q"))
+    return after.join(queued, "file_id", "left").groupBy("status", "domain").agg(F.count(F.lit(1)).alias("n"), F.count("q").alias("queued"))
+
+
+DRAFTS_SQL = """ev as (select user_id as draft_id, 'd' || (user_id % 7) as domain, case when event_type = 'purchase' then 'discard' else 'apply' end as action, event_id as seq from events)"""
+
+
+def _drafts(t: Tables) -> DataFrame:
+    action = F.when(F.col("event_type") == "purchase", "discard").otherwise("apply")
+    return t.events.select(F.col("user_id").alias("draft_id"), F.concat(F.lit("d"), F.col("user_id") % 7).alias("domain"), action.alias("action"), F.col("event_id").alias("at"))
+
+
+@query("schema_draft_states", f"""with {DRAFTS_SQL}, g as (select *, coalesce(max((action = 'discard')::int) over (partition by draft_id order by seq rows between unbounded preceding and 1 preceding), 0) = 1 as gone from ev)
+    select action, not (action = 'apply' and gone) as accepted, case when action = 'discard' or gone then 'discarded' else 'applied' end as status, count(*) as n from g group by all""")
+def _(t):
+    return control.draft_states(_drafts(t)).groupBy("action", "accepted", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("schema_draft_versions", f"""with {DRAFTS_SQL}, g as (select *, coalesce(max((action = 'discard')::int) over (partition by draft_id order by seq rows between unbounded preceding and 1 preceding), 0) = 1 as gone from ev),
+    v as (select domain, draft_id, row_number() over (partition by domain order by seq, draft_id) as version from g where action = 'apply' and not gone)
+    select domain, draft_id, version::int as version, (version = max(version) over (partition by domain))::int as is_active from v""")
+def _(t):
+    return control.schema_versions(_drafts(t))
+
+
+@query("retry_decisions", """select o_orderkey as job_id, case when o_custkey % 11 = 0 then 'ack_invalid' when o_orderstatus <> 'P' then 'ack' when o_orderkey % 5 >= 3 then 'dead_letter' else 'retry' end as decision,
+    case when o_custkey % 11 <> 0 and o_orderstatus = 'P' and o_orderkey % 5 < 3 then least(300, 10 * greatest(1, o_orderkey % 5)) end::int as delay_s from orders""")
+def _(t):
+    status = F.when(F.col("o_orderstatus") == "P", "failed").otherwise("succeeded")
+    jobs = t.orders.select(F.col("o_orderkey").alias("job_id"), status.alias("status"), (F.col("o_orderkey") % 5).cast("int").alias("attempts"), (F.col("o_custkey") % 11 != 0).alias("valid"))
+    return control.retry_plan(jobs).select("job_id", "decision", "delay_s")
+
+
+@query("job_event_rows", """with j as (select s_suppkey as job_id, ['retrieve', 'rank', 'cite'][: (s_suppkey % 3)::int + 1] as stages, s_suppkey % 4 <> 0 as ok from supplier),
+    e as (select job_id, unnest(list_concat(list_concat(['started'], list_transform(stages, lambda s: 'stage')), [case when ok then 'answer' else 'error' end])) as event,
+        unnest(list_concat(list_concat([null], stages), [null])) as detail, unnest(range(len(stages) + 2))::int as seq from j) select job_id, seq, event, detail from e""")
+def _(t):
+    stages = F.slice(F.array(F.lit("retrieve"), F.lit("rank"), F.lit("cite")), F.lit(1), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    return control.event_rows(t.supplier.select(F.col("s_suppkey").alias("job_id"), stages.alias("stages"), (F.col("s_suppkey") % 4 != 0).alias("ok")))
+
+
+@query("operator_inventory", f"""with {FILES_SQL}, {JOBS_SQL} select (select count(*) from files) as file_count, (select sum(bytes)::bigint from files) as file_bytes, (select count(distinct domain) from files) as domain_count, (select count(*) from files where status = 'failed') as failed_files,
+    (select count(*) from jobs) as job_count, (select count(*) from jobs where status = 'running') as active_jobs, (select count(*) from jobs where status = 'failed') as failed_jobs,
+    (select count(*) from events) as trace_count, (select {R2.format('avg(value)')} from events) as avg_trace_latency_ms""")
+def _(t):
+    one = control.inventory(t.files(), t.jobs(), t.events.select(F.col("value").alias("latency_ms")))
+    return one.select("file_count", "file_bytes", "domain_count", F.coalesce(F.try_element_at("files_by_status", F.lit("failed")), F.lit(0)).alias("failed_files"), "job_count", "active_jobs", "failed_jobs", "trace_count", "avg_trace_latency_ms")
+
+
+@query("parse_report_merge", """with r as (select lang, source, n_chars >= 1000 as ok from documents) select count(distinct source) as batches, count(*) as n, count(*) filter (ok) as passed, count(*) filter (lang = 'en') as english, count(*) filter (ok) / count(*) as pass_rate from r""")
+def _(t):
+    rows = t.documents.groupBy(F.col("source").alias("report_id"), "lang").agg(F.collect_list(F.struct((F.col("n_chars") >= 1000).alias("ok"))).alias("rows"), F.count(F.lit(1)).alias("k"))
+    reports = rows.groupBy("report_id").agg(F.flatten(F.collect_list("rows")).alias("rows"), F.map_from_entries(F.collect_list(F.struct("lang", "k"))).alias("parser_counts"))
+    return control.merge_parse_reports(reports).select("batches", "n", "passed", F.col("parser_counts")["en"].alias("english"), "pass_rate")
+
+
+@query("parse_merge", r"""with a as (select p_partkey, p_name as text, 1 as pages from part where p_partkey % 3 <> 0), b as (select p_partkey, case when p_partkey % 2 = 0 then p_name else p_type end as text, p_size as pages from part where p_partkey % 5 <> 0)
+    select coalesce(a.p_partkey, b.p_partkey) as p_partkey, case when a.text is null then b.text when b.text is null or a.text = b.text then a.text else a.text || chr(10) || chr(10) || b.text end as text,
+        (a.p_partkey is not null)::int + (b.p_partkey is not null)::int as documents, greatest(coalesce(a.pages, 0), coalesce(b.pages, 0)) as page_count, (a.p_partkey is not null)::int + 2 * (b.p_partkey is not null)::int as record_count
+    from a full join b on a.p_partkey = b.p_partkey""")
+def _(t):
+    doc = F.array(F.struct(F.col("p_name").alias("content")))
+    a = t.part.filter("p_partkey % 3 <> 0").select("p_partkey", F.col("p_name").alias("text"), doc.alias("documents"), F.lit(1).alias("page_count"), F.lit(1).alias("record_count"))
+    b = t.part.filter("p_partkey % 5 <> 0").select("p_partkey", F.expr("if(p_partkey % 2 = 0, p_name, p_type)").alias("text"), doc.alias("documents"), F.col("p_size").alias("page_count"), F.lit(2).alias("record_count"))
+    return control.merge_parses(a, b, "p_partkey").withColumn("documents", F.size("documents"))
+
+
+@query("conversion_policy", r"""select page_id, m as mode, case m when 'always' then true when 'auto' then page_id % 4 = 0 or page_id % 5 = 0 or len(list_filter(regexp_split_to_array(substr(html, 1, (page_id % 90)::int), '\s+'), lambda w: w <> '')) < 8 else false end as wanted
+    from pages, (values ('always'), ('auto'), ('off')) v(m)""")
+def _(t):
+    rows = t.pages.withColumn("mode", F.explode(F.array(F.lit("always"), F.lit("auto"), F.lit("off"))))
+    name, found = F.when(F.col("page_id") % 4 == 0, "scan.PNG").otherwise("page.html"), F.when(F.col("page_id") % 5 == 0, 0).otherwise(2)
+    return rows.select("page_id", "mode", control.conversion_wanted(F.col("mode"), name, found, F.substring("html", F.lit(1), (F.col("page_id") % 90).cast("int"))).alias("wanted"))
+
+
+@query("citation_overlap", f"""with e as (select item_id, {SPARSE.format('b.text')} as a, {TOK.format('d.text')} as ev, length(d.text) as n from benchmark b join documents d on d.doc_id = b.item_id), o as (select item_id, n, len(list_distinct(a)) as all_tokens, len(list_intersect(list_distinct(a), list_distinct(ev))) as hit from e)
+    select item_id as id, n::int as excerpt_length, hit::int as overlap, case when all_tokens > 0 then floor(hit / all_tokens * 1000 + 0.5) / 1000 end as ratio from o""")
+def _(t):
+    rows = t.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("answer")).join(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("excerpt")), "id").withColumn("index", F.lit(1))
+    return control.citation_overlap(rows).select("id", "excerpt_length", "overlap", "ratio")
+
+
+@query("trace_routes", """select event_id, case event_id % 4 when 0 then event_type when 1 then 'f' || event_type when 2 then 'unknown' else 'unknown' end as route from events""")
+def _(t):
+    json = lambda p: F.concat(F.lit('{"route":"' + p), F.col("event_type"), F.lit('"}'))
+    k = F.col("event_id") % 4
+    confidence = F.when(k == 0, json("")).when(k == 1, F.lit('{"level":"high"}')).when(k == 2, F.lit("no json"))
+    return t.events.select("event_id", control.trace_route(confidence, F.when(k < 2, json("f"))).alias("route"))
+
+
+@query("timing_stage_rows", """with s as (select event_id as id, event_type as route, ['embed', 'rank', 'answer'] as names, [value, value * 2, null] as ms, (event_id % 3) as results from events where event_id % 2 = 0)
+    select id, route, unnest(names[:2]) as stage, round(unnest(ms[:2]), 6) as latency_ms, case when results = 0 then 'empty_results' else 'has_results' end as status from s
+    union all select event_id, event_type, 'answer', null, case when event_id % 3 = 0 then 'empty_results' else 'has_results' end from events where event_id % 2 = 1""")
+def _(t):
+    even = F.create_map(F.lit("embed_ms"), F.col("value"), F.lit("rank_ms"), F.col("value") * 2, F.lit("total_ms"), F.col("value") * 3, F.lit("hits"), F.lit(1.0))
+    odd = F.create_map(F.lit("total_ms"), F.col("value"))
+    rows = t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("route"), F.when(F.col("event_id") % 2 == 0, even).otherwise(odd).alias("timing"), (F.col("event_id") % 3).alias("results"), F.lit(1).alias("citations"), F.lit("a").alias("answer"))
+    return control.timing_stages(rows).select("id", "route", "stage", F.round("latency_ms", 6).alias("latency_ms"), "status")
+
+
+@query("question_intents", r"""select conv_id, turn, role, case when regexp_matches(lower(text), '\b(compare|compared|versus|vs|difference|differ)\b') then 'compare' when regexp_matches(lower(text), '\b(how many|count|total|sum|average|mean|most|least|highest|lowest|top)\b') then 'aggregate'
+    when regexp_matches(lower(text), '\b(not|never|without|except|exclude|excluding|none)\b') then 'negative' else 'lookup' end as intent from conversations""")
+def _(t):
+    return t.conversations.select("conv_id", "turn", "role", control.intent(F.col("text")).alias("intent"))
+
+
+@query("entity_results", """select 'c' || c_custkey as document_id, round(1 / row_number() over (order by c_acctbal desc, c_custkey), 9) as score, (row_number() over (order by c_acctbal desc, c_custkey))::int as rank, '{"name":"' || c_name || '"}' as content from customer qualify rank <= 50""")
+def _(t):
+    known = t.customer.orderBy(F.desc("c_acctbal"), "c_custkey").limit(50)
+    ent = known.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("entity_id"), F.create_map(F.lit("name"), "c_name").alias("fields"), "c_acctbal", "c_custkey")
+    return control.entity_results(ent, [F.desc("c_acctbal"), F.col("c_custkey")]).withColumn("score", F.round("score", 9))
+
+
+@query("cache_ttl", "select user_id, count(*) as live from events where ts + interval 300 second > (select max(ts) from events) - interval 1 day group by user_id")
+def _(t):
+    end = t.events.agg(F.max("ts").alias("m")).select((F.col("m") - F.expr("interval 1 day")).alias("m")).scalar()
+    return control.live(t.events.withColumn("expires_at", F.col("ts") + F.expr("interval 300 seconds")), end).groupBy("user_id").agg(F.count(F.lit(1)).alias("live"))
+
+
 # Streaming ---------------------------------------------------------------------------------------
 
 
