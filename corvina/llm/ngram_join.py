@@ -652,7 +652,10 @@ def _links(docs: DataFrame, hashed: DataFrame, n: int, percent: int, block: int)
 
 
 def _grouped(docs: DataFrame, n: int, percent: int, block: int) -> tuple[DataFrame, list[DataFrame]]:
-    """doc_id, text_hash, n_shingles and component_id of every document, and the written tables behind them; docs have doc_id and text."""
+    """doc_id, text_hash, n_shingles, component_id and class (of sets, null for empty ones) of every document, and the written tables behind them.
+
+    docs have doc_id and text. Different classes share a component_id where different groups share an id.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     with shuffled_joins(spark):
@@ -663,11 +666,11 @@ def _grouped(docs: DataFrame, n: int, percent: int, block: int) -> tuple[DataFra
         reps = rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
         named = reps.join(stars, reps["fp"] == stars["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
         heads = named.groupBy("component").agg(F.min("rep").alias("head"))
-        classes = written(named.join(heads, "component").select("fp", "head"), "classes")
+        classes = written(named.join(heads, "component").select("fp", "head", F.col("component").alias("class")), "classes")
         drop_written(stars)
     # Empty sets stay out of the join: they would all meet in one task.
-    full = rows.filter("fp is not null").join(classes, "fp").select("doc_id", "text_hash", "n_shingles", F.coalesce("head", "doc_id").alias("component_id"))
-    alone = rows.filter("fp is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    full = rows.filter("fp is not null").join(classes, "fp").select("doc_id", "text_hash", "n_shingles", F.coalesce("head", "doc_id").alias("component_id"), "class")
+    alone = rows.filter("fp is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class"))
     return full.unionByName(alone), [hashed, classes]
 
 
@@ -687,17 +690,17 @@ def keep(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     grouped, behind = _grouped(narrow, n, percent, BLOCK)
     rows = written(grouped, "groups")
     drop_written(*behind)
-    heads = rows.filter("doc_id = component_id").groupBy("component_id").agg(F.count(F.lit(1)).alias("rows"), F.min("text_hash").alias("first"))
-    again = written(heads.filter("rows > 1").select("component_id", "first"), "repeated")  # groups whose least id is not one row
+    heads = rows.filter("doc_id = component_id and class is not null").groupBy("class", "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("text_hash").alias("first"))
+    again = written(heads.filter("rows > 1").select("class", "doc_id", "first"), "repeated")  # groups whose least id is not one row
     gone = rows.filter("not (doc_id <=> component_id)").select("doc_id", "text_hash")
-    gone = gone.unionByName(rows.join(again, "component_id").filter("doc_id = component_id").select("doc_id", "text_hash"))
+    gone = gone.unionByName(rows.join(again, ["class", "doc_id"]).select("doc_id", "text_hash"))
     gone = written(gone.distinct(), "gone")
     one, two = fresh_name(docs, "gone_id"), fresh_name(docs, "gone_hash")
     named = gone.select(F.col("doc_id").alias(one), F.col("text_hash").alias(two))
     here = docs["doc_id"].cast("long").eqNullSafe(named[one]) & (F.xxhash64(docs["text"]) == named[two])
     out = docs.join(named, here, "left_anti")
     if again.head(1):
-        ids = again.select(F.col("component_id").alias(one), F.col("first").alias(two)).distinct()
+        ids = again.select(F.col("doc_id").alias(one), F.col("first").alias(two)).distinct()
         back = docs.join(ids, (docs["doc_id"].cast("long") == ids[one]) & (F.xxhash64(docs["text"]) == ids[two]), "left_semi")
         out = out.unionByName(back.dropDuplicates(["doc_id", "text"]))
     else:

@@ -58,6 +58,65 @@ def test_long_words_and_slices():
     assert len(h.words(text.encode())) == 600_000 and len(h.shingles(text)) == 97
     giant = "x" * (ngram_join.SLICE + 10)
     assert len(h.words(f"a {giant} b".encode())) == 3
+    # A word's hash does not depend on where it stands, whatever its length.
+    for n in (1, ngram_join.SLICE - 2, ngram_join.SLICE - 1, ngram_join.SLICE, ngram_join.SLICE + 1, 2 * ngram_join.SLICE + 3):
+        word = b"Ab" * (n // 2) + b"C" * (n % 2)
+        one = h.words(word)
+        assert len(one) == 1
+        for text in (b"a " + word, word + b" b", b"a b c " + word.lower() + b"\n" + word):
+            assert one[0] in h.words(text)
+    texts = [None or "", "a", "A a", "x y z x y z", " ", "é É e"] + ["w " * 400_000 + "end"] * 2
+    assert [x.tolist() for x in h.sets(texts)] == [h.shingles(t).tolist() for t in texts]
+
+
+def test_ngram_join_of_hot_keys_and_many_blocks(spark, monkeypatch):
+    """A large group of near copies, of which many share keys, gives the links of brute force however it is dealt."""
+    from corvina.llm import ngram_join
+
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(90)]
+    base = [rng.choice(words) for _ in range(60)]
+    texts = []
+    for _ in range(220):
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        texts.append(" ".join(copy))
+    texts += [" ".join(rng.choice(words) for _ in range(40)) for _ in range(40)] + texts[:5]
+    sets = [shingles(t, 4) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    want = groups(len(texts), links)
+    assert len(set(want)) > 60  # the copies are no single group
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for hot, run, cell in ((64, 1 << 20, 10_000), (3, 2_000, 7)):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        monkeypatch.setattr(ngram_join, "RUN", run)
+        monkeypatch.setattr(ngram_join, "CELL", cell)
+        got = {r.doc_id: r.component_id for r in ngram_join.join(df, 4, 85, block=16 if hot == 3 else 2048).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_segment_weights_follow_costs():
+    from corvina.llm import ngram_join
+
+    band = ngram_join.Band(0, 200, 250, 85)
+    whole = int(band.weights.sum())
+    meetings = np.zeros(band.m)
+    meetings[[3, 7]] = 1e9
+    band.allocate(None, meetings, 100.0)
+    assert band.weights[3] == band.weights[7] == 0 and int(band.weights.sum()) == whole >= band.need + band.skip
+
+
+def test_keep_takes_one_row_of_each_group(spark):
+    from corvina.llm import ngram_join
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a, 0), (2, a, 0), (3, b, 0), (3, c, 1), (5, c.upper(), 2), (None, a, 3), (None, "alone in the world with no id", 4), (None, None, 5), (7, None, 6), (8, "", 7), (9, b, 8), (3, b, 9), (10, "x", 1), (11, "X ", 2)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, gone_id int").withColumnRenamed("gone_id", "gone")
+    got = sorted(((r.doc_id or -1, r.text or "") for r in ngram_join.keep(df).collect()))
+    assert got == sorted([(1, a), (3, b), (3, c), (-1, "alone in the world with no id"), (-1, ""), (7, ""), (8, ""), (10, "x")])
+    assert ngram_join.keep(df).columns == ["doc_id", "text", "gone"]
+    assert ngram_join.keep(df.limit(0)).count() == 0 and ngram_join.join(df.limit(0)).count() == 0
 
 
 def test_components(spark):
