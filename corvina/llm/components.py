@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from corvina.llm.common import drop_written, shuffled_joins, written
+from corvina.llm.common import drop_written, release, shuffled_joins, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,25 +16,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     them back have one small row per node on one side, so a hub's edges can be split.
     """
     with shuffled_joins(edges.sparkSession):
-        old = written(edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("component")).filter("node <> component").distinct(), "edges")
-        mark = _mark(old)
+        old, mark = _marked(edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("component")).filter("node <> component").distinct())
         while mark[0]:
             pairs = old.select(F.col("node").alias("u"), F.col("component").alias("v"))
             least = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m"))
             large = pairs.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.least("m", "u").alias("v")).distinct()
             least = large.groupBy("u").agg(F.min("v").alias("m"))
             small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            new = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().select(F.col("u").alias("node"), F.col("v").alias("component")), "edges")
-            now = _mark(new)
+            new, now = _marked(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().select(F.col("u").alias("node"), F.col("v").alias("component")))
             drop_written(old)
             old = new
             if now == mark:
                 break
             mark = now
+    release(edges.sparkSession)
     return old
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    """Count and hash of an edge set."""
-    n, h = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "component").bitwiseAND(F.lit(0xFFFFFFFFFF)))).first()
-    return n, h or 0
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The written edges, with the count and hash of their set as the writing job saw them."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node", "component").bitwiseAND(F.lit(0xFFFFFFFFFF))).alias("h")), "edges")
+    return out, (seen.get["n"], seen.get["h"] or 0)

@@ -646,6 +646,7 @@ def _links(docs: DataFrame, hashed: DataFrame, n: int, percent: int, block: int)
         old, stars = stars, components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
         drop_written(old, tested, pairs)
         tested = both
+        release(spark)
     drop_written(tested, sets, members, sketches)
     release(spark)
     return stars

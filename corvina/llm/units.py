@@ -20,7 +20,7 @@ import numpy as np
 from corvina.llm.token_counts import byte_symbols
 
 #: Units remembered per worker.
-MAX_UNITS = 900_000
+MAX_UNITS = 400_000
 #: Letters that every Unicode version has, then ASCII marks: two pieces of the pre-tokenizer at most.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?#*$%&|]*)")
 
