@@ -33,8 +33,8 @@ END = 2
 MAX_BITS = 16
 #: Ids of a block (a longer document makes a longer block), and ids between marks.
 BLOCK, STEP = 1 << 18, 256
-#: Bytes of text that a part aims at.
-PART_BYTES = 24_000_000
+#: Bytes of text that a part aims at, and parts up to which their bounds are compared one by one.
+PART_BYTES, MAX_BOUNDS = 24_000_000, 512
 RAW = "part int, block int, first long, doc_ids array<long>, counts array<long>, ids binary"
 BLOCKS = "part int, block int, first long, doc_ids array<long>, counts array<long>, n_ids long, marks array<long>, payload binary"
 OUT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -117,6 +117,24 @@ def decode_block(payload: bytes, marks: np.ndarray, n: int, table: tuple[np.ndar
     return out.T.reshape(-1)[:n]
 
 
+def _in_ranges(docs: DataFrame, parts: int) -> DataFrame:
+    """Documents in partitions of ascending ids. Up to MAX_BOUNDS of them, bounds come from the ids alone, so texts are read once."""
+    if parts > MAX_BOUNDS:
+        return docs.repartitionByRange(parts, "doc_id")
+    bounds = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [1.0], 100_000)).first()[0] or []
+    below = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<long>"), lambda b: b < F.col("doc_id")))
+    return docs.repartitionById(max(1, len(set(bounds)) + 1), F.when(F.col("doc_id").isNull(), 0).otherwise(below))
+
+
+def _bytes(docs: DataFrame) -> int:
+    """About how many bytes of text the documents have: twice their files, else what the texts say."""
+    jvm, conf = docs.sparkSession._jvm, docs.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in docs.inputFiles()]
+    if paths:
+        return 2 * sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def raw_blocks(docs: DataFrame, spec: str, end: int, parts: int) -> DataFrame:
     """Blocks of plain ids in document order."""
     spark = docs.sparkSession
@@ -151,7 +169,7 @@ def raw_blocks(docs: DataFrame, spec: str, end: int, parts: int) -> DataFrame:
         if ids:
             yield flush()
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id")
+    ranged = _in_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts)
     return ranged.sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, RAW)
 
 
@@ -175,7 +193,7 @@ def global_counts(raw: DataFrame) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer_file: str, end: int = END) -> None:
     """Tokenise, count, code and write."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = _bytes(docs)
     with open(tokenizer_file, encoding="utf-8") as f:
         raw = written(raw_blocks(docs, f.read(), end, max(1, -(-size // PART_BYTES))), "token-ids", one_group=True)
     lengths = limited_lengths(global_counts(raw))

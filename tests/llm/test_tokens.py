@@ -113,6 +113,28 @@ def test_chunk_maps_are_associative():
     assert whole.table[0][0] == 0  # the end of a word leads back to the start
 
 
+@pytest.mark.parametrize("bounds", [512, 1])
+def test_token_files_lie_in_document_order(spark, tmp_path, monkeypatch, bounds):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from corvina.llm import token_binary
+
+    monkeypatch.setattr(token_binary, "PART_BYTES", 300)
+    monkeypatch.setattr(token_binary, "MAX_BOUNDS", bounds)
+    monkeypatch.setattr(token_binary, "BLOCK", 40)
+    rows = [(k * 7 % 101, f"text number {k} " * (k % 5)) for k in range(101)] + [(None, "no id"), (3, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    token_binary.write(docs, f"file://{tmp_path}/t", P.path("byte_bpe_50k.json"))
+    folders = sorted(glob.glob(f"{tmp_path}/t/blocks/part=*"))
+    assert len(folders) > 3 and all(len(glob.glob(f"{f}/*.parquet")) == 1 for f in folders)
+    ids = [i for f in folders for row in pq.read_table(glob.glob(f"{f}/*.parquet")[0], columns=["doc_ids"])["doc_ids"].to_pylist() for i in row]
+    assert ids == [None, *sorted(r[0] for r in rows if r[0] is not None)]
+    got = sorted((r.start, r.n_tokens) for r in token_binary.read(spark, f"file://{tmp_path}/t").collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(got, got[1:])) and got[0][0] == 0 and len(got) == len(rows)
+
+
 def test_token_file_round_trip(docs):
     from corvina.llm import token_binary
 
