@@ -59,7 +59,17 @@ def _(t):
     return t.chunks().select("document_id", "chunk_id", "chunk_index", F.length("content").alias("len"))
 
 
-@query("chunk_general_fold")
+@query("chunk_general_fold", r"""with recursive d as (
+        select 'doc_' || substr(sha256('doc:t0:' || lang || ':' || doc_id), 1, 32) as document_id,
+            list_transform(string_split(regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '^\s+|\s+$', '', 'g'), chr(10) || chr(10)), lambda p: length(p)) as ls from documents),
+    step as (
+        select document_id, ls, 0 as i, 0::bigint as cur, 0::bigint as chunks, 0::bigint as chars from d
+        union all
+        select document_id, ls, i + 1, case when cur + l <= 2000 then case when cur = 0 then l else cur + 2 + l end when l > 2000 then 0 else l end,
+            case when cur + l <= 2000 then chunks else chunks + (cur > 0)::int + case when l > 2000 then ceil((l - 200) / 1800.0)::bigint else 0 end end,
+            case when cur + l <= 2000 then chars else chars + cur + case when l > 2000 then l + 200 * (ceil((l - 200) / 1800.0)::bigint - 1) else 0 end end
+        from (select *, ls[i + 1] as l from step where i < len(ls)))
+    select document_id, chunks + (cur > 0)::int as chunks, chars + cur as chars from step where i = len(ls) and chunks + (cur > 0)::int > 0""")
 def _(t):
     docs = t.docs().withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n")))
     return chunking.chunk_documents(docs, general=True).groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content")).alias("chars"))
@@ -287,10 +297,22 @@ def _(t):
     return fusion.keyword_rerank(top).select("qid", "chunk_id", "rerank_overlap", F.round("score", 6).alias("score"))
 
 
-@query("mmr_diversify")
+@query("mmr_diversify", FUZZY_SQL.replace("with ", "with recursive ", 1) + f""", cand as (select qid, chunk_id, score, rank, list_distinct({TOK.format('text')}) as toks from ranked join documents using (doc_id) where rank <= 20),
+    shared as (select a.qid, a.chunk_id as a, b.chunk_id as b, len(list_intersect(a.toks, b.toks)) as n, len(a.toks) + len(b.toks) as total from cand a join cand b on a.qid = b.qid),
+    alike as (select qid, a, b, case when n > 0 then n / (total - n) else 0.0 end as v from shared),
+    pick as (
+        select distinct qid, 0 as k, []::varchar[] as chosen, null::varchar as chunk_id, null::double as s from cand
+        union all
+        select qid, k + 1, list_append(chosen, m.chunk_id), m.chunk_id, m.s
+        from (select qid, k, chosen, arg_max(struct_pack(chunk_id := chunk_id, s := s), struct_pack(s := s, r := -rank)) as m
+            from (select p.qid, p.k, p.chosen, c.chunk_id, c.rank, 0.82 * c.score - (1 - 0.82) * coalesce(max(v) filter (list_contains(p.chosen, b)), 0.0) as s
+                from pick p join cand c on c.qid = p.qid and not list_contains(p.chosen, c.chunk_id) left join alike on alike.qid = c.qid and alike.a = c.chunk_id
+                where p.k < 5 group by p.qid, p.k, p.chosen, c.chunk_id, c.rank, c.score)
+            group by qid, k, chosen))
+    select qid::bigint as qid, chunk_id, round(s, 6) as mmr_score, k as mmr_rank from pick where k > 0""")
 def _(t):
     hits = lexical.search(t.small_chunks(), probes(t), 20, corpus=t.index())
-    return fusion.mmr(hits, 5)
+    return fusion.mmr(hits, 5).withColumn("mmr_score", F.round("mmr_score", 6))
 
 
 @query("corrective_router")
