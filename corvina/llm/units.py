@@ -64,21 +64,29 @@ class Units:
         return array.array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _learn(self, table: dict[str, bytes], units: set[str], lead: str) -> None:
-        new = [u for u in units if u not in table and not _irregular(u)]
+        new = units - table.keys()
         if make_room(table, len(new), MAX_UNITS):
-            new = [u for u in units if u not in table and not _irregular(u)]
-        others = []
+            new = units - table.keys()
+        others, match, marks, tokenize, shown = [], PLAIN.fullmatch, self.marks, self.model.tokenize, "Ġ" if lead else ""
         for u in new:
-            m = PLAIN.fullmatch(u)
+            m = match(u)
             if m is None:
-                others.append(u)
+                if not _irregular(u):
+                    others.append(u)
                 continue
             word, mark = m.groups()
-            tail = self.marks.get(mark)
-            if tail is None:
-                tail = self.marks[mark] = self._piece(mark)
             head = table.get(word) if mark else None
-            table[u] = (self._piece(lead + word) if head is None else head) + tail
+            if head is None:
+                if word.isascii():
+                    head = array.array("H", [t.id for t in tokenize(shown + word)]).tobytes()
+                else:
+                    head = self._piece(lead + word)
+            if mark:
+                tail = marks.get(mark)
+                if tail is None:
+                    tail = marks[mark] = self._piece(mark)
+                head += tail
+            table[u] = head
         for k in range(0, len(others), 20_000):
             part = others[k : k + 20_000]
             table.update(zip(part, self.encode([lead + u for u in part])))
