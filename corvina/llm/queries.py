@@ -82,6 +82,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(load(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm import whitening
+
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
+def op12_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm import impact_index
+
+    return impact_index.top_k(load(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm import variants
+
+    return variants.group_variants(load(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
         "op10_ngram_join": op10_ngram_join,
+        "op11_whitening": op11_whitening,
+        "op12_impact_topk": op12_impact_topk,
+        "op13_spelling_variants": op13_spelling_variants,
         "pipeline": pipeline,
     }
 
@@ -132,8 +153,21 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from b
 """
 
+OP12_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, lambda c: floor(64 * c::double)::bigint) as x
+    from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (
+    select q.vec_id as query_id, v.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * v.x[i]))::bigint as score
+    from v as q join v on q.vec_id % 20 = 0 and v.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_rules": OP6_SQL,
+        "op12_impact_topk": OP12_SQL,
     }
