@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from corvina.functions import text as T
 from corvina.model import Tables
-from corvina.operators import chunking, citations, control, entities, fusion, lexical, metrics, vector
-from corvina.plans import search, structured
+from corvina.operators import boundaries, chunking, citations, control, entities, fusion, lexical, metrics, resolution, themes, vector
+from corvina.plans import legacy, search, structured
 from corvina.scratch import scratch
-from corvina.sources import parsers, records
-from corvina.streaming import ingest
+from corvina.sources import manifest, parsers, records
+from corvina.streaming import ingest, jobs
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 S: dict[str, str] = {}
@@ -183,19 +183,19 @@ FUZZY_SQL = f"with {PROBE_SQL}, {FUZZY_BODY}"
 
 @query("lexical_index", f"with c as (select doc_id, unnest({SPARSE.format('text')}) as token from documents) select count(*) as occurrences, count(distinct token) as tokens, count(distinct doc_id) as chunks from c")
 def _(t):
-    rows = t.index().occurrences
-    return rows.agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct("token").alias("tokens"), F.countDistinct("chunk_id").alias("chunks"))
+    rows = t.index().postings
+    return rows.agg(F.sum("tf").alias("occurrences"), F.countDistinct("token").alias("tokens"), F.countDistinct("chunk_id").alias("chunks"))
 
 
 @query("lexical_bm25_exact", EXACT_SQL + " select qid, chunk_id, round(score, 6) as score, overlap, rank::int as rank from ranked where rank <= 10")
 def _(t):
-    top = lexical.top(lexical.bm25(t.index(), probes(t), fuzzy=False), 10)
+    top = lexical.best(t.index(), probes(t), 10, fuzzy=False)
     return top.select("qid", "chunk_id", F.round("score", 6).alias("score"), "overlap", "rank")
 
 
 @query("lexical_bm25_fuzzy", FUZZY_SQL + " select qid, chunk_id, round(score, 6) as score, overlap, rank::int as rank from ranked where rank <= 10")
 def _(t):
-    top = lexical.top(lexical.bm25(t.index(), probes(t)), 10)
+    top = lexical.best(t.index(), probes(t), 10)
     return top.select("qid", "chunk_id", F.round("score", 6).alias("score"), "overlap", "rank")
 
 
@@ -207,7 +207,7 @@ def _(t):
 
 @query("lexical_fast_path_flags", FUZZY_SQL + " select qid, score >= 2 and overlap >= 2 as fast_path from ranked where rank = 1")
 def _(t):
-    return lexical.fast_path(lexical.top(lexical.bm25(t.index(), probes(t)), 1))
+    return lexical.fast_path(lexical.best(t.index(), probes(t), 1))
 
 
 @query("query_plan_variants", """select * from (values (1::bigint, 0, 'original', 'was tion'), (2, 0, 'original', 'Which docs discuss ing and ble?'), (2, 1, 'rewrite', 'ing and ble'),
@@ -276,7 +276,7 @@ def _(t):
     scored = vectors.join(F.broadcast(asked)).select("qid", "chunk_id", F.round(vector.cosine(F.col("v"), F.col("q")), 9).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     sem = scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 20")
-    lex = lexical.top(lexical.bm25(t.index(), probes(t)), 20)
+    lex = lexical.best(t.index(), probes(t), 20)
     return fusion.rrf({"lexical": lex, "semantic": sem}, 10).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -284,7 +284,7 @@ def _(t):
     union all select qid, chunk_id, row_number() over (partition by qid order by doc_id desc) from (select * from ranked where rank <= 10))
     select qid::bigint as qid, chunk_id, round(sum(1 / (60.0 + rank)), 6) as score from lists group by qid, chunk_id""")
 def _(t):
-    lex = lexical.top(lexical.bm25(t.index(), probes(t)), 10)
+    lex = lexical.best(t.index(), probes(t), 10)
     by = lambda *o: lex.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*o)))
     return fusion.rrf({"lexical": lex, "oldest": by("chunk_index"), "newest": by(F.desc("chunk_index"))}, 50).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -293,7 +293,7 @@ def _(t):
     select qid::bigint as qid, chunk_id, len(list_intersect(list_distinct(q), list_distinct(content_toks)))::int as rerank_overlap,
         round(score + len(list_intersect(list_distinct(q), list_distinct(content_toks))) / len(list_distinct(q)) * 0.08, 6) as score from r""")
 def _(t):
-    top = lexical.top(lexical.bm25(t.index(), probes(t)), 20).drop("rank", "terms").join(t.small_chunks().select("chunk_id", "content"), "chunk_id").join(probes(t), "qid")
+    top = lexical.best(t.index(), probes(t), 20).drop("rank", "terms").join(t.small_chunks().select("chunk_id", "content"), "chunk_id").join(probes(t), "qid")
     return fusion.keyword_rerank(top).select("qid", "chunk_id", "rerank_overlap", F.round("score", 6).alias("score"))
 
 
@@ -436,7 +436,7 @@ def _forest(t: Tables) -> DataFrame:
 
 
 @query("entity_lineage_recursive", f"""with recursive {FOREST}, up(start_id, entity_id, parent_id, depth) as (select entity_id, entity_id, parent_id, 0 from forest where entity_id like 'c%'
-    union all select u.start_id, e.entity_id, e.parent_id, u.depth + 1 from up u join forest e on e.entity_id = u.parent_id where u.depth < 32)
+    union all select u.start_id, e.entity_id, e.parent_id, u.depth + 1 from up u join forest e on e.entity_id = u.parent_id)
     select start_id, entity_id, depth::int as depth from up where depth > 0""")
 def _(t):
     forest = _forest(t)
@@ -591,7 +591,7 @@ def _(t):
     first as (select qid, min(rank) as first from ranked join want using (qid, chunk_id) where rank <= 20 group by qid), k as (select distinct qid from want)
     select count(*) as cases, count(first) as hits, count(first) / count(*) as hit_rate, round(avg(coalesce(1.0 / first, 0)), 6) as mrr from k left join first using (qid)""")
 def _(t):
-    top = lexical.top(lexical.bm25(t.index(), probes(t)), 20)
+    top = lexical.best(t.index(), probes(t), 20)
     want = top.filter("rank = 2 and qid > 1").select("qid", "chunk_id").union(t.spark.createDataFrame([(1, "0000000007")], "qid long, chunk_id string"))
     return metrics.search_eval(top, want).withColumn("mrr", F.round("mrr", 6))
 
@@ -984,3 +984,175 @@ def _(t):
 @query("ext_windowed_latency", "select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def _(t):
     return ingest.windowed(t.events, "1 hour").withColumn("total", F.round("total", 4))
+
+
+# Resolution, themes, approximate search, imports, histories ----------------------------------------
+
+
+def _parties_and_parts(t: Tables) -> DataFrame:
+    """Parts, customers and suppliers as entities; a customer and a supplier of one number declare the same identity."""
+    text = lambda *c: F.concat_ws(" ", *c)
+    part = t.part.select(
+        F.concat(F.lit("p"), "p_partkey").alias("entity_id"), F.col("p_type").alias("type"), text("p_name", "p_brand", "p_size").alias("identity_key"),
+        text(F.lit("part"), "p_name", F.lit("of"), "p_brand", F.lit("size"), "p_size", "p_type").alias("summary"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100).alias("vector"),
+    )
+    party = lambda df, k, p: df.select(
+        F.concat(F.lit(p), f"{p}_{k}key").alias("entity_id"), F.lit("party").alias("type"), F.regexp_extract(f"{p}_name", "[0-9]+", 0).alias("identity_key"),
+        text(f"{p}_name", F.lit("nation"), f"{p}_nationkey").alias("summary"), F.array(F.col(f"{p}_acctbal"), F.lit(1000.0)).alias("vector"),
+    )
+    return part.unionByName(party(t.customer, "cust", "c")).unionByName(party(t.supplier, "supp", "s"))
+
+
+@query("entity_resolution", r"""with recursive raw as (
+        select 'p' || p_partkey as id, p_type as type, p_name || ' ' || p_brand || ' ' || p_size as key, 'part ' || p_name || ' of ' || p_brand || ' size ' || p_size || ' ' || p_type as summary, [p_size::double, p_retailprice / 100] as v from part
+        union all select 'c' || c_custkey, 'party', regexp_extract(c_name, '[0-9]+'), c_name || ' nation ' || c_nationkey, [c_acctbal, 1000.0::double] from customer
+        union all select 's' || s_suppkey, 'party', regexp_extract(s_name, '[0-9]+'), s_name || ' nation ' || s_nationkey, [s_acctbal, 1000.0::double] from supplier),
+    ent as (select id, type, regexp_replace(replace(lower(trim(key)), '&', ' and '), '[^a-z0-9]+', '', 'g') as key, list_sort(list_distinct(regexp_extract_all(lower(summary), '[a-z0-9]+'))) as toks, v from raw),
+    sets as (select type, toks, min(id) as id, arg_min(v, id) as v from ent group by type, toks),
+    near as (select a.id as a, b.id as b, len(list_intersect(a.toks, b.toks)) as n, len(a.toks) + len(b.toks) as total, list_cosine_similarity(a.v, b.v) as cosine from sets a join sets b on a.type = b.type and a.id < b.id),
+    pairs as (select a, b from near where n / (total - n) >= 0.75 or (n / (total - n) >= 0.55 and cosine >= 0.9995)
+        union select id, min(id) over (partition by type, key) from ent where key <> '' union select id, min(id) over (partition by type, toks) from ent),
+    e as (select a, b from pairs union select b, a from pairs),
+    reach(a, b) as (select id, id from ent union select r.a, e.b from reach r join e on r.b = e.a)
+    select a as entity_id, min(b) as canonical_id from reach group by a""")
+def _(t):
+    return resolution.resolve(_parties_and_parts(t), alike=0.9995)
+
+
+def _supply(t: Tables) -> DataFrame:
+    """Parts and suppliers with the number of lines between them."""
+    pair = [F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")]
+    return t.lineitem.select(*pair).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+
+
+@query("graph_themes")
+def _(t):
+    edges = _supply(t)
+    label = themes.communities(edges)
+    ents = t.part.select(F.concat(F.lit("p"), "p_partkey").alias("entity_id"), F.lit("part").alias("type"), F.col("p_name").alias("name")).union(
+        t.supplier.select(F.concat(F.lit("s"), "s_suppkey"), F.lit("supplier"), F.col("s_name"))
+    )
+    said = themes.summaries(label, ents, edges).join(F.broadcast(themes.modularity(edges, label)))
+    return said.select("theme", "n_entities", F.to_json("by_type").alias("by_type"), F.array_join("leads", ", ").alias("leads"), "weight", F.round("modularity", 9).alias("modularity"))
+
+
+@query("vector_topk_approximate")
+def _(t):
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = vector.approximate_top_k(vector.inverted_lists(vectors, 64), _vector_queries(t), 10)
+    return found.select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("import_levels", """with recursive f as (select o_orderkey as id, o_custkey as up from orders),
+    w(start, cur, path) as (select id, id, [id] from f where id in (select up from f) union all select start, f.up, list_append(path, f.up) from w join f on f.id = w.cur where not list_contains(path, f.up)),
+    closed as (select start, f.up as entry, list_min(path[list_position(path, f.up):]) as cycle from w join f on f.id = w.cur where list_contains(path, f.up)),
+    cleared as (select arg_min(entry, start) as id from closed group by cycle),
+    lev(id, parent_id, level) as (select id, case when id in (select id from cleared) then null else up end, 0 from f where id in (select id from cleared) or up not in (select id from f)
+        union all select f.id, f.up, level + 1 from f join lev on f.up = lev.id where f.id not in (select id from cleared))
+    select id, parent_id, level::int as level from lev""")
+def _(t):
+    return legacy.levels(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent_id"), F.col("o_orderkey").alias("_place")))
+
+
+@query("import_checksum", """with h as (select 'customers' as t, sha256('{"c_custkey":"' || c_custkey || '","c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}') as h from customer
+        union all select 'orders', sha256('{"o_custkey":"' || o_custkey || '","o_orderkey":"' || o_orderkey || '","o_orderpriority":"' || o_orderpriority || '"}') from orders)
+    select t as "table", count(*) as rows, sum(('0x' || substr(h, 1, 15))::bigint)::varchar as checksum from h group by t""")
+def _(t):
+    return legacy.checksum({"customers": t.customer.select("c_name", "c_custkey", "c_mktsegment"), "orders": t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")})
+
+
+def _streamed(t: Tables, name: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over the events table has written when it has read all of it."""
+    path = scratch(t.spark, name)
+    out = made(t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parquet*"))
+    out.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+@query("job_history", """with e as (select user_id, event_id, ts, case event_type when 'error' then 'failed' when 'purchase' then 'done' else event_type end as event from events),
+    c as (select *, row_number() over w as seq, sum((event = 'done')::int) over w as done, sum((event = 'failed')::int) over w as failed from e window w as (partition by user_id order by ts, event_id)),
+    g as (select *, coalesce(min(case when done >= 3 or failed >= 3 then seq end) over (partition by user_id), 1000000000) as finish from c),
+    last as (select user_id, done, failed from g where seq = finish),
+    r as (select g.*, seq > finish as late, case when seq > finish then last.done else g.done end as d, case when seq > finish then last.failed else g.failed end as f, lead(ts) over (partition by g.user_id order by ts, event_id) as next from g left join last using (user_id)),
+    s as (select *, case when late then 'ignored' else event end as what, case when d >= 3 then 'succeeded' when f >= 3 then 'dead_letter' when event = 'failed' then 'waiting' else 'running' end as status from r),
+    again as (select *, date_trunc('millisecond', ts) + to_seconds(10 * f::bigint) as due from s where status = 'waiting'),
+    every as (select user_id, ts, what as event, status, d, f from s
+        union all select user_id, due, 'retry', 'running', d, f from again where date_trunc('millisecond', coalesce(next, (select max(ts) from events))) >= due)
+    select user_id::varchar as job_id, ts as at, event, status, ['parse', 'index', 'extract'][least(d, 2)::int + 1] as stage, f::int as attempts from every""")
+def _(t):
+    event = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done").otherwise(F.col("event_type"))
+    rows = _streamed(t, "jobs", lambda s: jobs.job_history(s.select(F.col("user_id").alias("job_id"), "event_id", F.col("ts").alias("at"), event.alias("event"))))
+    return rows.drop("seq")
+
+
+@query("session_windows", """with e as (select user_id, ts, event_id, event_type, lag(ts) over (partition by user_id order by ts, event_id) as before from events),
+    n as (select *, sum((before is null or date_diff('microsecond', before, ts) > 21600000000)::int) over (partition by user_id order by ts, event_id) - 1 as number from e),
+    s as (select user_id::varchar as session_id, number::int as number, min(ts) as started, max(ts) as ended, count(*)::int as turns, max(number) over (partition by user_id) as newest from n group by user_id, number)
+    select session_id, number, started, ended, turns from s where number < newest or ended + interval '6 hours' < (select max(ts) from events)""")
+def _(t):
+    rows = _streamed(t, "sessions", lambda s: jobs.sessions(s.select(F.col("user_id").alias("session_id"), "event_id", F.col("ts").alias("at"), F.col("event_type").alias("turn")), 6 * 3600))
+    return rows.select("session_id", "number", "started", "ended", "turns")
+
+
+@query("manifest_scan", r"""select url, case when f = '' then 'index.html' when not contains(f, '.') then f || '.html' else f end as filename, 'text/html' as mime, octet_length(encode(html))::bigint as bytes, sha256(html) as content_hash
+    from (select url, html, regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]+/(?:.*/)?([^/]*)$', 1), '[^a-zA-Z0-9._-]+', '_', 'g') as f from pages)""")
+def _(t):
+    manifest.register(t.spark)
+    rows = t.spark.read.format("corvina_manifest").option("path", f"{t.dir}/pages.parquet").option("content", "html").load()
+    return rows.filter("error is null").select("url", "filename", "mime", "bytes", "content_hash")
+
+
+@query("chunk_boundaries")
+def _(t):
+    return boundaries.chunk_at_boundaries(t.documents).select("doc_id", "chunk_index", "start", "end", "boundary", F.length("content").alias("chars"))
+
+
+@query("field_details", """with recursive r as (select c_custkey, unnest([{'f': 'c_custkey', 'v': c_custkey::varchar}, {'f': 'c_name', 'v': '"' || c_name || '"'}, {'f': 'c_mktsegment', 'v': '"' || c_mktsegment || '"'}]) as e from customer),
+    d as (select e.f as field, e.v as value, min(c_custkey) as first from r group by all), k as (select *, row_number() over (partition by field order by first, value) as r from d)
+    select field, case when min(value) like '"%' then case when count(*) between 2 and 12 then 'enum' else 'string' end else 'integer' end as type, true as required, field = 'c_custkey' as identity,
+        string_agg(value, '|' order by r) as examples, case when min(value) like '"%' then string_agg(trim(value, '"'), '|' order by r) end as enum_values from k where r <= 5 group by field""")
+def _(t):
+    pair = lambda f, v: F.struct(F.lit(f).alias("field"), v.alias("value"))
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    cells = F.array(pair("c_custkey", F.col("c_custkey").cast("string")), pair("c_name", quoted("c_name")), pair("c_mktsegment", quoted("c_mktsegment")))
+    values = t.customer.select(F.col("c_custkey").alias("record_id"), F.posexplode(cells).alias("pos", "e")).select("record_id", "pos", "e.field", "e.value")
+    said = records.describe_fields(values)
+    return said.select("field", "type", "required", "identity", F.array_join("examples", "|").alias("examples"), F.array_join("enum_values", "|").alias("enum_values"))
+
+
+def _order_texts(t: Tables) -> DataFrame:
+    """Every order as a JSON document of its own, with the customer that it names."""
+    one = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("file_id"),
+        F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.col("o_orderstatus").alias("status"), F.col("c_custkey").alias("buyer_id"), F.col("c_name").alias("buyer_name"))).alias("text"),
+    )
+    return one
+
+
+INGEST_SQL = """o as (select o_orderkey, o_orderstatus, c_custkey, c_name from orders join customer on o_custkey = c_custkey),
+    ent as (select 'OrderRecord' as type, o_orderkey::varchar as identity_key, 'Order ' || o_orderkey as display_name, 1 as records, c_custkey::varchar as buyer from o
+        union all select 'BuyerRecord', c_custkey::varchar, c_name, count(*), null from o group by c_custkey, c_name)"""
+
+
+@query("record_ingest", f"with {INGEST_SQL} select type, identity_key, display_name, records::bigint as records, buyer from ent")
+def _(t):
+    got = structured.ingest(_order_texts(t), "orders")
+    names = got.entities.select(F.col("entity_id").alias("target_id"), F.col("identity_key").alias("buyer"))
+    edges = got.edges.filter("rel_type = 'buyer'").join(names, "target_id").select(F.col("source_id").alias("entity_id"), "buyer")
+    return got.entities.join(edges, "entity_id", "left").select("type", "identity_key", "display_name", "records", "buyer")
+
+
+@query("structured_first_answers", f"""with {INGEST_SQL}, q(qid, query) as (values (1, 'status is F and buyer_name: Customer#000000011'), (2, 'title = Order 7'), (3, 'was tion'), (4, 'title = Order x')),
+    hit as (select 1 as qid, o_orderkey, o_orderkey::varchar as id, o_orderstatus, c_custkey, c_name from o where lower(o_orderstatus) = 'f' and contains(lower(c_name), 'customer#000000011')
+        union all select 2, o_orderkey, o_orderkey::varchar, o_orderstatus, c_custkey, c_name from o where contains('order ' || o_orderkey, 'order 7')),
+    r as (select *, row_number() over (partition by qid order by id desc) as rank from hit)
+    select q.qid::bigint as qid, case when count(rank) > 0 then 'structured' else 'text' end as route, least(count(rank), 3)::bigint as structured_citations,
+        coalesce(string_agg('Order ' || o_orderkey, '|' order by rank) filter (rank <= 3), '') as named from q left join r on q.qid = r.qid and rank <= 5 group by q.qid""")
+def _(t):
+    got = structured.ingest(_order_texts(t), "orders")
+    known = got.entities.filter("type = 'OrderRecord'").withColumn("created_at", F.col("identity_key"))
+    asked = t.spark.createDataFrame([(1, "status is F and buyer_name: Customer#000000011"), (2, "title = Order 7"), (3, "was tion"), (4, "title = Order x")], "qid long, query string")
+    said = search.answer(t.small_chunks(), asked, known, corpus=t.index())
+    named = F.array_join(F.regexp_extract_all("answer", F.lit(r"(Order [0-9]+): \{"), F.lit(1)), "|")
+    mine = F.col("route") == "structured"
+    return said.select("qid", "route", F.when(mine, F.col("citation_count")).otherwise(0).alias("structured_citations"), F.when(mine, named).otherwise("").alias("named"))

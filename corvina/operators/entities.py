@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corvina.functions.text import canonical_identity
-from corvina.scratch import written
-
-#: Deepest ancestor chain followed; also what stops a cycle.
-MAX_DEPTH = 32
+from corvina.scratch import drop_written, written
 
 
 def upsert_latest(records: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -55,22 +52,42 @@ def spans(entities: DataFrame, most_fields: int = 50, most_chars: int = 500) ->
 
 
 def lineage(entities: DataFrame, start: DataFrame) -> DataFrame:
-    """entities(entity_id, parent_id), start(entity_id): the ancestors of every start, with their depth.
+    """entities(entity_id, parent_id), start(entity_id): the ancestors of every start, with their depth, at any depth.
 
-    One join per level, until a level is empty or the greatest depth is reached; each level is written, so that
-    any number of rows may climb (a recursive query stops at a fixed count). Only entities that exist are ancestors.
+    Pointer doubling: with the ancestors up to depth L and the L-th ancestor of every entity, one join gives those up to
+    2 L, so a chain takes as many rounds as its length has binary digits. An ancestor counts once, at its least depth, and
+    no start is its own: on a cycle the climb ends when a round finds nobody new. Only entities that exist are
+    ancestors. Each round is written and the one before it deleted.
     """
-    once = entities.select("entity_id", "parent_id").distinct()
-    up = once.join(once.select(F.col("entity_id").alias("parent_id")).distinct(), "parent_id").select(F.col("entity_id").alias("at"), F.col("parent_id").alias("above"))
-    up = written(up, "lineage-steps")
-    level = start.select(F.col("entity_id").alias("start_id"), F.col("entity_id")).distinct()
-    out = up.select(F.col("at").alias("start_id"), F.col("at").alias("entity_id"), F.lit(0).alias("depth")).limit(0)
-    for depth in range(1, MAX_DEPTH + 1):
-        level = written(level.join(up, level["entity_id"] == up["at"]).select("start_id", F.col("above").alias("entity_id")), "lineage-level")
-        if not level.head(1):
+    once = entities.select("entity_id", "parent_id").filter("parent_id is not null").distinct()
+    have = entities.select(F.col("entity_id").alias("parent_id")).distinct()
+    jump = written(once.join(have, "parent_id").select(F.col("entity_id").alias("at"), F.col("parent_id").alias("above")).filter("at <> above"), "lineage-jumps")
+    begin = start.select(F.col("entity_id").alias("start_id")).distinct().join(jump, F.col("start_id") == F.col("at"))
+    found, rows = _counted(begin.select("start_id", F.col("above").alias("entity_id"), F.lit(1).alias("depth")), "lineage")
+    length = 1
+    while rows:
+        on = found.join(jump, found["entity_id"] == jump["at"]).select("start_id", F.col("above").alias("entity_id"), (F.col("depth") + length).alias("depth"))
+        more = found.unionByName(on).filter("start_id <> entity_id").groupBy("start_id", "entity_id").agg(F.min("depth").alias("depth"))
+        new, now = _counted(more, "lineage")
+        drop_written(found)
+        found = new
+        if now == rows:
             break
-        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
-    return out
+        above = jump.select(F.col("at").alias("above"), F.col("above").alias("top"))
+        further, left = _counted(jump.join(above, "above").select("at", F.col("top").alias("above")).distinct(), "lineage-jumps")
+        drop_written(jump)
+        jump, rows, length = further, now, 2 * length
+        if not left:
+            break
+    drop_written(jump)
+    return found
+
+
+def _counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The written rows and their number, from one job."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
 
 
 def children(entities: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions.text import js_round, tokens
+from corvina.operators.selection import nearest_ranks
 
 #: Failure category by message keywords, in order of precedence, and whether a retry can help.
 FAILURES = [
@@ -24,13 +25,18 @@ GRADES = ["S", "A+", "A", "B", "C"]
 
 
 def latency(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """count, min, p50, p95, p99, max, mean; exact nearest-rank percentiles, two decimals."""
-    pct = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")
+    """count, min, p50, p95, p99, max, mean; exact nearest-rank percentiles, two decimals.
+
+    No group is gathered in a task: see :func:`corvina.operators.selection.nearest_ranks`.
+    """
     r2 = lambda c: js_round(c, 2)
-    return rows.groupBy(*keys).agg(
-        F.count(value).alias("count"), r2(F.min(value)).alias("min_ms"), r2(pct(0.5)).alias("p50_ms"), r2(pct(0.95)).alias("p95_ms"),
-        r2(pct(0.99)).alias("p99_ms"), r2(F.max(value)).alias("max_ms"), r2(F.avg(value)).alias("mean_ms"),
-    )
+    pct = nearest_ranks(rows, keys, value, {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+    agg = rows.groupBy(*keys).agg(F.count(value).alias("count"), r2(F.min(value)).alias("min_ms"), r2(F.max(value)).alias("max_ms"), r2(F.avg(value)).alias("mean_ms"))
+    right = pct.select(*[F.col(k).alias(f"_{k}") for k in keys], "p50_ms", "p95_ms", "p99_ms")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return agg.join(right, on, "left").select(*keys, "count", "min_ms", *[r2(F.col(c)).alias(c) for c in ("p50_ms", "p95_ms", "p99_ms")], "max_ms", "mean_ms")
 
 
 def stage_latency(rows: DataFrame, timings: str) -> DataFrame:
@@ -161,10 +167,10 @@ def latest_per_group(rows: DataFrame, keys: list[str], order: list[Column]) -> D
 
 
 def tail(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
-    """The last entries of each group, oldest first in the array."""
-    items = F.array_sort(F.collect_list(F.struct(*order)))
-    agg = rows.groupBy(key).agg(items.alias("history"))
-    return agg.select(key, F.slice("history", F.greatest(F.size("history") - most + 1, F.lit(1)), most).alias("history"))
+    """The last entries of each group, oldest first in the array. Only those leave their tasks' windows."""
+    last = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    kept = rows.select(key, *order).withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= most)
+    return kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("history"))
 
 
 def citation_f1(rows: DataFrame) -> DataFrame:

@@ -84,6 +84,85 @@ def test_clamped_pages(spark):
 
 def test_all_query_tokens_match_in_a_large_batch(spark):
     words = ["harbours", "moorings", "lanterns", "ferries", "rosters", "gauges"]
-    occurrences = lexical.occurrences(chunks(spark, words))
-    got = lexical.matches(occurrences, lexical.explode_queries(ask(spark, *words)), block=2).collect()
+    got = lexical.bm25(chunks(spark, words), ask(spark, *words)).collect()
     assert {(r.qid, r.chunk_id) for r in got} >= {(i + 1, f"c{i}") for i in range(6)}
+
+
+def vocabulary(rng, n):
+    """Random tokens with many near ones: edits, suffixes, and tokens within tokens."""
+    words = {"".join(rng.choice("abcde-1") for _ in range(rng.randint(2, 12))) for _ in range(n)}
+    for w in list(words):
+        k = rng.randrange(len(w))
+        words |= {w[:k] + w[k + 1 :], w[:k] + rng.choice("abc") + w[k:], w + rng.choice(["s", "ing", "ed", "ies", "abcd"]), w[::-1] + w}
+        k = rng.randrange(len(w))
+        words.add(w[:k] + rng.choice("ab") + w[k + 1 :] + rng.choice("cd"))
+    return sorted(w for w in words if len(w) >= 3 and w[0] != "-") + ["x" * 300, "x" * 299 + "y"]
+
+
+def test_near_tokens_by_keys_are_those_of_a_nested_loop(spark):
+    import random
+
+    from corvina.functions.text import similarity
+
+    words = vocabulary(random.Random(5), 250)
+    c = chunks(spark, [" ".join(words)])
+    corpus = lexical.index(c)
+    terms = spark.createDataFrame([(w,) for w in words[::3]] + [("x" * 301,), ("abc",), ("unknownword",)], "q string")
+    near = lexical.near_tokens(corpus, terms)
+    got = {(r.q, r.token, round(r.sim, 9)) for r in near.collect()}
+    loop = corpus.vocabulary.crossJoin(terms).withColumn("sim", similarity(F.col("q"), F.col("token"))).filter(F.col("sim") >= lexical.FUZZY)
+    assert got == {(r.q, r.token, round(r.sim, 9)) for r in loop.collect()} and len(got) > 1000
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    corpus.drop()
+
+
+def test_best_reads_few_blocks_and_agrees_with_all(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    words = vocabulary(rng, 60)
+    texts = [" ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(len(words))], k=rng.randint(0, 40))) for _ in range(400)] + [None, "", words[70] * 2 + " rarestword"]
+    texts[17] += " rarestword rarestword"
+    c = chunks(spark, texts)
+    monkeypatch.setattr(lexical, "BLOCK", 10)
+    corpus = lexical.index(c)
+    assert corpus.blocks == 41
+    asked = ask(spark, *[" ".join(rng.sample(words, 3)) for _ in range(6)], words[0], "rarestword", "", "nothing-like-it")
+    for fuzzy in (True, False):
+        for k in (1, 7):
+            rows = lambda df: sorted((r.qid, r["rank"], r.chunk_id, r.overlap, round(r.score, 9), tuple(r.terms)) for r in df.collect())
+            assert rows(lexical.best(corpus, asked, k, fuzzy)) == rows(lexical.top(lexical.bm25(corpus, asked, fuzzy), k))
+    scored = []
+    real = lexical._of_blocks
+    monkeypatch.setattr(lexical, "_of_blocks", lambda a, near, w, blocks: scored.append(blocks.count()) or real(a, near, w, blocks))
+    assert lexical.best(corpus, ask(spark, "rarestword " + words[0]), 1).count() == 1
+    assert sum(scored) <= 12
+    corpus.drop()
+
+
+def test_a_search_opens_few_files(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "FOLDER", 20)
+    monkeypatch.setattr(lexical, "FEW", 2)  # no row is held by the driver
+    words = [f"word{k}x{k * k}" for k in range(900)]
+    corpus = lexical.index(chunks(spark, [" ".join(words[k : k + 30]) for k in range(0, 900, 10)]))
+    near = lexical._near(corpus, lexical.explode_queries(ask(spark, words[3], words[400], words[700])), False)
+    read = lexical._within(corpus.postings, corpus.folders[0], near, "token")
+    assert lexical.matches(corpus, near).count() == 9 - 2
+    opened = [p for p in read._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in p]
+    assert opened and read.select("folder").distinct().count() <= 3 < 0.1 * corpus.postings.select("folder").distinct().count()
+    corpus.drop()
+
+
+def test_scratch_is_empty_after_clear(spark, tmp_path, monkeypatch):
+    import os
+
+    from corvina import scratch
+
+    scratch.clear(spark)
+    monkeypatch.setattr(scratch, "_root", lambda spark: f"file://{tmp_path}")
+    c = chunks(spark, ["tidal gauges", "pilot rosters"])
+    search.cited_search(c, ask(spark, "gauges")).collect()
+    assert os.listdir(tmp_path)
+    scratch.clear(spark)
+    assert not os.listdir(tmp_path)
