@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from corvina.functions import text as T
 from corvina.model import Tables
-from corvina.operators import boundaries, chunking, citations, control, entities, fusion, lexical, metrics, resolution, themes, vector
+from corvina.operators import boundaries, chunking, citations, control, embedding, entities, fusion, lexical, metrics, resolution, seams, themes, vector
 from corvina.plans import legacy, search, structured
 from corvina.scratch import scratch
-from corvina.sources import manifest, parsers, records
+from corvina.sources import filings, manifest, objects, parsers, records
 from corvina.streaming import ingest, jobs
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,14 +270,7 @@ HYBRID_SQL = f"""with {PROBE_SQL}, {FUZZY_BODY},
 
 @query("hybrid_rrf", HYBRID_SQL)
 def _(t):
-    chunks = t.small_chunks()
-    vectors = chunks.select("chunk_id", vector.hashing_embedder(F.col("content")).alias("v")).filter(F.aggregate("v", F.lit(0.0), lambda a, x: a + x) > 0)
-    asked = probes(t).select("qid", vector.hashing_embedder(F.col("query")).alias("q"))
-    scored = vectors.join(F.broadcast(asked)).select("qid", "chunk_id", F.round(vector.cosine(F.col("v"), F.col("q")), 9).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    sem = scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 20")
-    lex = lexical.best(t.index(), probes(t), 20)
-    return fusion.rrf({"lexical": lex, "semantic": sem}, 10).select("qid", "chunk_id", F.round("score", 6).alias("score"))
+    return search.fused(t.small_chunks(), probes(t), 10, 20, t.index()).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("crosskind_rrf", f"with {PROBE_SQL}, {FUZZY_BODY}, " + """lists as (select qid, chunk_id, rank from ranked where rank <= 10 union all select qid, chunk_id, row_number() over (partition by qid order by doc_id) as rank from (select * from ranked where rank <= 10)
@@ -401,8 +394,13 @@ def _(t):
 
 @query("structured_field_filter", "select c_custkey as entity_id from customer where lower(c_mktsegment) like '%build%' and contains(lower(c_name), '7')")
 def _(t):
-    ent = t.customer.select(F.col("c_custkey").alias("entity_id"), F.create_map(F.lit("Mkt_Segment"), "c_mktsegment", F.lit("name"), "c_name").alias("fields"))
-    return entities.field_filter(ent, [("mkt segment", "BUILD"), ("name", "7")]).select("entity_id")
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    known = t.customer.select(
+        F.col("c_custkey").alias("entity_id"), F.lit("").alias("identity_key"), F.col("c_name").alias("display_name"),
+        F.create_map(F.lit("Mkt_Segment"), quoted("c_mktsegment"), F.lit("name"), quoted("c_name")).alias("fields"), F.col("c_custkey").alias("created_at"),
+    )
+    asked = t.spark.createDataFrame([(1, "mkt segment: BUILD, name = 7")], "qid long, question string")
+    return structured.structured_search(asked, known, t.customer.count()).select("entity_id")
 
 
 @query("entity_search", """select c_custkey as entity_id from customer join nation on c_nationkey = n_nationkey where contains(lower(c_name || ' ' || n_name || ' ' || c_mktsegment), 'machin') or contains(lower(c_name || ' ' || n_name || ' ' || c_mktsegment), '42')
@@ -916,12 +914,12 @@ def _(t):
     return control.merge_parses(a, b, "p_partkey").withColumn("documents", F.size("documents"))
 
 
-@query("conversion_policy", r"""select page_id, m as mode, case m when 'always' then true when 'auto' then page_id % 4 = 0 or page_id % 5 = 0 or len(list_filter(regexp_split_to_array(substr(html, 1, (page_id % 90)::int), '\s+'), lambda w: w <> '')) < 8 else false end as wanted
+@query("conversion_policy", r"""select page_id, m as mode, case m when 'always' then true when 'auto' then page_id % 4 = 0 or page_id % 5 = 0 or len(list_filter(regexp_split_to_array(html, '\s+'), lambda w: w <> '')) < 8 else false end as wanted
     from pages, (values ('always'), ('auto'), ('off')) v(m)""")
 def _(t):
     rows = t.pages.withColumn("mode", F.explode(F.array(F.lit("always"), F.lit("auto"), F.lit("off"))))
     name, found = F.when(F.col("page_id") % 4 == 0, "scan.PNG").otherwise("page.html"), F.when(F.col("page_id") % 5 == 0, 0).otherwise(2)
-    return rows.select("page_id", "mode", control.conversion_wanted(F.col("mode"), name, found, F.substring("html", F.lit(1), (F.col("page_id") % 90).cast("int"))).alias("wanted"))
+    return rows.select("page_id", "mode", control.conversion_wanted(F.col("mode"), name, found, F.col("html")).alias("wanted"))
 
 
 @query("citation_overlap", f"""with e as (select item_id, {SPARSE.format('b.text')} as a, {TOK.format('d.text')} as ev, length(d.text) as n from benchmark b join documents d on d.doc_id = b.item_id), o as (select item_id, n, len(list_distinct(a)) as all_tokens, len(list_intersect(list_distinct(a), list_distinct(ev))) as hit from e)
@@ -957,9 +955,8 @@ def _(t):
 
 @query("entity_results", """select 'c' || c_custkey as document_id, round(1 / row_number() over (order by c_acctbal desc, c_custkey), 9) as score, (row_number() over (order by c_acctbal desc, c_custkey))::int as rank, '{"name":"' || c_name || '"}' as content from customer qualify rank <= 50""")
 def _(t):
-    known = t.customer.orderBy(F.desc("c_acctbal"), "c_custkey").limit(50)
-    ent = known.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("entity_id"), F.create_map(F.lit("name"), "c_name").alias("fields"), "c_acctbal", "c_custkey")
-    return control.entity_results(ent, [F.desc("c_acctbal"), F.col("c_custkey")]).withColumn("score", F.round("score", 9))
+    ent = t.customer.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("entity_id"), F.create_map(F.lit("name"), "c_name").alias("fields"), "c_acctbal", "c_custkey")
+    return control.entity_results(ent, [F.desc("c_acctbal"), F.col("c_custkey")], 50).withColumn("score", F.round("score", 9))
 
 
 @query("cache_ttl", "select user_id, count(*) as live from events where ts + interval 300 second > (select max(ts) from events) - interval 1 day group by user_id")
@@ -1156,3 +1153,107 @@ def _(t):
     named = F.array_join(F.regexp_extract_all("answer", F.lit(r"(Order [0-9]+): \{"), F.lit(1)), "|")
     mine = F.col("route") == "structured"
     return said.select("qid", "route", F.when(mine, F.col("citation_count")).otherwise(0).alias("structured_citations"), F.when(mine, named).otherwise("").alias("named"))
+
+
+# Embedding, uploads, filings, evaluations ----------------------------------------------------------
+
+_OFFLINE = embedding.Resolved(embedding.Profile("base", "base", 64, "hashing"), "hashing", "offline", 64)
+
+
+@query("embedding_cache_fill", f"""with v as (select doc_id, {HASHED.format('text')} as v from documents) select doc_id, list_sum(v) as tokens, len(list_filter(v, lambda x: x > 0)) as used, v[8] as eighth from v""")
+def _(t):
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    _, cache = embedding.embed(rows.filter("id % 2 = 0"), _OFFLINE)
+    made, _ = embedding.embed(rows, _OFFLINE, cache=cache)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return made.select(F.col("id").alias("doc_id"), total.alias("tokens"), F.size(F.filter("vector", lambda x: x > 0)).cast("long").alias("used"), F.get("vector", F.lit(7)).alias("eighth"))
+
+
+@query("vector_ingest", """with c as (select vec_id, 'd' || label as document_id, coalesce(case when vec_id % 3 = 0 then vec_id end, row_number() over (partition by label order by vec_id) - 1) as chunk_index from embeddings)
+    select document_id, count(*) as chunks, max(chunk_index)::bigint as last_index, document_id not in ('d0', 'd1') as created from c group by document_id""")
+def _(t):
+    document = F.concat(F.lit("d"), "label")
+    chunks = t.embeddings.select(
+        F.col("label").alias("request"), F.col("vec_id").alias("pos"), F.concat(F.lit("v"), "vec_id").alias("id"), document.alias("document_id"), F.lit("text").alias("content"), "embedding",
+        F.when(F.col("vec_id") % 3 == 0, F.col("vec_id")).alias("chunk_index"), F.lit(None).cast("string").alias("document_content"),
+    )
+    have = t.spark.createDataFrame([("d0",), ("d1",)], "document_id string")
+    good, new, _ = embedding.vector_chunks(chunks, have, 64)
+    count = good.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("chunk_index").cast("long").alias("last_index"))
+    return count.join(new.select("document_id", F.lit(True).alias("created")), "document_id", "left").withColumn("created", F.coalesce("created", F.lit(False)))
+
+
+@query("upload_parse", S["html_strip"].replace("select page_id, regexp_replace(x, '^\\s+|\\s+$', '', 'g') as text from d", "select page_id, 'html' as parser, sha256(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) as digest from d"))
+def _(t):
+    name = F.concat(F.lit("page"), F.col("page_id"), F.when(F.col("page_id") % 3 == 0, ".html").when(F.col("page_id") % 3 == 1, "").otherwise(".bin"))
+    files = t.pages.select(name.alias("path"), F.when(F.col("page_id") % 3 != 0, "text/html; charset=utf-8").alias("mime"), F.encode("html", "UTF-8").alias("content"))
+    done = parsers.parse_files(files)
+    return done.select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("page_id"), "parser", F.sha2("content", 256).alias("digest"))
+
+
+@query("filing_import", """with wanted(pos, cik) as (values (1, 7), (2, 3), (3, 11)),
+    r as (select w.pos as company, o_orderkey, lpad(o_custkey::varchar, 10, '0') as cik, o_custkey, o_orderpriority as form, o_orderdate::date as d, row_number() over (partition by o_custkey, o_orderpriority order by o_orderdate desc, o_orderkey) as r
+        from orders join wanted w on w.cik = o_custkey where o_orderpriority in ('1-URGENT', '2-HIGH', '5-LOW') and o_orderdate >= timestamp '2001-12-31' - interval 2000 day)
+    select cik, form, 'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/' || o_orderkey || '/doc.htm' as url, regexp_replace(case o_custkey when 11 then 'XYZ' else cik end || '_' || form || '_' || d || '_' || o_orderkey || '_doc.htm', '[^A-Za-z0-9_.-]+', '_', 'g') as filename
+    from r where r <= 2""")
+def _(t):
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
+    rows = t.orders.select(
+        F.col("o_custkey").alias("cik"), place.alias("pos"), F.col("o_orderpriority").alias("form"), F.col("o_orderdate").cast("date").alias("filing_date"), F.col("o_orderkey").cast("string").alias("accession"), F.lit("doc.htm").alias("primary_document")
+    )
+    asked = t.spark.createDataFrame([(1, None, "CIK 7"), (2, None, "3"), (3, "xyz", None), (4, "nobody", None)], "pos int, ticker string, cik string")
+    wanted = filings.companies(asked, t.spark.createDataFrame([("XYZ", 11, None)], "ticker string, cik_str long, title string"))
+    return filings.select_filings(rows, wanted, ["1-URGENT", "2-HIGH", "5-LOW"], 2000, F.lit("2001-12-31").cast("timestamp"), 2).select("cik", "form", "url", "filename")
+
+
+@query("object_store_put", """select source as domain, count(distinct sha256(text)) as objects, count(*) as pointers, sum(octet_length(encode(text)))::bigint as bytes_named from documents group by source""")
+def _(t):
+    files = t.documents.select(F.lit("p").alias("project"), F.col("source").alias("domain"), F.concat(F.lit("f"), F.col("doc_id"), F.lit(".txt")).alias("filename"), F.encode("text", "UTF-8").alias("content"))
+    stored, _ = objects.put(files.filter("filename < 'f5'"))
+    stored, pointers = objects.put(files, stored)
+    return pointers.groupBy("domain").agg(F.countDistinct("object_key").alias("objects"), F.count(F.lit(1)).alias("pointers"), F.sum("bytes").alias("bytes_named"))
+
+
+@query("query_eval", f"""with e as (select b.item_id, {SPARSE.format('b.text')} as a, {SPARSE.format("d.text")} as ev, b.item_id % 4 as c, contains(lower(d.text), lower(b.text)) as hit from benchmark b join documents d on d.doc_id = b.item_id),
+    n as (select *, len(list_distinct(a)) as n, len(list_intersect(list_distinct(a), list_distinct(ev))) as ok from e),
+    s as (select *, case when n > 0 then floor(ok / n * 1000 + 0.5) / 1000 end as coverage from n)
+    select count(*) as cases, round(avg(hit::int), 6) as hit_rate, round(avg((c > 0)::int), 6) as citation_rate, round(avg((n > 0 and c > 0 and coverage >= 0.65)::int), 6) as faithfulness_rate, round(avg(coverage), 6) as avg_faithfulness,
+        round(avg(n - ok), 6) as avg_unsupported_tokens, count(*) filter (c = 1) as judged, coalesce(count(*) filter (c = 1 and n > 0) / nullif(count(*) filter (c = 1), 0), 0.0) as judge_support_rate, round(avg(case when c = 1 then 0.5 end), 6) as avg_judge_score from s""")
+def _(t):
+    both = t.benchmark.join(t.documents.select(F.col("doc_id").alias("item_id"), F.col("text").alias("evidence")), "item_id")
+    cases = both.select(
+        F.col("item_id").alias("id"), F.lower("evidence").contains(F.lower("text")).alias("hit"), F.concat("text", F.lit(" [1]")).alias("answer"), (F.col("item_id") % 4).alias("citation_count"), "evidence",
+        F.lit(1.0).alias("latency_ms"), F.when(F.col("item_id") % 4 == 1, F.struct(F.lit("supported").alias("status"), F.lit(0.5).alias("score"))).alias("judged"),
+    )
+    out = metrics.query_eval(cases)
+    return out.select("cases", "judged", "judge_support_rate", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("cases", "judged", "judge_support_rate")])
+
+
+@query("benchmark_runs", f"""with s as (select event_type as run, value as client_ms, value / 2 as server_ms, user_id % 3 = 0 as hit from events where user_id % 10 > 0)
+    select run, count(*) as samples, count(*) filter (hit) as cache_hits, round(avg(hit::int), 6) as cache_hit_rate, {R2.format('quantile_disc(client_ms, 0.95)')} as client_p95_ms, {R2.format('quantile_disc(server_ms, 0.5)')} as server_p50_ms from s group by run""")
+def _(t):
+    rows = t.events.select(F.col("event_type").alias("run"), F.col("value").alias("client_ms"), (F.col("value") / 2).alias("server_ms"), F.when(F.col("user_id") % 3 == 0, "hit").otherwise("miss").alias("cache"), (F.col("user_id") % 10 == 0).alias("warmup"))
+    return metrics.benchmark(rows).select("run", "samples", "cache_hits", F.round("cache_hit_rate", 6).alias("cache_hit_rate"), "client_p95_ms", "server_p50_ms")
+
+
+@query("neural_rerank", FUZZY_SQL + f""", r as (select ranked.*, {TOK.format('substr(text, 1, 4000)')} as content_toks, list_distinct({SPARSE.format('query')}) as q from ranked join probes using (qid) join documents using (doc_id) where rank <= 20),
+    m as (select qid, chunk_id, score, rank, len(list_intersect(q, list_distinct(content_toks))) / len(q) as model_score from r)
+    select qid::bigint as qid, chunk_id, round(model_score, 9) as score, (row_number() over (partition by qid order by model_score desc, rank))::int as rank, round(score, 6) as retrieval_score from m qualify row_number() over (partition by qid order by model_score desc, rank) <= 10""")
+def _(t):
+    top = lexical.best(t.index(), probes(t), 20).drop("terms").join(t.small_chunks().select("chunk_id", "content"), "chunk_id").join(probes(t), "qid")
+    return seams.neural_rerank(top, 10).select("qid", "chunk_id", F.round("score", 9).alias("score"), "rank", F.round("retrieval_score", 6).alias("retrieval_score"))
+
+
+@query("answer_verdicts", f"""with e as (select b.item_id, list_distinct({SPARSE.format('b.text')}) as a, {TOK.format("substr(d.text, 1, 6000)")} as ev from benchmark b join documents d on d.doc_id = b.item_id),
+    s as (select item_id, case when len(a) > 0 then len(list_intersect(a, list_distinct(ev))) / len(a) else 0.0 end as s from e)
+    select item_id as id, case when s >= 0.65 then 'supported' when s >= 0.35 then 'partial' else 'unsupported' end as status, round(s, 9) as score from s""")
+def _(t):
+    both = t.benchmark.join(t.documents.select(F.col("doc_id").alias("item_id"), F.col("text").alias("evidence")), "item_id")
+    return seams.verdicts(both.select(F.col("item_id").alias("id"), F.lit("what?").alias("question"), F.col("text").alias("answer"), "evidence")).select("id", "status", F.round("score", 9).alias("score"))
+
+
+@query("schema_views", f"with {INGEST_SQL} select o_orderstatus as status, c_name as buyer, count(*) as orders, max(o_orderkey) as newest from o group by all")
+def _(t):
+    got = structured.ingest(_order_texts(t), "orders")
+    orders, buyers = structured.typed_views(got, "ingested_")
+    return t.spark.sql(f"select o.status, b.buyer_name as buyer, count(*) as orders, max(o.id) as newest from {orders} o join {buyers} b on o.buyer_id = b.buyer_id group by all")

@@ -165,9 +165,12 @@ def intent(question: Column) -> Column:
     return out.otherwise("lookup")
 
 
-def entity_results(entities: DataFrame, order: list[Column]) -> DataFrame:
-    """Ranked entities as search results: content is the JSON of their fields, the score falls with the rank."""
-    ranked = entities.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def entity_results(entities: DataFrame, order: list[Column], k: int = 100) -> DataFrame:
+    """The first k entities as search results: content is the JSON of their fields, the score falls with the rank.
+
+    Every task keeps its own first k, so the ranking runs over a few rows.
+    """
+    ranked = entities.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     return ranked.select(F.col("entity_id").alias("document_id"), F.to_json("fields").alias("content"), (1 / F.col("rank")).alias("score"), "rank")
 
 

@@ -24,20 +24,6 @@ def search(entities: DataFrame, terms: list[str], k: int, text_cols: list[str])
     return entities.filter(hit).orderBy(F.desc("created_at"), "entity_id").limit(max(1, min(k, 100)))
 
 
-def field_filter(entities: DataFrame, filters: list[tuple[str, str]]) -> DataFrame:
-    """entities(entity_id, fields map): every filter must hold; names ignore punctuation, strings equal or contain."""
-    out = entities
-    for name, value in filters:
-        want, low = "".join(c for c in name.lower() if c.isalnum()), value.lower()
-        out = out.filter(
-            F.exists(
-                F.map_entries("fields"),
-                lambda e: (F.regexp_replace(F.lower(e["key"]), "[^a-z0-9]", "") == want) & (F.lower(e["value"]).contains(low)),
-            )
-        )
-    return out
-
-
 def mentions(mention_rows: DataFrame, files: DataFrame) -> DataFrame:
     """Mentions with their file's name; an inner equi-join."""
     return mention_rows.join(files, "file_id")

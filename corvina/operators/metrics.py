@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions.text import js_round, tokens
+from corvina.operators.citations import support
 from corvina.operators.selection import nearest_ranks
 
 #: Failure category by message keywords, in order of precedence, and whether a retry can help.
@@ -197,3 +198,31 @@ def passage_hits(passages: DataFrame, texts: DataFrame, block: int = 1000) -> Da
         some = short.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n)
         hit = hit.unionByName(texts.join(F.broadcast(some), F.col("text").contains(F.col("passage"))).select("id"))
     return passages.join(hit.distinct().withColumn("hit", F.lit(True)), "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+def query_eval(cases: DataFrame) -> DataFrame:
+    """One row of rates over answered cases(id, hit, answer, citation_count, evidence, latency_ms, judged): hits, citations, faithfulness, judge.
+
+    An answer is cited if it has citations and points at one; its faithfulness is the share of its words that the evidence
+    has. judged(status, score) is the model's verdict where one was asked for, else null.
+    """
+    quality = F.when(F.col("citation_count") >= 0, support(F.col("answer"), F.col("evidence"), F.col("citation_count")))
+    rows = cases.withColumn("s", quality).withColumn("cited", (F.col("citation_count") > 0) & F.col("answer").rlike(r"\[\d+\]"))
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    missing = F.col("s.answer_tokens") - F.col("s.supported_tokens")
+    return rows.agg(
+        F.count(F.lit(1)).alias("cases"), share(F.col("hit")).alias("hit_rate"), share(F.col("cited")).alias("citation_rate"), share(F.col("s.status") == "supported").alias("faithfulness_rate"),
+        F.avg("s.coverage").alias("avg_faithfulness"), F.avg(missing).alias("avg_unsupported_tokens"), F.count("judged").alias("judged"),
+        F.coalesce(F.try_divide(F.count_if(F.col("judged.status") == "supported"), F.count("judged")), F.lit(0.0)).alias("judge_support_rate"), F.avg("judged.score").alias("avg_judge_score"),
+    )
+
+
+def benchmark(samples: DataFrame) -> DataFrame:
+    """samples(run, client_ms, server_ms, cache, warmup) per run: counts, both latencies, and how often a cache answered. Warm-up passes don't count."""
+    real = samples.filter(~F.coalesce("warmup", F.lit(False)))
+    hits = real.groupBy("run").agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("cache") == "hit").alias("cache_hits"))
+    out = hits.withColumn("cache_hit_rate", F.col("cache_hits") / F.col("samples"))
+    for side in ("client", "server"):
+        of = latency(real, ["run"], f"{side}_ms")
+        out = out.join(of.select("run", *[F.col(c).alias(f"{side}_{c}") for c in ("p50_ms", "p95_ms", "p99_ms", "max_ms", "mean_ms")]), "run")
+    return out

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import io
+import json
 import re
 import zipfile
 import zlib
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvina.sources.records import records_of
+
 from corvina.functions.text import MARKDOWN_TABLE
 
 Docs = list[tuple[str, str]]  # (external id suffix, content)
@@ -183,32 +186,102 @@ PARSERS: dict[str, tuple[str, Callable[[bytes], Docs]]] = {
 }
 
 
-def parse_file(path: str, raw: bytes) -> tuple[str, Docs, list[str]]:
-    """(parser, documents, warnings); a broken file yields a warning, never an exception."""
-    name, parser = PARSERS.get(path.rsplit(".", 1)[-1].lower(), ("text", parse_text))
+#: Media types that tell a format where the file name doesn't, and extensions of structured text.
+MEDIA = {
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx", "application/pdf": "pdf",
+}
+STRUCTURED = {"txt", "md", "markdown", "csv", "tsv", "json", "jsonl", "ndjson", "xml", "yaml", "yml", "log"}
+#: Formats that only an external converter reads, by extension and by part of the media type.
+CONVERTED = {"png", "jpg", "jpeg", "webp", "gif", "bmp", "tif", "tiff", "heic", "svg", "ods", "odt", "odp", "numbers", "xls", "xlsm", "xlsb"}
+CONVERTED_MEDIA = ("image/", "opendocument", "vnd.apple.numbers", "application/vnd.ms-excel", "sheet.macroenabled", "sheet.binary")
+
+#: Takes a file's name and bytes and returns markdown, or nothing.
+Converter = Callable[[str, bytes], str | None]
+
+
+def format_of(path: str, mime: str | None = None) -> str:
+    """The parser's name for a file: by its extension, else by its media type."""
+    end, mime = _extension(path), (mime or "").split(";")[0].strip().lower()
+    if end in PARSERS:
+        return end
+    if mime in MEDIA:
+        return MEDIA[mime]
+    return "html" if "html" in mime else "text"
+
+
+def _extension(path: str) -> str:
+    name = path.rsplit("/", 1)[-1]
+    return name.rsplit(".", 1)[-1].lower() if "." in name else ""
+
+
+def parse_file(path: str, raw: bytes, mime: str | None = None) -> tuple[str, Docs, list[str]]:
+    """(parser, documents, warnings); a broken file yields a warning, never an exception.
+
+    Text that holds records becomes a document a record.
+    """
+    kind = format_of(path, mime)
+    structured = _extension(path) in STRUCTURED or (mime or "").startswith("text/")
+    name, parser = PARSERS.get(kind, ("text", parse_text) if structured or not mime else ("text-fallback", parse_text))
     try:
-        return name, parser(raw), []
+        docs = parser(raw)
+        if kind in ("text", "html", "htm") and len(docs) == 1 and _may_hold_records(path, mime, docs[0][1]) and (found := records_of(docs[0][1])):
+            docs = [(f"record:{k}", json.dumps(r, sort_keys=True, ensure_ascii=False)) for k, r in enumerate(found)]
+        return name, docs, []
     except Exception as e:  # noqa: BLE001  any malformed file
         return name, [], [f"{name}: {type(e).__name__}"]
 
 
-def needs_conversion(mode: str, documents: int, words: int, image_like: bool) -> bool:
-    """Whether an external converter should see the file."""
-    return mode == "always" or mode == "auto" and (image_like or documents == 0 or words < 8)
+def _may_hold_records(path: str, mime: str | None, text: str) -> bool:
+    """Whether a text is looked at as records: a table by its type, or JSON by its first character. Prose with commas is no table."""
+    return _extension(path) in ("csv", "tsv", "json", "jsonl", "ndjson") or "csv" in (mime or "").lower() or text[:1] in ("[", "{")
+
+
+def only_converted(path: str, mime: str | None = None) -> bool:
+    mime = (mime or "").lower()
+    return _extension(path) in CONVERTED or any(m in mime for m in CONVERTED_MEDIA)
+
+
+def needs_conversion(mode: str, documents: int, words: int, path: str, mime: str | None = None) -> bool:
+    """Whether an external converter should see the file: never, for every format it reads, or where the local parse found too little."""
+    only = only_converted(path, mime)
+    if mode in ("never", "off", "false") or not (only or format_of(path, mime) in ("pdf", "docx", "html", "htm")):
+        return False
+    return mode == "always" or only or documents == 0 or words < 8
+
+
+def parse_files(files: DataFrame, mode: str = "never", convert: Converter | None = None) -> DataFrame:
+    """binaryFile rows (path, content, and mime if there is one) to path, content_hash, parser, doc_index, external_id, content, warning.
 
+    Where the policy asks for it and there is a converter, its markdown joins the local parse: its text, then its tables, what both
+    found only once. A file that both leave empty is a row with a warning.
+    """
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """binaryFile rows to path, content_hash, parser, doc_index, external_id, content, warning."""
+    def both(path: str, raw: bytes, mime: str | None) -> tuple[str, Docs, list[str]]:
+        parser, docs, warnings = parse_file(path, raw, mime)
+        words = sum(len(re.findall(r"[^\W_][\w'-]*", c)) for _, c in docs)
+        if not needs_conversion(mode, len(docs), words, path, mime):
+            return parser, docs, warnings
+        if convert is None:
+            return parser, docs, [*warnings, "no converter"]
+        try:
+            text = normalize(convert(path, raw) or "")
+        except Exception as e:  # noqa: BLE001  the converter is foreign code
+            return parser, docs, [*warnings, f"converter: {type(e).__name__}"]
+        more = [("converted", text), *((f"table:{k}", t) for k, t in enumerate(markdown_tables(text), 1))] if text else []
+        have = {c for _, c in docs}
+        return f"{parser}+converted" if more else parser, docs + [d for d in more if d[1] not in have], warnings if more else [*warnings, "converter: no text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for path, digest, raw in zip(b["path"], b["content_hash"], b["content"]):
-                parser, docs, warnings = parse_file(path, bytes(raw))
+            for path, digest, mime, raw in zip(b["path"], b["content_hash"], b["mime"], b["content"]):
+                parser, docs, warnings = both(path, bytes(raw or b""), mime)
                 rows += [(path, digest, parser, k, f"{path}:{s}", c, None) for k, (s, c) in enumerate(docs)] or [(path, digest, parser, 0, None, None, "; ".join(warnings) or "no text")]
             yield pd.DataFrame(rows, columns=["path", "content_hash", "parser", "doc_index", "external_id", "content", "warning"])
 
-    hashed = files.select("path", F.sha2("content", 256).alias("content_hash"), "content")
+    mime = F.col("mime") if "mime" in files.columns else F.lit(None).cast("string")
+    hashed = files.select("path", F.sha2("content", 256).alias("content_hash"), mime.alias("mime"), "content")
     return hashed.mapInPandas(run, "path string, content_hash string, parser string, doc_index int, external_id string, content string, warning string")
 
 

@@ -131,3 +131,13 @@ def test_themes(spark):
     assert sum(r.n_entities for r in rows) == len(got) and all(sum(r.by_type.values()) == r.n_entities and 1 <= len(r.leads) <= 3 for r in rows)
     assert sum(r.weight for r in rows) == sum(w for a, b, w in edges if got[a] == got[b])
     assert themes.communities(df.limit(0)).collect() == []
+
+
+def test_themes_of_the_test_tables(spark):
+    from corvina import catalog
+    from corvina.model import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    edges = catalog._supply(t)
+    got = {r.node: r.community for r in themes.communities(edges).collect()}
+    assert got == plain_communities([tuple(r) for r in edges.collect()], themes.ROUNDS, themes.LEVELS)
