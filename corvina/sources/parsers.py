@@ -270,7 +270,8 @@ def parse_files(files: DataFrame, mode: str = "never", convert: Converter | None
             return parser, docs, [*warnings, f"converter: {type(e).__name__}"]
         more = [("converted", text), *((f"table:{k}", t) for k, t in enumerate(markdown_tables(text), 1))] if text else []
         have = {c for _, c in docs}
-        return f"{parser}+converted" if more else parser, docs + [d for d in more if d[1] not in have], warnings if more else [*warnings, "converter: no text"]
+        added = [d for d in more if d[1] not in have]
+        return f"{parser}+converted" if added else parser, docs + added, warnings if more else [*warnings, "converter: no text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -47,7 +47,7 @@ def test_job_history(spark, tmp_path):
     for r in sorted(rows, key=lambda r: (r.job_id, r.seq)):
         got.setdefault(r.job_id, []).append((int((r.at - T0).total_seconds()), r.event, r.status, r.stage, r.attempts))
     assert got == {
-        "a": [(0, "done", "running", "index", 0), (60, "done", "running", "extract", 0), (200, "done", "succeeded", "extract", 0), (300, "failed", "ignored", "extract", 0)][:3] + [(300, "ignored", "succeeded", "extract", 0)],
+        "a": [(0, "done", "running", "index", 0), (60, "done", "running", "extract", 0), (200, "done", "succeeded", "extract", 0), (300, "ignored", "succeeded", "extract", 0)],
         # The delay after the first failure is ten seconds.
         "b": [(1, "done", "running", "index", 0), (2, "failed", "waiting", "index", 1), (12, "retry", "running", "index", 1)],
         "c": [(3, "failed", "waiting", "parse", 1), (13, "retry", "running", "parse", 1), (61, "failed", "waiting", "parse", 2), (81, "retry", "running", "parse", 2), (201, "failed", "dead_letter", "parse", 3)],
@@ -79,7 +79,7 @@ def test_manifest(spark, tmp_path):
         (urls[0], "b_c.pdf", "application/pdf", 4, b"%PDF", ""), (urls[1], "index.html", "text/html", 9, content[1], ""), (urls[2], "readme.txt", "text/plain", 0, b"", ""),
         (urls[3], "notes.md", "text/markdown", 6, b"# kept", ""), (urls[4], None, None, None, None, "FileNotFoundError"), (None, "index.html", "text/html", 1, b"x", ""),
         (urls[6], "big.txt", "text/plain", 50, None, "larger than 40 bytes"),
-    ] or got[2][4] is None
+    ]
 
 
 def test_telemetry_sink(spark, tmp_path):
@@ -151,7 +151,7 @@ def test_approximate_top_k(spark):
     v = spark.createDataFrame(rows, "id long, vector array<double>").repartition(6)
     q = v.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("query_vector"))
     index = vector.inverted_lists(v, 32)
-    assert index.rows.count() == 3700 and len(index.centroids) == round(3704**0.5) or len(index.centroids) == 61
+    assert index.rows.count() == 3700 and len(index.centroids) == 61
     pairs = lambda df: {(r.qid, r.id) for r in df.collect()}
     exact = pairs(vector.top_k(v, q, 10))
     assert len(pairs(vector.approximate_top_k(index, q, 10)) & exact) >= 0.95 * len(exact)
