@@ -102,6 +102,8 @@ def vocabulary(rng, n):
 def test_near_tokens_by_keys_are_those_of_a_nested_loop(spark):
     import random
 
+    from corvina.operators import vector
+
     from corvina.functions.text import similarity
 
     words = vocabulary(random.Random(5), 250)
@@ -120,6 +122,8 @@ def test_near_tokens_by_keys_are_those_of_a_nested_loop(spark):
 def test_best_reads_few_blocks_and_agrees_with_all(spark, monkeypatch):
     import random
 
+    from corvina.operators import vector
+
     rng = random.Random(9)
     words = vocabulary(rng, 60)
     texts = [" ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(len(words))], k=rng.randint(0, 40))) for _ in range(400)] + [None, "", words[70] * 2 + " rarestword"]
@@ -166,3 +170,28 @@ def test_scratch_is_empty_after_clear(spark, tmp_path, monkeypatch):
     assert os.listdir(tmp_path)
     scratch.clear(spark)
     assert not os.listdir(tmp_path)
+
+
+def test_top_k_of_blocks_equals_scores_in_order(spark):
+    import math
+    import random
+
+    from corvina.operators import vector
+
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(6)]) for i in range(900)]
+    rows += [(900 + i, v) for i, (_, v) in enumerate(rows[:300])] + [(2000, [1e200] * 6), (2001, [0.0] * 6), (2002, [1.0, 2.0]), (2003, [float("nan")] * 6), (2004, None)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>").repartition(5)
+    q = v.filter("id % 50 = 0").selectExpr("id as qid", "vector as query_vector")
+    size = lambda x: math.sqrt(sum(a * a for a in x))
+    good = {i: x for i, x in rows if i < 2000 and any(x)}
+    for digits in (None, 3):
+        want = set()
+        for i in (i for i in good if i % 50 == 0):
+            scored = [(sum(a * b for a, b in zip(good[i], x)) / (size(x) * size(good[i])), j) for j, x in good.items()]
+            scored = [(s if digits is None else math.copysign(math.floor(abs(s) * 10**digits + 0.5) / 10**digits, s), j) for s, j in scored]
+            want |= {(i, j, r) for r, (s, j) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:7], 1)}
+        found = vector.top_k(v.filter("id <> 2000"), q.filter("qid <> 2000"), 7, digits=digits)
+        assert {(r.qid, r.id, r["rank"]) for r in found.collect()} == want
+    # No pair is an evaluated row of the plan: blocks are.
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
