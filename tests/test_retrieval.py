@@ -195,3 +195,24 @@ def test_top_k_of_blocks_equals_scores_in_order(spark):
         assert {(r.qid, r.id, r["rank"]) for r in found.collect()} == want
     # No pair is an evaluated row of the plan: blocks are.
     assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    texts = [f"harbour word{i} mooring{i % 7} ferries" for i in range(300)]
+    monkeypatch.setattr(lexical, "SORTED", 20)
+    monkeypatch.setattr(lexical, "FOLDER", 20)
+    rows = lexical._dealt(lexical.counts(chunks(spark, texts)), "token", "chunk_id", 50, 300, 1200)
+    assert rows.rdd.getNumPartitions() == 60 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = lexical.index(chunks(spark, texts))
+    assert made.postings.count() == 1200 and len({f.rsplit("/", 1)[0] for f in made.postings.inputFiles()}) > 4
+
+
+def test_counts_of_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "TEXT", 40)
+    texts = ["tidal gauges tidal", None, "", "pilot rosters " * 30, "one gauge of tidal pilots"] * 3
+    got = {(r.token, r.chunk_id, r.len, r.tf, r.pos) for r in lexical.counts(chunks(spark, texts)).collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        found = [w for w in (t or "").split() if w not in lexical.STOP_WORDS and len(w) > 2]
+        want |= {(w, f"c{i}", len(found), found.count(w), found.index(w)) for w in found}
+    assert got == want
