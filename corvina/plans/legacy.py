@@ -90,13 +90,20 @@ def levels(rows: DataFrame, key: str = "id", parent: str = "parent_id", place: s
 
     A parent that isn't there makes a root (the reference stays). Where parents form a cycle, the reference is cleared at
     which the cycle is entered from its earliest row or follower, as a walk through the rows in their order would do.
-    Pointers are doubled in written rounds, their number is the logarithm of the longest chain; the rows move only at the end.
+    Pointers are doubled in written rounds, their number is the logarithm of the longest chain. Only rows that others name as
+    parents take part: the rest stand one below their parent, and count for a cycle as followers of their parent.
     """
-    known = rows.select(F.col(key).alias("id"), F.col(parent).alias("up"), F.col(place).alias("place"))
-    ids = known.select(F.col("id").alias("up"))
-    step = written(known.join(ids.withColumn("there", F.lit(True)), "up", "left").select("id", F.when(F.col("there"), F.col("up")).alias("up"), "place"), "steps")
-    broken_at = _cycle_entries(step)
-    cut = step.join(broken_at.select(F.col("entry").alias("id"), F.lit(True).alias("cut")), "id", "left")
+    known = rows.select(F.col(key).alias("id"), F.col(parent).alias("given"), F.col(place).alias("place")).filter("id is not null")
+    ids = known.select(F.col("id").alias("given"), F.lit(True).alias("there"))
+    named = known.filter("given is not null").select(F.col("given").alias("id"), F.lit(True).alias("inner")).distinct()
+    step = known.join(ids, "given", "left").join(named, "id", "left").select("id", "given", F.when(F.col("there"), F.col("given")).alias("up"), "place", F.coalesce("inner", F.lit(False)).alias("inner"))
+    step = written(step, "steps")
+    inner, ends = step.filter("inner"), step.filter("not inner")
+    first = ends.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.min(F.struct("place", F.col("id").alias("of"))).alias("follower"))
+    core = inner.join(first, "id", "left").select("id", "up", F.least(F.struct("place", F.col("id").alias("of")), "follower").alias("place"))
+    core = written(core, "cores")
+    broken_at = _cycle_entries(core)
+    cut = core.join(broken_at.select(F.col("entry").alias("id"), F.lit(True).alias("cut")), "id", "left")
     forest = written(cut.select("id", F.when(F.col("cut").isNull(), F.col("up")).alias("up"), F.coalesce("cut", F.lit(False)).alias("cut")), "forest")
     depth, more = written(forest.select("id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("level")), "depths"), True
     while more:
@@ -107,10 +114,10 @@ def levels(rows: DataFrame, key: str = "id", parent: str = "parent_id", place: s
         more = seen.get["n"] > 0
         drop_written(depth)
         depth = new
-    out = depth.select("id", "level").join(forest.select("id", "cut"), "id").select(F.col("id").alias("_id"), F.col("cut").alias("_cut"), F.col("level").alias("_level"))
-    cleared = rows.join(out, F.col(key) == F.col("_id")).select(key, F.when(~F.col("_cut"), F.col(parent)).alias(parent), F.col("_level").alias("level"))
-    done = written(cleared, "levels")
-    drop_written(step, forest, depth, broken_at)
+    own = inner.join(depth.select("id", "level"), "id").join(forest.select("id", "cut"), "id").select("id", F.when(~F.col("cut"), F.col("given")).alias("given"), "level")
+    below = ends.join(depth.select(F.col("id").alias("up"), (F.col("level") + 1).alias("under")), "up", "left").select("id", "given", F.coalesce("under", F.lit(0)).alias("level"))
+    done = written(own.unionByName(below).select(F.col("id").alias(key), F.col("given").alias(parent), "level"), "levels")
+    drop_written(step, core, forest, depth, broken_at)
     return done
 
 

@@ -51,6 +51,21 @@ def test_chain_of_levels(spark):
     assert got.filter("level <> id").count() == 0 and got.count() == 3000
 
 
+def test_rows_that_nobody_names_stay_out_of_the_rounds(spark, monkeypatch):
+    rows = [(i, i % 5, 100 - i) for i in range(5, 400)] + [(i, (i + 1) % 5, 1000 + i) for i in range(5)] + [(900, 901, 1), (901, None, 2)]
+    sizes, real = {}, legacy.written
+
+    def counted(df, name, **how):
+        out = real(df, name, **how)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(legacy, "written", counted)
+    df = spark.createDataFrame(rows, "id long, parent_id long, _place long").repartition(3)
+    assert {r.id: (r.parent_id, r.level) for r in legacy.levels(df).collect()} == plain_levels(rows)
+    assert max(sizes["jumps"] + sizes["depths"] + sizes["walks"]) <= 6 and sizes["steps"] == [len(rows)]
+
+
 def test_load(spark):
     t = lambda rows, schema: spark.createDataFrame(rows, schema)
     tables = {
