@@ -1,5 +1,6 @@
 """Components, lineage, resolution and themes against plain Python."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -54,6 +55,28 @@ def test_similar_sets(spark):
         assert {(r.a, r.b): r.similarity for r in resolution.similar_sets(df, least).collect()} == want and want
 
 
+def test_sets_that_share_only_common_words_do_not_meet(spark, monkeypatch):
+    sizes, real = {}, resolution.written
+
+    def seen(df, name, **how):
+        out = real(df, name, **how)
+        if name == "rare":
+            sizes[name] = out
+        return out
+
+    monkeypatch.setattr(resolution, "written", seen)
+    # Each has three words that all have and one of its own: equal sizes need all four words for 0.75.
+    df = spark.createDataFrame([(k, 1, ["customer", "nation", "x", f"w{k}"]) for k in range(40)], "set_id long, type int, tokens array<string>")
+    assert resolution.similar_sets(df, 0.75).collect() == []
+    assert sizes["rare"].filter("few").count() == 40
+    # With directions only sets near one another meet, across the edges of cells too.
+    angles = [(k, 0.02 * k) for k in range(40)]
+    with_spots = df.join(spark.createDataFrame([(k, [math.cos(t), math.sin(t)]) for k, t in angles] + [(99, [0.0, 0.0])], "set_id long, v array<double>"), "set_id")
+    alike = math.cos(0.05)
+    got = {(r.a, r.b) for r in resolution.similar_sets(with_spots.withColumn("spot", resolution.spot(F.col("v"), alike)), 0.55).collect()}
+    assert {(i, j) for i in range(40) for j in range(i + 1, 40) if j - i <= 2} <= got and len(got) < 40 * 39 / 4
+
+
 def test_resolution_passes(spark):
     rows = [
         (1, "firm", "Harbour & Sons", "harbour sons of lervik", [1.0, 0.0]), (2, "firm", "harbour and sons!", None, None), (3, "firm", None, "Lervik harbour, sons of", [0.0, 1.0]),
