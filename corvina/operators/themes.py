@@ -24,19 +24,23 @@ def _moved(links: DataFrame, degree: DataFrame, label: DataFrame, total: int, do
     only to lesser labels, in odd ones only to greater, so that two nodes don't swap for ever. Gains are whole numbers.
     """
     size = label.join(degree, "node").groupBy("community").agg(F.sum("k").alias("t"))
-    beside = links.filter("a <> b").join(label.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("w"))
-    own = label.select("node", "community", F.lit(0).cast("long").alias("w"))
-    offers = beside.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w")).join(size, "community")
-    offers = offers.join(label.select("node", F.col("community").alias("mine")), "node").join(degree, "node")
-    rest = F.col("t") - F.when(F.col("community") == F.col("mine"), F.col("k")).otherwise(0)
-    gain = F.lit(total).cast(WHOLE) * F.col("w") - F.col("k").cast(WHOLE) * rest
+    # What a round needs of a node, its community's size included, is joined on rows of nodes, not of links.
+    state = written(label.join(degree, "node").join(size, "community").select("node", F.col("community").alias("mine"), "k", F.col("t").alias("size")), "states")
+    far = state.select(F.col("node").alias("b"), F.col("mine").alias("community"), F.col("size").alias("t"))
+    beside = links.filter("a <> b").join(far, "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("w"), F.max("t").alias("t"))
+    offers = state.join(beside, "node", "left")
+    own = F.col("community") == F.col("mine")
     way = F.col("community") < F.col("mine") if down else F.col("community") > F.col("mine")
-    offers = offers.filter((F.col("community") == F.col("mine")) | way).select("node", "mine", "community", (-gain).alias("loss"))
-    # Equal gains: the own community stays, then the least label.
-    best = offers.groupBy("node", "mine").agg(F.min(F.struct("loss", (F.col("community") != F.col("mine")).alias("other"), "community")).alias("m"))
+    loss = lambda w, rest: F.col("k").cast(WHOLE) * rest - F.lit(total).cast(WHOLE) * w
+    offer = F.struct(loss(F.col("w"), F.col("t") - F.when(own, F.col("k")).otherwise(0)).alias("loss"), (~own).alias("other"), "community")
+    # Equal gains: the own community stays, then the least label. A node without links into its own community may stay there, too.
+    stay = F.struct(loss(F.lit(0).cast("long"), F.col("size") - F.col("k")).alias("loss"), F.lit(False).alias("other"), F.col("mine").alias("community"))
+    best = offers.groupBy("node", "mine", "k", "size").agg(F.min(F.when(own | way, offer)).alias("m"), F.coalesce(F.max(own), F.lit(False)).alias("linked"))
+    best = best.select("node", F.when(F.col("linked"), F.col("m")).otherwise(F.least(F.col("m"), stay)).alias("m"))
     seen = Observation()
     step = best.select("node", F.col("m.community").alias("community"), F.col("m.other").alias("moved"))
     new = written(step.observe(seen, F.coalesce(F.sum(F.col("moved").cast("long")), F.lit(0)).alias("n")), "communities")
+    drop_written(state)
     return new.select("node", "community"), seen.get["n"]
 
 

@@ -164,3 +164,21 @@ def test_themes_of_the_test_tables(spark):
     edges = catalog._supply(t)
     got = {r.node: r.community for r in themes.communities(edges).collect()}
     assert got == plain_communities([tuple(r) for r in edges.collect()], themes.ROUNDS, themes.LEVELS)
+
+
+def test_a_round_of_communities_joins_links_once(spark, monkeypatch):
+    joins, real = [], themes.written
+
+    def seen(df, name, **how):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return real(df, name, **how)
+
+    monkeypatch.setattr(themes, "written", seen)
+    edges = spark.createDataFrame([("a", "b", 3), ("b", "c", 1), ("c", "d", 3)], "src string, dst string, weight long")
+    links = themes._both_ways(edges)
+    degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
+    label = degree.select("node", F.col("node").alias("community"))
+    new, moved = themes._moved(real(links, "links"), real(degree, "degrees"), real(label, "communities"), 14, True)
+    assert {tuple(r) for r in new.collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")} and moved == 2
+    # The state of nodes takes three joins of rows of nodes, links take two with it, where they took part in four.
+    assert joins == [3, 2]
