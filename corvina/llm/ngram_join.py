@@ -29,6 +29,7 @@ result; other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -51,8 +52,9 @@ RUN, HOT = 1 << 20, 64
 #: Segments of a band up to which weights follow measured costs; wider bands spread theirs evenly. It bounds the
 #: weights of all bands together to some five times as many bytes.
 MEASURED = 1 << 16
-#: Members and sketch bytes of a block of a bucket, and partners a member proposes per pair of blocks and round.
-BLOCK, BLOCK_BYTES, PROPOSALS = 2048, 8 << 20, 2
+#: Members and sketch bytes of a block of a bucket, partners a member proposes per pair of blocks in the first round,
+#: and how many times as many in each later one: what the first rounds leave mostly fails, and has to be tested all the same.
+BLOCK, BLOCK_BYTES, PROPOSALS, MORE = 2048, 8 << 20, 2, 4
 #: Members, about, of the small buckets that one task call compares.
 CELL = 10_000
 #: Bits of the node filter: fixed, so its broadcast is 8 MiB whatever the corpus. A fuller filter only lets more sets through.
@@ -580,8 +582,8 @@ def _nearest(percent: int, most: int):
     return run
 
 
-def _propose(members: DataFrame, cells: int, stars: DataFrame, sketches: DataFrame, tested: DataFrame | None, percent: int, block: int) -> DataFrame:
-    """Untested pairs (a, b) of different components in one bucket, each the nearest of one of the two."""
+def _propose(members: DataFrame, cells: int, stars: DataFrame, sketches: DataFrame, tested: DataFrame | None, percent: int, block: int, most: int = PROPOSALS) -> DataFrame:
+    """Untested pairs (a, b) of different components in one bucket, each among the nearest of one of the two; a pair can come from several buckets."""
     rows = members.join(stars.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("c", F.coalesce("component", "fp")).drop("component")
     # Rows, then the bytes of their sketches, decide how many blocks a bucket has.
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
@@ -600,7 +602,7 @@ def _propose(members: DataFrame, cells: int, stars: DataFrame, sketches: DataFra
         .withColumn("cell", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(cells))).otherwise(F.col("key")))
         .select("key", "fp", "native", "c", "size", "sketch", "failed", "block", "blocks", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    return placed.groupBy("blocks", "cell", "i", "j").applyInArrow(_nearest(percent, PROPOSALS), "a long, b long").distinct()
+    return placed.groupBy("blocks", "cell", "i", "j").applyInArrow(_nearest(percent, most), "a long, b long")
 
 
 def _links(docs: DataFrame, hashed: DataFrame, n: int, percent: int, block: int) -> DataFrame:
@@ -626,28 +628,30 @@ def _links(docs: DataFrame, hashed: DataFrame, n: int, percent: int, block: int)
     first = buckets.filter("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     likely = written(_sieve(first, sketches, percent), "likely")
     drop_written(buckets)
-    # Pairs that sketches let through stand for links once, to find all nodes whose sets are needed at any time.
-    stars = components(likely)
-    pairs = written(likely.unionByName(_propose(members, cells, stars, sketches, None, percent, block)).distinct(), "pairs")
-    drop_written(likely, stars)
+    # Whoever has no likely pair proposes once, to find all nodes whose sets are needed at any time; the others stand for one component.
+    paired = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.lit(-1).cast("long"))
+    pairs = written(likely.unionByName(_propose(members, cells, paired, sketches, None, percent, block)).distinct(), "pairs")
+    drop_written(likely)
     bits = spark.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("a", "b")).alias("fp")), "fp"))
     sets = written(_wanted(docs, n, bits).groupBy("fp").agg(F.first("h").alias("h")), "sets")
     bits.destroy()
-    tested = written(_verify(pairs, sets), "tested")
+    tested = [written(_verify(pairs, sets), "tested")]
     drop_written(pairs)
-    stars = components(tested.filter(link).select("a", "b"))
+    stars = components(tested[0].filter(link).select("a", "b"))
+    most = MORE * PROPOSALS
     while members.head(1):
-        pairs = written(_propose(members, cells, stars, sketches, tested.filter(~link), percent, block), "pairs")
-        if not pairs.head(1):
-            drop_written(pairs)
+        failed = functools.reduce(DataFrame.unionByName, tested).filter(~link)
+        new = written(_verify(_propose(members, cells, stars, sketches, failed, percent, block, most).distinct(), sets), "tested")
+        tested.append(new)
+        if not new.head(1):
             break
-        both = written(tested.unionByName(_verify(pairs, sets)), "tested")
-        new = pairs.join(both.filter(link).select("a", "b"), ["a", "b"])
-        old, stars = stars, components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
-        drop_written(old, tested, pairs)
-        tested = both
+        linked = new.filter(link).select("a", "b")
+        if linked.head(1):
+            old, stars = stars, components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked))
+            drop_written(old)
         release(spark)
-    drop_written(tested, sets, members, sketches)
+        most = min(block, MORE * most)
+    drop_written(*tested, sets, members, sketches)
     release(spark)
     return stars
 

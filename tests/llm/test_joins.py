@@ -223,3 +223,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[2] == kept[1] - {500, 502} == kept[3]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == kept[3]
+
+
+@pytest.mark.parametrize("chunk", [1 << 18, 7, 60])
+def test_components_take_rounds_only_for_more_edges_than_a_task_holds(spark, monkeypatch, chunk):
+    from corvina.llm import components as module
+
+    rounds = []
+    starry = module._starry
+    monkeypatch.setattr(module, "_starry", lambda edges: rounds.append(1) or starry(edges))
+    rng = np.random.default_rng(5)
+    edges = [(k, k + 1) for k in range(40)] + [(200, k) for k in range(100, 140)] + [(int(a), int(b)) for a, b in rng.integers(300, 380, (50, 2))] + [(7, 7), (None, 3), (5, None)]
+    edges += edges[:30]
+    least = {x: x for e in edges if None not in e for x in e}
+    for _ in range(50):
+        for a, b in edges:
+            if a is not None and b is not None:
+                least[a] = least[b] = min(least[a], least[b])
+    frame = spark.createDataFrame([edges[k] for k in rng.permutation(len(edges))], "x long, y long").repartition(5)
+    got = sorted(tuple(r) for r in module.components(frame, "x", "y", chunk).collect())
+    assert got == sorted((n, c) for n, c in least.items() if n != c)
+    assert bool(rounds) == (chunk < 1000)
