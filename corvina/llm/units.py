@@ -2,8 +2,8 @@
 
 A byte-level pre-tokenizer gives a word and the blank before it to the same pieces whatever surrounds
 them, so a text of single-blank separated units is the concatenation of its units' ids. Each distinct
-unit goes through the tokenizers library once per worker: plain words straight to its BPE model, all
-others through the whole tokenizer. Texts with any other white space arrangement at a unit's edge go
+unit goes through the tokenizers library once per worker: plain words straight to its BPE model, once
+whatever marks or line feeds stand beside them, all others through the whole tokenizer. Texts with any other white space arrangement at a unit's edge go
 through it whole. Ids are kept as little-endian unsigned 16-bit strings (vocabularies here have fewer
 than 65,536 ids).
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import array
 import itertools
+import operator
 import os
 import re
 
@@ -19,12 +20,15 @@ import numpy as np
 
 from corvina.llm.token_counts import byte_symbols
 
-#: Units remembered per worker.
-MAX_UNITS = 400_000
+#: Units remembered per worker and table.
+MAX_UNITS = 800_000
 #: Letters that every Unicode version has, then ASCII marks: two pieces of the pre-tokenizer at most.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?#*$%&|]*)")
 
 
+_ID = operator.attrgetter("id")
+
+
 def make_room(table: dict, more: int, most: int) -> bool:
     """Forget the later half of a full table: what came first is mostly what comes often."""
     if len(table) + more <= most:
@@ -39,6 +43,57 @@ def _irregular(unit: str) -> bool:
     return not unit or unit[0].isspace() or unit[-1].isspace()
 
 
+class Table(dict):
+    """Ids of units that follow ``lead``; a unit that it does not know is learned on lookup."""
+
+    def __init__(self, owner: "Units", lead: str):
+        super().__init__()
+        self.owner, self.lead, self.shown = owner, lead, "Ġ" if lead else ""
+
+    def __missing__(self, unit: str) -> bytes:
+        make_room(self, 2, MAX_UNITS)
+        if unit.isascii() and unit.isalpha():
+            ids = array.array("H", map(_ID, self.owner.model.tokenize(self.shown + unit))).tobytes()
+        else:
+            ids = self._marked(unit)
+            if ids is None and "\n" in unit:
+                ids = self._lines(unit)
+            if ids is None:
+                if _irregular(unit):
+                    raise KeyError(unit)
+                ids = self.owner.encode([self.lead + unit])[0]
+        self[unit] = ids
+        return ids
+
+    def _marked(self, unit: str) -> bytes | None:
+        """A word, remembered by itself, and marks; None for any other unit."""
+        m = PLAIN.fullmatch(unit)
+        if m is None:
+            return None
+        word, mark = m.groups()
+        return self[word] + self.owner.marks[mark] if mark else self.owner.piece(self.lead + word)
+
+    def _lines(self, unit: str) -> bytes | None:
+        """Plain units with one line feed between each two, which is a piece of its own where a letter follows; None for any other unit."""
+        top, *lines = unit.split("\n")
+        if not all(map(PLAIN.fullmatch, (top, *lines))):
+            return None
+        return self.owner.newline.join([self[top], *map(self.owner.first.__getitem__, lines)])
+
+
+class Marks(dict):
+    """Ids of ASCII marks that follow a letter."""
+
+    def __init__(self, owner: "Units"):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, mark: str) -> bytes:
+        make_room(self, 1, 10_000)
+        self[mark] = ids = self.owner.piece(mark)
+        return ids
+
+
 class Units:
     """Ids by one tokenizer, given as the text of its file."""
 
@@ -49,66 +104,28 @@ class Units:
         self.tokenizer = Tokenizer.from_str(spec)
         self.model = self.tokenizer.model
         self.symbols = byte_symbols()
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.first, self.later, self.marks = Table(self, ""), Table(self, " "), Marks(self)
+        self.newline = self.piece("\n")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """By the whole tokenizer."""
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u2").tobytes() for e in got]
 
-    def _piece(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
         """One piece of the pre-tokenizer, by the model."""
-        shown = "Ġ" + piece[1:] if piece.isascii() and piece[0] == " " else piece if piece.isascii() else "".join([self.symbols[b] for b in piece.encode()])
-        return array.array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def _learn(self, table: dict[str, bytes], units: set[str], lead: str) -> None:
-        new = units - table.keys()
-        if make_room(table, len(new), MAX_UNITS):
-            new = units - table.keys()
-        others, match, marks, tokenize, shown = [], PLAIN.fullmatch, self.marks, self.model.tokenize, "Ġ" if lead else ""
-        for u in new:
-            m = match(u)
-            if m is None:
-                if not _irregular(u):
-                    others.append(u)
-                continue
-            word, mark = m.groups()
-            head = table.get(word) if mark else None
-            if head is None:
-                if word.isascii():
-                    head = array.array("H", [t.id for t in tokenize(shown + word)]).tobytes()
-                else:
-                    head = self._piece(lead + word)
-            if mark:
-                tail = marks.get(mark)
-                if tail is None:
-                    tail = marks[mark] = self._piece(mark)
-                head += tail
-            table[u] = head
-        for k in range(0, len(others), 20_000):
-            part = others[k : k + 20_000]
-            table.update(zip(part, self.encode([lead + u for u in part])))
-        if len(self.marks) > 10_000:
-            self.marks = {"": b""}
+        return array.array("H", map(_ID, self.model.tokenize("".join([self.symbols[b] for b in piece.encode()])))).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 16-bit integers."""
-        split = [t.split(" ") if t else [] for t in texts]
-        later: set[str] = set()
-        for s in split:
-            later.update(s[1:])
-        self._learn(self.first, {s[0] for s in split if s}, "")
-        self._learn(self.later, later, " ")
         out, get = [], self.later.__getitem__
-        for text, s in zip(texts, split):
-            if not s:
+        for text in texts:
+            if not text:
                 out.append(b"")
                 continue
+            top, *units = text.split(" ")
             try:
-                head = self.first[s[0]]
-                out.append(head + b"".join(map(get, s[1:])))
+                out.append(self.first[top] + b"".join(map(get, units)))
             except KeyError:
                 out.append(self.encode([text])[0])
         return out

@@ -215,3 +215,28 @@ def test_empty_tables(spark, docs):
     assert token_counts.count_tokens(none, P.path("word_bpe_49k.json")).count() == 0
     assert token_binary.round_trip(none, P.path("byte_bpe_50k.json")).count() == 0
     assert packing.pack(none, P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_units_learn_a_word_once_whatever_stands_beside_it():
+    import public_tokenizers
+    from corvina.llm.units import Units
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        units = Units(f.read())
+    texts = ["zorblax, Zorblax.\nQuivern zorblax\nQuivern; größe.\nÉtude!\nzorblax Zorblax\n\nQuivern", "Quivern\nzorblax. x\n y \nz a\r\nb d.\n\n\ne it's\nIt's 12\n13 a\n.b <|endoftext|>\nx <|end\noftext|>", "a b\nc d e\ńf ʼn\nʼn ſ\nK", "\n", "a\n", "\na", " a\nb "]
+    want = [e.ids for e in units.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in units.ids(texts)] == want
+    calls, model = [], units.model
+
+    class Counting:
+        def tokenize(self, word):
+            calls.append(word)
+            return model.tokenize(word)
+
+    units.model = Counting()
+    whole = []
+    encode = units.encode
+    units.encode = lambda texts: whole.extend(texts) or encode(texts)
+    text = "go vexillomat, vexillomat; vexillomat.\nThrumble vexillomat\nThrumble vexillomat!\nThrumble"
+    assert np.frombuffer(units.ids([text])[0], "<u2").tolist() == units.tokenizer.encode(text, add_special_tokens=False).ids
+    assert calls.count("Ġvexillomat") == 1 and calls.count("Thrumble") == 1 and not whole
