@@ -60,10 +60,10 @@ def _covered(windows: str, words: str) -> str:
     """
     same = "{o}.h = x.h and slice({words}, {o}.i + 1, {w}) = slice({words}, x.i + 1, {w})"
     near = " or ".join(f"({same.format(o=f'get(s, j {d} 1)', words=words, w=WINDOW)})" for d in "-+")
-    return f"""element_at(transform(array(array_sort(transform({windows}, (h, i) -> struct(h as h, i as i)))), s ->
+    return f"""element_at(transform(array(array_sort(transform({windows}, (h, i) -> named_struct('h', h, 'i', i)))), s ->
         aggregate(array_sort(filter(transform(s, (x, j) -> if({near}, x.i, null)), p -> p is not null)),
-            struct(-{WINDOW} as last, 0L as total),
-            (a, p) -> struct(p as last, a.total + least({WINDOW}, p - a.last) as total),
+            named_struct('last', -{WINDOW}, 'total', 0L),
+            (a, p) -> named_struct('last', p, 'total', a.total + least({WINDOW}, p - a.last)),
             a -> a.total)), 1)"""
 
 

@@ -365,3 +365,12 @@ def test_pii_keys_columns_and_plans(spark):
     assert pii.replace(df).orderBy("doc_id").first().text == got[0].text
     spark.conf.unset(pii.KEY_SETTING)
     assert pii.replace(df.limit(0), "k").count() == 0
+
+
+def test_pii_expressions_leave_little_in_the_drivers_parser():
+    from corvina.llm import pii
+
+    # The parser keeps what it looks ahead at, for good: all of a ``case when``, a struct with names and substr.
+    texts = [pii._cut("t"), pii._matches("c"), pii._entities("m"), pii._surrogate("kind", "canon", "attempt", "form", "k"), pii._rewrite("c", "k", "a")]
+    for text in texts:
+        assert not re.search(r"\bcase\s+when\b|\bstruct\(|(?<!`)\bsubstr\(", text)
