@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corvina.scratch import drop_written, written
 
 ROUNDS, LEVELS = 12, 4
-WHOLE = "decimal(38,0)"
+#: Products of two weights fit a long up to this total; beyond it they are decimals, which are far slower.
+LONG = 2**31
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -31,7 +32,8 @@ def _moved(links: DataFrame, degree: DataFrame, label: DataFrame, total: int, do
     offers = state.join(beside, "node", "left")
     own = F.col("community") == F.col("mine")
     way = F.col("community") < F.col("mine") if down else F.col("community") > F.col("mine")
-    loss = lambda w, rest: F.col("k").cast(WHOLE) * rest - F.lit(total).cast(WHOLE) * w
+    whole = "long" if total < LONG else "decimal(38,0)"
+    loss = lambda w, rest: F.col("k").cast(whole) * rest - F.lit(total).cast(whole) * w
     offer = F.struct(loss(F.col("w"), F.col("t") - F.when(own, F.col("k")).otherwise(0)).alias("loss"), (~own).alias("other"), "community")
     # Equal gains: the own community stays, then the least label. A node without links into its own community may stay there, too.
     stay = F.struct(loss(F.lit(0).cast("long"), F.col("size") - F.col("k")).alias("loss"), F.lit(False).alias("other"), F.col("mine").alias("community"))
@@ -44,14 +46,25 @@ def _moved(links: DataFrame, degree: DataFrame, label: DataFrame, total: int, do
     return new.select("node", "community"), seen.get["n"]
 
 
+def _numbered(links: DataFrame) -> DataFrame:
+    """id, node: numbers in the order of the nodes, so that the least number is that of the least node."""
+    return written(links.select(F.col("a").alias("node")).distinct().orderBy("node").select(F.monotonically_increasing_id().alias("id"), "node"), "numbers")
+
+
 def communities(edges: DataFrame, rounds: int = ROUNDS, levels: int = LEVELS) -> DataFrame:
     """edges(src, dst, weight) to node, community (named by one of its nodes), by greedy gains of modularity.
 
+    Rounds run on numbers of the nodes, which are shuffled, sorted and compared faster than names.
+
     Rounds of a level end when neither direction moves a node, or after ``rounds``; then communities become the nodes of
     the next level. The same edges give the same communities in any order and partitioning. Edges of a hub are summed per
     task before they are shuffled; each round is written and the one before it deleted.
     """
-    links = written(_both_ways(edges), "links")
+    named = written(_both_ways(edges), "named")
+    numbers = _numbered(named)
+    number = lambda k: numbers.select(F.col("node").alias(k), F.col("id").alias(f"id_{k}"))
+    links = written(named.join(number("a"), "a").join(number("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "w"), "links")
+    drop_written(named)
     total = int(links.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0])
     out = written(links.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct(), "communities")
     for _ in range(levels):
@@ -74,7 +87,11 @@ def communities(edges: DataFrame, rounds: int = ROUNDS, levels: int = LEVELS) ->
         drop_written(links, out, label)
         links, out = further, higher
     drop_written(links)
-    return out
+    name = lambda k: numbers.select(F.col("id").alias(k), F.col("node").alias(f"{k}_name"))
+    told = out.join(name("node"), "node").join(name("community"), "community").select(F.col("node_name").alias("node"), F.col("community_name").alias("community"))
+    label = written(told, "themes")
+    drop_written(out, numbers)
+    return label
 
 
 def modularity(edges: DataFrame, label: DataFrame) -> DataFrame:
